@@ -1,3 +1,181 @@
-"""ML and rescale queries."""
+"""ML and rescale queries over the stored transaction table."""
 
-from spendlens.plans.catalog import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from spendlens.operators import clean, ml, rescale
+from spendlens.plans.catalog import register, txn
+from spendlens.sources import table as tbl
+from spendlens.sources.binding import DRIVER_TABLES, table_path
+
+# Registered forest size: 20 trees of depth <= 10 (250 / unlimited remain the library defaults' intent).
+NUM_TREES, MAX_DEPTH = 20, 10
+
+KEYED = (
+    "k AS (SELECT *, md5(concat_ws('|', CAST(date AS VARCHAR), merchant, description, CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR),"
+    " category, profile, bank, currency)) AS row_key FROM transactions),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_key) AS rn,"
+    " COUNT(*) OVER (PARTITION BY category) AS n FROM k)"
+)
+FEATURES = (
+    "f AS (SELECT amount, ABS(amount) AS abs_amount, month(date) AS month, isodow(date) - 1 AS day_of_week,"
+    " CAST(amount > 0 AS INTEGER) AS is_income, merchant || ' ' || description || ' ' || profile || ' ' || bank AS text FROM transactions)"
+)
+
+
+@register(
+    "ml_label_index",
+    "SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS label_index FROM (SELECT DISTINCT category FROM transactions)",
+)
+def q_ml_label_index(spark, sf_dir):
+    return ml.label_index(txn(spark, sf_dir))
+
+
+@register(
+    "ml_split",
+    f"WITH {KEYED} SELECT category, CASE WHEN rn <= CEIL(n * 0.2) THEN 'test' ELSE 'train' END AS split, COUNT(*) AS rows,"
+    " CAST(SUM(CAST(amount AS DECIMAL(18,4))) AS DOUBLE) AS amount_total FROM r GROUP BY 1, 2",
+)
+def q_ml_split(spark, sf_dir):
+    s = ml.stratified_split(txn(spark, sf_dir))
+    return s.groupBy("category", "split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("amount").cast("decimal(18,4)")).cast("double").alias("amount_total")
+    )
+
+
+@register(
+    "ml_class_weight",
+    f"WITH {KEYED}, c AS (SELECT category, COUNT(*) AS n_c FROM r WHERE rn > CEIL(n * 0.2) GROUP BY 1)"
+    " SELECT category, (SELECT SUM(n_c) FROM c) / ((SELECT COUNT(*) FROM c) * n_c) AS weight FROM c",
+)
+def q_ml_class_weight(spark, sf_dir):
+    s = ml.stratified_split(txn(spark, sf_dir))
+    return ml.class_weights(s.where(F.col("split") == "train"))
+
+
+@register(
+    "ml_tfidf",
+    f"WITH {FEATURES}, t AS (SELECT text, COUNT(*) AS mult FROM f GROUP BY text),"
+    " tk AS (SELECT text, mult, regexp_extract_all(lower(text), '[\\pL\\pN_]{2,}') AS toks FROM t),"
+    " tm AS (SELECT text, mult, list_concat(toks, CASE WHEN len(toks) > 1 THEN"
+    " list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS terms FROM tk),"
+    " v AS (SELECT term, SUM(mult) AS df FROM (SELECT mult, unnest(list_distinct(terms)) AS term FROM tm) GROUP BY term HAVING SUM(mult) >= 2),"
+    " nd AS (SELECT SUM(mult) AS n FROM t),"
+    " tf AS (SELECT text, term, COUNT(*) AS tf FROM (SELECT text, unnest(terms) AS term FROM tm) GROUP BY 1, 2),"
+    " w AS (SELECT tf.text, tf.term, tf.tf * (ln((1 + nd.n) / (1 + v.df)) + 1) AS raw FROM tf JOIN v USING (term), nd),"
+    " nrm AS (SELECT text, sqrt(SUM(raw * raw)) AS norm FROM w GROUP BY text)"
+    " SELECT w.text, w.term, round(w.raw / nrm.norm, 9) AS weight FROM w JOIN nrm USING (text)",
+)
+def q_ml_tfidf(spark, sf_dir):
+    docs = clean.feature_view(txn(spark, sf_dir)).select("text")
+    vocab = ml.tfidf_fit(docs)
+    return ml.tfidf_transform(docs, vocab).withColumn("weight", F.round("weight", 9))
+
+
+_Z = ", ".join(
+    f"round(({c} - avg_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 9) AS {c}_z" for c in ml.NUMERIC_FEATURES
+)
+_S = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}" for c in ml.NUMERIC_FEATURES)
+
+
+@register("ml_scale", f"WITH {FEATURES}, s AS (SELECT {_S} FROM f) SELECT {_Z} FROM f, s")
+def q_ml_scale(spark, sf_dir):
+    feats = clean.feature_view(txn(spark, sf_dir))
+    out = ml.zscore(feats, ml.scale_stats(feats))
+    return out.select(*[F.round(f"{c}_z", 9).alias(f"{c}_z") for c in ml.NUMERIC_FEATURES])
+
+
+@register(
+    "ml_onehot",
+    "SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS index FROM"
+    " (SELECT 'profile' AS feature, profile AS value FROM transactions UNION SELECT 'bank', bank FROM transactions"
+    " UNION SELECT 'currency', currency FROM transactions)",
+)
+def q_ml_onehot(spark, sf_dir):
+    return ml.encoder_vocab(txn(spark, sf_dir))
+
+
+@register(
+    "rescale_to_target",
+    "WITH e AS (SELECT profile, CAST(year(date) AS INTEGER) AS year, date, merchant, description, category, bank, currency, amount"
+    " FROM transactions WHERE amount < 0),"
+    " tg AS (SELECT profile, CAST(year(date) AS INTEGER) AS year, SUM(CAST(amount AS DECIMAL(18,4))) AS target FROM transactions"
+    " WHERE amount > 0 GROUP BY 1, 2),"
+    " c AS (SELECT profile, year, SUM(CAST(ABS(amount) AS DECIMAL(18,4))) AS cur FROM e GROUP BY 1, 2),"
+    " f AS (SELECT c.profile, c.year, CAST(CAST(tg.target AS DECIMAL(38,4)) * 10000 AS HUGEINT) AS t_u,"
+    " CAST(CAST(CASE WHEN cur = 0 THEN 1 ELSE cur END AS DECIMAL(38,4)) * 10000 AS HUGEINT) AS c_u FROM c JOIN tg USING (profile, year))"
+    " SELECT e.profile, e.year, e.date, e.merchant, e.description, e.category, e.bank, e.currency,"
+    " -(CAST((CAST(CAST(ABS(e.amount) AS DECIMAL(38,4)) * 10000 AS HUGEINT) * f.t_u * 2 + f.c_u * 100) // (f.c_u * 200) AS DOUBLE) / 100)"
+    " AS amount FROM e JOIN f USING (profile, year)",
+)
+def q_rescale_to_target(spark, sf_dir):
+    t = txn(spark, sf_dir).withColumn("year", F.year("date"))
+    expenses = t.where(F.col("amount") < 0)
+    targets = t.where(F.col("amount") > 0).groupBy("profile", "year").agg(
+        F.sum(F.col("amount").cast("decimal(18,4)")).alias("target")
+    )
+    out = rescale.rescale_to_target(expenses, targets)
+    return out.select("profile", "year", "date", "merchant", "description", "category", "bank", "currency", "amount")
+
+
+# --- the forest (rows-only checks) --------------------------------------------------------------------
+
+
+def _model_dir(spark: SparkSession, sf_dir: str) -> str:
+    fp = tbl.fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
+    return f"{tbl.tables_root(spark)}/model-{fp}-t{NUM_TREES}d{MAX_DEPTH}"
+
+
+def trained(spark: SparkSession, sf_dir: str):
+    """Train once per input fingerprint; later calls read the saved model, report and test predictions."""
+    root = _model_dir(spark, sf_dir)
+    if not tbl.path_exists(spark, f"{root}/_DONE"):
+        model, test_pred = ml.train_model(txn(spark, sf_dir), num_trees=NUM_TREES, max_depth=MAX_DEPTH)
+        ml.save_model(model, f"{root}/model")
+        test_pred.write.mode("overwrite").parquet(f"{root}/test_predictions")
+        tbl._write_text(spark, f"{root}/_DONE", "ok")
+    preds = spark.read.parquet(f"{root}/test_predictions")
+    return PipelineModel.load(f"{root}/model"), preds, root
+
+
+@register("ml_train", None)
+def q_ml_train(spark, sf_dir):
+    _, preds, _ = trained(spark, sf_dir)
+    return ml.report(preds, "category", "predicted_category")
+
+
+@register("ml_report", None)
+def q_ml_report(spark, sf_dir):
+    _, preds, _ = trained(spark, sf_dir)
+    return ml.report(preds, "category", "predicted_category")
+
+
+@register("ml_predict", None)
+def q_ml_predict(spark, sf_dir):
+    _, preds, _ = trained(spark, sf_dir)
+    return preds.select("date", "merchant", "description", "amount", "category", "predicted_category")
+
+
+@register("ml_assemble", None)
+def q_ml_assemble(spark, sf_dir):
+    model, _, _ = trained(spark, sf_dir)
+    feats = clean.feature_view(txn(spark, sf_dir))
+    return model.transform(feats).select("features")
+
+
+@register("ml_recategorize", None)
+def q_ml_recategorize(spark, sf_dir):
+    _, _, root = trained(spark, sf_dir)
+    return ml.recategorize(spark, txn(spark, sf_dir), f"{root}/model")
+
+
+@register("ml_save_load", None)
+def q_ml_save_load(spark, sf_dir):
+    model, _, root = trained(spark, sf_dir)
+    path = f"{root}/copy"
+    ml.save_model(model, path)
+    loaded = ml.load_model(spark, path)
+    return ml.predict(loaded, txn(spark, sf_dir).where(F.col("amount") > 0))
