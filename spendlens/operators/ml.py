@@ -73,15 +73,16 @@ def stratified_split(df: DataFrame, label: str = "category", test_fraction: floa
     uniq = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("mult"))
     uniq = uniq.withColumn("bucket", F.conv(F.substring("row_key", 1, BUCKET_HEX), 16, 10).cast("int"))
 
+    # Stratify when every label has >= 2 rows; decided inside the plan on the
+    # per-label counts (one row per label), joined back to the rows.
     per_label = uniq.groupBy(label).agg(F.sum("mult").alias("n"))
-    stratify = per_label.agg(F.min("n")).first()[0]
-    stratify = stratify is not None and stratify >= 2
-    group = label if stratify else None
-    gcols = [group] if group else []
-
-    if not stratify:
-        uniq = uniq.withColumn("_g", F.lit(0))
-        gcols = ["_g"]
+    group_key = F.concat(F.lit("="), F.coalesce(F.col(label).cast("string"), F.lit("")))
+    strat = per_label.select(
+        F.col(label).alias("_label"),
+        F.when(F.min("n").over(Window.partitionBy()) >= 2, group_key).otherwise(F.lit("*")).alias("_g"),
+    )
+    uniq = uniq.join(strat, uniq[label].eqNullSafe(strat["_label"])).drop("_label")
+    gcols = ["_g"]
     counts = uniq.groupBy(*gcols, "bucket").agg(F.sum("mult").alias("cnt"))
     w = Window.partitionBy(*gcols).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = Window.partitionBy(*gcols)
@@ -144,14 +145,25 @@ def tfidf_fit(docs: DataFrame, text_col: str = "text", min_df: int = 2) -> DataF
 
 
 def tfidf_transform(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text, term, weight) for each distinct text: l2-normalised tf * idf."""
-    texts = docs.select(text_col).distinct()
-    tf = with_terms(texts, text_col).select(text_col, F.explode("terms").alias("term")).groupBy(text_col, "term").agg(
-        F.count(F.lit(1)).alias("tf")
+    """(text, term, weight) for each distinct text: l2-normalised tf * idf.
+
+    Term counts come from the document's own term array (no shuffle); the one
+    shuffle groups each document's weighted terms to normalise them. A
+    document's term list is bounded by its length.
+    """
+    texts = with_terms(docs.select(text_col).distinct(), text_col)
+    counted = F.transform(
+        F.array_distinct("terms"),
+        lambda x: F.struct(x.alias("term"), F.size(F.filter("terms", lambda y: y == x)).alias("tf")),
+    )
+    tf = texts.select(text_col, F.explode(counted).alias("p")).select(text_col, "p.term", "p.tf")
+    w = tf.join(vocab, "term").select(text_col, F.struct("term", (F.col("tf") * F.col("idf")).alias("raw")).alias("tr"))
+    per_doc = w.groupBy(text_col).agg(
+        F.collect_list("tr").alias("items"), F.sqrt(F.sum(F.col("tr.raw") * F.col("tr.raw"))).alias("norm")
+    )
+    return per_doc.select(text_col, "norm", F.explode("items").alias("tr")).select(
+        text_col, F.col("tr.term").alias("term"), (F.col("tr.raw") / F.col("norm")).alias("weight")
     )
-    w = tf.join(vocab, "term").select(text_col, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = w.groupBy(text_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return w.join(norm, text_col).select(text_col, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 # --- numeric / categorical --------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.text import NON_WORD, SPACE, alternatives_word_pattern, sql_str, word_pattern
+from spendlens.functions.text import NON_WORD, SPACE, alternatives_word_pattern, escape, sql_str, word_pattern
 from spendlens.functions.vocab import (
     DEFAULT,
     INCOME_DETAIL_WORDS,
@@ -37,8 +37,33 @@ STRIP_MERCHANT = r"^[ ?.]+|[ ?.]+$"
 # --- Spark --------------------------------------------------------------------------------------
 
 
+def _nested(pairs) -> bool:
+    """True if one alias occurs as a whole-word part of another (then a single scan could miss it)."""
+    import re
+
+    words = [a for a, _ in pairs]
+    return any(a != b and re.search(rf"(?<![\w]){re.escape(a)}(?![\w])", b) for a in words for b in words)
+
+
 def _first_alias(q: Column, pairs) -> Column:
-    return F.coalesce(*[F.when(q.rlike(word_pattern(a)), F.lit(v)) for a, v in pairs]) if pairs else F.lit(None)
+    """Value of the first alias (in list order) present in ``q`` as a whole word.
+
+    One regex scan collects every whole-word alias occurrence (Java look-around
+    keeps the boundaries unconsumed); the earliest list position among them wins.
+    """
+    if not pairs:
+        return F.lit(None)
+    if _nested(pairs):
+        return F.coalesce(*[F.when(q.rlike(word_pattern(a)), F.lit(v)) for a, v in pairs])
+    first_rank: dict[str, int] = {}
+    for i, (a, _) in enumerate(pairs):
+        first_rank.setdefault(a, i)
+    pattern = rf"(?<![\pL\pN_])({'|'.join(escape(a) for a, _ in pairs)})(?![\pL\pN_])"
+    ranks = F.create_map(*[x for a, i in first_rank.items() for x in (F.lit(a), F.lit(i))])
+    values = F.array(*[F.lit(str(v)) for _, v in pairs])
+    found = F.regexp_extract_all(q, F.lit(pattern), 1)
+    best = F.array_min(F.transform(found, lambda a: ranks[a]))
+    return F.when(F.size(found) > 0, F.element_at(values, best + 1))
 
 
 def _any_sub(q: Column, words) -> Column:

@@ -99,13 +99,15 @@ def q_src_csv(spark, sf_dir):
     return tbl.src_csv(spark, tbl.csv_roundtrip_path(spark, sf_dir))
 
 
-def _scratch_table(spark: SparkSession, name: str) -> str:
-    return f"{tbl.tables_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def _scratch_table(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """A fixed table root per query and input: each run replaces its content."""
+    fp = tbl.fingerprint(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders")])
+    return f"{tbl.tables_root(spark)}/{name}-{fp}"
 
 
 @register("sink_replace", "SELECT COUNT(*) AS rows_written, COUNT(*) AS rows_read FROM transactions")
 def q_sink_replace(spark, sf_dir):
-    root = _scratch_table(spark, "replace")
+    root = _scratch_table(spark, "replace", sf_dir)
     src = txn(spark, sf_dir)
     tbl.sink_replace(spark, src.where(F.col("amount") > 0), root)  # first content, replaced below
     written = tbl.sink_replace(spark, src, root)
@@ -114,7 +116,7 @@ def q_sink_replace(spark, sf_dir):
 
 @register("sink_append", f"SELECT {COLS} FROM transactions UNION ALL SELECT {COLS} FROM transactions WHERE amount < 0")
 def q_sink_append(spark, sf_dir):
-    root = _scratch_table(spark, "append")
+    root = _scratch_table(spark, "append", sf_dir)
     src = txn(spark, sf_dir)
     tbl.sink_replace(spark, src, root)
     tbl.sink_append(spark, src.where(F.col("amount") < 0), root)
@@ -123,7 +125,7 @@ def q_sink_append(spark, sf_dir):
 
 @register("sink_csv_export", f"SELECT {COLS} FROM transactions")
 def q_sink_csv_export(spark, sf_dir):
-    path = _scratch_table(spark, "export")
+    path = _scratch_table(spark, "export", sf_dir)
     tbl.sink_csv_export(txn(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()), path)
     return tbl.src_csv(spark, path)
 
@@ -188,7 +190,7 @@ def q_norm_iso_date(spark, sf_dir):
 
 @register("normalize", f"SELECT {COLS} FROM transactions")
 def q_normalize(spark, sf_dir):
-    return clean.normalize(clean.normalize(raw_view(spark, sf_dir)))
+    return clean.normalize(raw_view(spark, sf_dir))
 
 
 @register("expense_view", EXPENSE_VIEW)
@@ -409,7 +411,7 @@ def q_null_counts(spark, sf_dir):
 
 @register("rows_after_write", "SELECT COUNT(*) AS rows FROM transactions")
 def q_rows_after_write(spark, sf_dir):
-    root = _scratch_table(spark, "loaded")
+    root = _scratch_table(spark, "loaded", sf_dir)
     tbl.sink_replace(spark, txn(spark, sf_dir), root)
     return summaries.rows_after_write(tbl.src_table(spark, root))
 

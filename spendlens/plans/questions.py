@@ -35,16 +35,18 @@ DIMS = ["category", "bank", "profile", "year", "month"]
 ANSWERED = (10, 11, 12, 18)
 
 
-def base_grain(transactions: DataFrame) -> DataFrame:
-    return transactions.groupBy(
+def base_grain(transactions: DataFrame, with_merchant: bool = False) -> DataFrame:
+    keys = [
         "category",
         "bank",
         "profile",
         F.year("date").alias("year"),
         F.month("date").alias("month"),
-        F.lower("merchant").alias("merchant_l"),
         F.signum("amount").cast("int").alias("sign"),
-    ).agg(
+    ]
+    if with_merchant:
+        keys.append(F.lower("merchant").alias("merchant_l"))
+    return transactions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.abs("amount").cast(MONEY)).alias("s_abs"),
         F.sum(F.col("amount").cast(MONEY)).alias("s_amt"),
@@ -66,10 +68,14 @@ def question_slots(tagged: DataFrame, key_cols: list[str]) -> DataFrame:
     )
 
 
-def _patterns(questions: DataFrame) -> list[tuple[str, ...]]:
+def _patterns(questions: DataFrame) -> dict[bool, list[tuple[str, ...]]]:
+    """Slot patterns in use, split by whether a merchant term is present (<= 2 * 2^5 rows)."""
     flags = [F.col(c).isNotNull().alias(c) for c in DIMS]
-    rows = questions.select(*flags).distinct().collect()  # <= 2^5 rows
-    return [tuple(c for c in DIMS if r[c]) for r in rows]
+    rows = questions.select(F.col("term").isNotNull().alias("has_term"), *flags).distinct().collect()
+    out: dict[bool, list[tuple[str, ...]]] = {False: [], True: []}
+    for r in rows:
+        out[bool(r["has_term"])].append(tuple(c for c in DIMS if r[c]))
+    return out
 
 
 def _rollup(base: DataFrame, patterns, extra: list[str]) -> DataFrame:
@@ -159,28 +165,24 @@ def answer_batch(tagged: DataFrame, transactions: DataFrame, key_cols: list[str]
     value: average (10), NULL (11), income total (12), spending total (18).
     """
     q = question_slots(tagged, key_cols)
-    base = base_grain(transactions)
+    patterns = _patterns(q)
     plain_q = q.where(F.col("term").isNull())
     merch_q = q.where(F.col("term").isNotNull())
 
     # Sign is matched per intent afterwards, so every sign row is joined.
     parts = []
-    patterns = _patterns(plain_q)
-    if patterns:
-        cells = _rollup(base, patterns, [])
+    if patterns[False]:
+        cells = _rollup(base_grain(transactions), patterns[False], [])
         j = plain_q.join(cells, _null_safe_on(plain_q, cells, DIMS), "left").select(
             *[plain_q[c] for c in key_cols], plain_q["intent"], plain_q["is_income"], "sign", "n", "s_abs", "s_amt"
         )
         parts.append(j)
-    m_patterns = _patterns(merch_q)
-    if m_patterns:
-        matches = gram_matches(merch_q, base)
-        cells_m = _rollup(base, m_patterns, ["merchant_l"])
-        per_term = (
-            matches.join(cells_m, "merchant_l")
-            .groupBy("term", *DIMS, "sign")
-            .agg(F.sum("n").alias("n"), F.sum("s_abs").alias("s_abs"), F.sum("s_amt").alias("s_amt"))
-        )
+    if patterns[True]:
+        merchants = transactions.select(F.lower("merchant").alias("merchant_l")).distinct()
+        matches = gram_matches(merch_q, merchants)
+        # Only merchants some term matches reach the roll-up, already summed per term.
+        per_merchant = base_grain(transactions, with_merchant=True).join(matches, "merchant_l")
+        per_term = _rollup(per_merchant, patterns[True], ["term"])
         on = _null_safe_on(merch_q, per_term, DIMS) & (merch_q["term"] == per_term["term"])
         j = merch_q.join(per_term, on, "left").select(
             *[merch_q[c] for c in key_cols], merch_q["intent"], merch_q["is_income"], "sign", "n", "s_abs", "s_amt"

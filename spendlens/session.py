@@ -44,12 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = jdir.get() if jdir.isDefined() else None
+        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="spendlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(current)  # once per context (it makes a sub-folder)
     return current.rstrip("/")
 
 

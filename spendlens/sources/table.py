@@ -15,6 +15,7 @@ statistics skip whole groups for date-range filters.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.operators.clean import normalize, raw_text_view
-from spendlens.schema import REQUIRED_COLUMNS
+from spendlens.schema import REQUIRED_COLUMNS, TRANSACTIONS
 from spendlens.session import shared_dir
 from spendlens.sources.binding import DRIVER_TABLES, bind_transactions, table_path
 
@@ -93,7 +94,7 @@ def src_table(spark: SparkSession, root: str) -> DataFrame:
     path = current_version(spark, root)
     if path is None:
         raise FileNotFoundError(f"No stored table at {root}")
-    return spark.read.parquet(path)
+    return spark.read.schema(TRANSACTIONS).parquet(path)
 
 
 def _write_version(df: DataFrame, path: str, mode: str) -> int:
@@ -103,6 +104,11 @@ def _write_version(df: DataFrame, path: str, mode: str) -> int:
     return int(obs.get["rows"])
 
 
+def _rows_marker(spark: SparkSession, version_path: str) -> int | None:
+    text = _read_text(spark, f"{version_path}/_ROWS")
+    return None if text is None else int(text)
+
+
 def save_transactions(spark: SparkSession, df: DataFrame, root: str, mode: str = "replace") -> int:
     """Clean, then replace or append; returns the number of rows written.
 
@@ -114,13 +120,28 @@ def save_transactions(spark: SparkSession, df: DataFrame, root: str, mode: str =
         raise ValueError("mode must be 'replace' or 'append'")
     current = current_version(spark, root)
     if mode == "append" and current is not None:
-        return _write_version(data, current, "append")
-    version = f"v-{uuid.uuid4().hex[:12]}"
+        before = _rows_marker(spark, current)
+        written = _write_version(data, current, "append")
+        if before is not None:
+            _write_text(spark, f"{current}/_ROWS", str(before + written))
+        return written
+    version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
     written = _write_version(data, f"{root}/{version}", "errorifexists")
+    _write_text(spark, f"{root}/{version}/_ROWS", str(written))
     _write_text(spark, f"{root}/_CURRENT", version)
+    _drop_old_versions(spark, root, keep=2)
     return written
 
 
+def _drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete versions older than the newest ``keep`` (the current one and the one before,
+    which a query started before the switch may still be reading)."""
+    fs, p = _fs(spark, root)
+    names = sorted(str(st.getPath().getName()) for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("v-"))
+    for name in names[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+
+
 def sink_replace(spark: SparkSession, df: DataFrame, root: str) -> int:
     return save_transactions(spark, df, root, "replace")
 
@@ -132,7 +153,10 @@ def sink_append(spark: SparkSession, df: DataFrame, root: str) -> int:
 def src_seed_fallback(spark: SparkSession, root: str, default: Callable[[], DataFrame]) -> DataFrame:
     """If the stored table is absent or empty, load the default dataset into it."""
     path = current_version(spark, root)
-    if path is None or spark.read.parquet(path).isEmpty():
+    if path is not None:
+        rows = _rows_marker(spark, path)
+        empty = spark.read.parquet(path).isEmpty() if rows is None else rows == 0
+    if path is None or empty:
         save_transactions(spark, default(), root, "replace")
     return src_table(spark, root)
 
@@ -178,6 +202,9 @@ def tables_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spendlens-tables"
 
 
+_STORED: dict[tuple[int, str], DataFrame] = {}
+
+
 def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bound driver tables, stored once per input fingerprint and then read.
 
@@ -185,9 +212,12 @@ def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     every question against the table): the 7-way binding join runs when the
     inputs change, not per query.
     """
-    fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
-    root = f"{tables_root(spark)}/transactions-{fp}"
-    return src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir)).select(*REQUIRED_COLUMNS)
+    key = (id(spark), sf_dir)
+    if key not in _STORED:  # resolved once per session and input folder
+        fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
+        root = f"{tables_root(spark)}/transactions-{fp}"
+        _STORED[key] = src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir)).select(*REQUIRED_COLUMNS)
+    return _STORED[key]
 
 
 def csv_roundtrip_path(spark: SparkSession, sf_dir: str) -> str:
