@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.operators import clean, detail, filters, intents, results, setops, summaries
+from spendlens.operators import clean, describe, detail, filters, intents, results, setops, summaries
 from spendlens.operators.detail import DetailSpec
 from spendlens.operators.filters import Slots
 from spendlens.sources import table as tbl
@@ -409,6 +409,27 @@ def q_null_counts(spark, sf_dir):
     return summaries.null_counts(txn(spark, sf_dir))
 
 
+_TEXT_DESCRIBE = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, (SELECT COUNT({c}) FROM transactions) AS count, (SELECT COUNT(DISTINCT {c}) FROM transactions) AS unique,"
+    f" (SELECT {c} FROM transactions WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1) AS top,"
+    f" (SELECT COUNT(*) FROM transactions WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC LIMIT 1) AS freq,"
+    " NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS q25, NULL::DOUBLE AS q50,"
+    " NULL::DOUBLE AS q75, NULL::DOUBLE AS max"
+    for c in ("merchant", "description", "category", "profile", "bank", "currency")
+)
+
+
+@register(
+    "describe_all",
+    "SELECT 'amount' AS column, COUNT(amount) AS count, NULL::BIGINT AS unique, NULL::VARCHAR AS top, NULL::BIGINT AS freq,"
+    " round(avg(amount), 6) AS mean, round(stddev_samp(amount), 6) AS std, round(min(amount), 6) AS min,"
+    " round(quantile_cont(amount, 0.25), 6) AS q25, round(quantile_cont(amount, 0.5), 6) AS q50,"
+    " round(quantile_cont(amount, 0.75), 6) AS q75, round(max(amount), 6) AS max FROM transactions UNION ALL " + _TEXT_DESCRIBE,
+)
+def q_describe_all(spark, sf_dir):
+    return describe.describe_all(txn(spark, sf_dir))
+
+
 @register("rows_after_write", "SELECT COUNT(*) AS rows FROM transactions")
 def q_rows_after_write(spark, sf_dir):
     root = _scratch_table(spark, "loaded", sf_dir)
@@ -635,3 +656,24 @@ def q_distinct(spark, sf_dir):
 def q_union_append(spark, sf_dir):
     t = txn(spark, sf_dir)
     return setops.union_append(t, t.where(F.col("amount") > 0))
+
+
+# --- incremental upload (Structured Streaming) ------------------------------------------------------
+
+
+@register("stream_ingest", f"SELECT {COLS} FROM transactions")
+def q_stream_ingest(spark, sf_dir):
+    from spendlens.streaming import ingest
+
+    root = _scratch_table(spark, "stream", sf_dir)
+    query = ingest.ingest(spark, tbl.csv_roundtrip_path(spark, sf_dir), root)
+    query.awaitTermination()
+    return ingest.read_ingested(spark, root)
+
+
+@register("src_seed_fallback", f"SELECT {COLS} FROM transactions")
+def q_src_seed_fallback(spark, sf_dir):
+    from spendlens.sources.binding import bind_transactions
+
+    root = _scratch_table(spark, "seeded", sf_dir)
+    return tbl.src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir))

@@ -172,6 +172,20 @@ def q_ml_recategorize(spark, sf_dir):
     return ml.recategorize(spark, txn(spark, sf_dir), f"{root}/model")
 
 
+@register("ml_save", None)
+def q_ml_save(spark, sf_dir):
+    model, _, root = trained(spark, sf_dir)
+    ml.save_model(model, f"{root}/saved")
+    return spark.read.json(f"{root}/saved/metadata")
+
+
+@register("ml_load", None)
+def q_ml_load(spark, sf_dir):
+    _, _, root = trained(spark, sf_dir)
+    loaded = ml.load_model(spark, f"{root}/model")
+    return ml.predict(loaded, txn(spark, sf_dir).where(F.col("amount") < 0))
+
+
 @register("ml_save_load", None)
 def q_ml_save_load(spark, sf_dir):
     model, _, root = trained(spark, sf_dir)

@@ -95,3 +95,19 @@ def test_results_and_setops(spark, txn):
     assert [r.category for r in setops.taxonomy_unexpected(txn).collect()] == []
     assert "Housing" in [r.category for r in setops.taxonomy_missing(txn).collect()]
     assert setops.profile_coverage(txn).first().all_present is True
+
+
+def test_exact_quantiles_bucketed(spark, monkeypatch):
+    import numpy as np
+
+    from spendlens.operators import describe
+
+    monkeypatch.setattr(describe, "LEAF", 8)
+    monkeypatch.setattr(describe, "BINS", 4)
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.normal(0, 100, 500).round(2), np.full(300, 5.0), rng.exponential(1000, 200).round(2)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "amount double")
+    n, q = describe.exact_quantiles(df, "amount", [0.25, 0.5, 0.75, 0.0, 1.0])
+    assert n == len(vals)
+    for p, v in q.items():
+        assert math.isclose(v, float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-9), p
