@@ -4,13 +4,14 @@ The binding is a fixture, not an operator (FIXTURES.md section 3). The Spark
 plan below and ``BINDING_SQL`` (run by DuckDB in the oracle) compute the same
 rows: one row per lineitem.
 
-Scale notes: lineitem and orders are the two large inputs and meet in one
-shuffle on the order key. Customer rows are first enriched with their region
-(nation and region are fixed-size TPC tables; Catalyst broadcasts them by file
-size), then joined on the customer key. Part and supplier grow with the scale
-factor, so no hint is forced on them: Catalyst / AQE choose broadcast only
-when the measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
-Each input is pruned to the columns used before any join.
+Scale notes: customers are enriched with their region first (nation and
+region are fixed-size tables; Catalyst broadcasts them by file size), then
+orders meet their customer - an orders-sized shuffle on the customer key.
+Lineitem, the largest input, is then shuffled once per remaining key (order,
+part, supplier); at 100 TB none of orders, part or supplier fits a broadcast,
+so no hint is forced: Catalyst / AQE choose a broadcast only when the
+measured size is under ``spark.sql.autoBroadcastJoinThreshold``. Every input
+is pruned to the columns used before any join.
 """
 
 from __future__ import annotations
@@ -48,9 +49,12 @@ def bind_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     signed = F.when(F.col("l_returnflag") == "R", price).otherwise(-price)
 
+    # Orders meet their customer first (an orders-sized shuffle), so the
+    # lineitem-sized side is shuffled once per remaining key: order, part,
+    # supplier. The name columns join last so they ride through few shuffles.
+    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_orderdate", "profile", "bank")
     return (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(cust, F.col("o_custkey") == cust.c_custkey)
+        li.join(order_cust, li.l_orderkey == order_cust.o_orderkey)
         .join(part, F.col("l_partkey") == part.p_partkey)
         .join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
         .select(
