@@ -111,3 +111,19 @@ def test_exact_quantiles_bucketed(spark, monkeypatch):
     assert n == len(vals)
     for p, v in q.items():
         assert math.isclose(v, float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-9), p
+
+
+def test_forest_beats_majority_class(spark):
+    from spendlens.plans.catalog import txn
+
+    t = txn(spark, "/root/testdata/sf0.001")
+    model, preds = ml.train_model(t, num_trees=10, max_depth=8)
+    rows = preds.select("category", "predicted_category").collect()
+    assert len(rows) > 0 and all(r.predicted_category is not None for r in rows)
+    acc = sum(r.category == r.predicted_category for r in rows) / len(rows)
+    counts = {}
+    for r in rows:
+        counts[r.category] = counts.get(r.category, 0) + 1
+    assert acc >= max(counts.values()) / len(rows)
+    out = ml.predict(model, t.limit(5))
+    assert out.columns[-1] == "predicted_category" and out.count() == 5
