@@ -56,10 +56,41 @@ MONTH_NAMES = [
     ("december", 12),
 ]
 YEARS = ["2024", "2025", "2026"]
-# Word lists of the reference's question rules.
+
+# Word lists and phrases of the reference's question rules.
 INCOME_WORDS = ["income", "receive", "received", "salary", "payroll", "deposit"]
 INCOME_DETAIL_WORDS = ["income", "receive", "received"]
 SPENDING_WORDS = ["spend", "spent", "spending", "expense", "expenses"]
+LISTING_WORDS = ["show", "transaction"]  # all must occur
+TOP_THREE_PHRASES = ["top 3", "top three"]
+MERCHANT_OVERRIDE = "starbucks"  # found anywhere in a question, it is the merchant
+
+# The question rules in precedence order (first match wins; 19 otherwise).
+# Each rule is a list of alternatives; an alternative is (phrases that must all occur
+# in the lower-cased question, slot conditions). PROFILE_WORD stands for any profile
+# alias of the vocabulary; "any_slot" means some slot is set.
+PROFILE_WORD = "<profile alias>"
+INTENT_RULES = [
+    (1, [(["recurring"], {})]),
+    (2, [(["frequent", "subscription"], {})]),
+    (3, [(["transaction"], {"merchant": True})]),
+    (4, [(["compare", "january", "february"], {})]),
+    (5, [(["largest", "category"], {})]),
+    (6, [(["which profile", "spent the most"], {}), (["which profile", "spending"], {})]),
+    (7, [(["compare", PROFILE_WORD], {})]),
+    (8, [(["top merchant"], {})]),
+    (9, [(["top categor"], {}), (["spending by category"], {"category": False})]),
+    (10, [(["average"], {}), (["avg"], {})]),
+    (11, [(["how many"], {}), (["count"], {}), (["number of transactions"], {})]),
+    (12, [([], {"is_income": True})]),
+    (13, [(["by bank"], {"bank": False})]),
+    (14, [(["by profile"], {"profile": False})]),
+    (15, [(["by month"], {}), (["monthly"], {})]),
+    (16, [(["by year"], {}), (["yearly"], {})]),
+    (17, [(["last month"], {"category": True})]),
+    (18, [([], {"any_slot": True})]),
+]
+DEFAULT_INTENT = 19
 
 
 @dataclass(frozen=True)
@@ -69,7 +100,7 @@ class Vocabulary:
     profiles: list = field(default_factory=lambda: list(PROFILE_ALIASES))
     months: list = field(default_factory=lambda: list(MONTH_NAMES))
     years: list = field(default_factory=lambda: list(YEARS))
-    merchant_override: str | None = "starbucks"
+    merchant_override: str | None = MERCHANT_OVERRIDE
 
     def blocked(self) -> list[str]:
         """Aliases that can never be a merchant."""

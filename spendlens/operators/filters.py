@@ -16,6 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the "no filter" choice of the profile / bank / category selectors.
 ALL = "All"
 
 

@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 from spendlens.functions.text import NON_WORD, SPACE, alternatives_word_pattern, escape, sql_str, word_pattern
 from spendlens.functions.vocab import (
     DEFAULT,
+    DEFAULT_INTENT,
     INCOME_DETAIL_WORDS,
     INCOME_WORDS,
+    INTENT_RULES,
+    LISTING_WORDS,
+    PROFILE_WORD,
     SPENDING_WORDS,
+    TOP_THREE_PHRASES,
     Vocabulary,
 )
 
@@ -73,6 +78,13 @@ def _any_sub(q: Column, words) -> Column:
     return out
 
 
+def _all_sub(q: Column, words) -> Column:
+    out = F.lit(True)
+    for w in words:
+        out = out & q.contains(w)
+    return out
+
+
 def tag_columns(question: Column, vocab: Vocabulary = DEFAULT) -> dict[str, Column]:
     q = F.lower(question)
     category = _first_alias(q, vocab.categories)
@@ -99,39 +111,51 @@ def tag_columns(question: Column, vocab: Vocabulary = DEFAULT) -> dict[str, Colu
         "is_income": _any_sub(q, INCOME_WORDS),
         "is_income_detail": _any_sub(q, INCOME_DETAIL_WORDS),
         "is_spending": _any_sub(q, SPENDING_WORDS),
-        "is_listing": q.contains("show") & q.contains("transaction"),
+        "is_listing": _all_sub(q, LISTING_WORDS),
     }
 
 
+SLOTS = ("category", "bank", "profile", "year", "month", "merchant")
+
+
+def _compile_rules(has, all_of, any_of, is_set, is_true, negate, vocab: Vocabulary):
+    """The rule table as nested conditions, built with the given dialect's primitives."""
+    profile_word = any_of([has(a) for a, _ in vocab.profiles])
+    compiled = []
+    for num, alternatives in INTENT_RULES:
+        alts = []
+        for phrases, slot_conds in alternatives:
+            parts = [profile_word if p == PROFILE_WORD else has(p) for p in phrases]
+            for slot, want in slot_conds.items():
+                if slot == "any_slot":
+                    parts.append(any_of([is_set(k) for k in SLOTS]))
+                elif slot == "is_income":
+                    parts.append(is_true("is_income"))
+                else:
+                    parts.append(is_set(slot) if want else negate(is_set(slot)))
+            alts.append(all_of(parts))
+        compiled.append((num, any_of(alts)))
+    return compiled
+
+
 def intent_column(question: Column, tags: dict[str, Column], vocab: Vocabulary = DEFAULT) -> Column:
-    """Intent number 1-19, first rule that matches."""
+    """Intent number 1-19: the first rule of ``INTENT_RULES`` that matches."""
     q = F.lower(question)
-    has = q.contains
-    profile_words = _any_sub(q, [a for a, _ in vocab.profiles])
-    any_slot = F.lit(False)
-    for k in ("category", "bank", "profile", "year", "month", "merchant"):
-        any_slot = any_slot | tags[k].isNotNull()
-    rules = [
-        (1, has("recurring")),
-        (2, has("frequent") & has("subscription")),
-        (3, tags["merchant"].isNotNull() & has("transaction")),
-        (4, has("compare") & has("january") & has("february")),
-        (5, has("largest") & has("category")),
-        (6, has("which profile") & (has("spent the most") | has("spending"))),
-        (7, has("compare") & profile_words),
-        (8, has("top merchant")),
-        (9, has("top categor") | (has("spending by category") & tags["category"].isNull())),
-        (10, has("average") | has("avg")),
-        (11, has("how many") | has("count") | has("number of transactions")),
-        (12, tags["is_income"]),
-        (13, has("by bank") & tags["bank"].isNull()),
-        (14, has("by profile") & tags["profile"].isNull()),
-        (15, has("by month") | has("monthly")),
-        (16, has("by year") | has("yearly")),
-        (17, has("last month") & tags["category"].isNotNull()),
-        (18, any_slot),
-    ]
-    out = F.lit(19)
+
+    def all_of(xs):
+        out = F.lit(True)
+        for x in xs:
+            out = out & x
+        return out
+
+    def any_of(xs):
+        out = F.lit(False)
+        for x in xs:
+            out = out | x
+        return out
+
+    rules = _compile_rules(q.contains, all_of, any_of, lambda k: tags[k].isNotNull(), lambda k: tags[k], lambda c: ~c, vocab)
+    out = F.lit(DEFAULT_INTENT)
     for num, cond in reversed(rules):
         out = F.when(cond, F.lit(num)).otherwise(out)
     return out
@@ -146,7 +170,7 @@ def tag_questions(df: DataFrame, text_col: str = "text", vocab: Vocabulary = DEF
     return out.withColumns(
         {
             "intent": intent_column(F.col(text_col), tag_cols, vocab),
-            "top3": q.contains("top 3") | q.contains("top three"),
+            "top3": _any_sub(q, TOP_THREE_PHRASES),
         }
     )
 
@@ -187,36 +211,19 @@ def tag_sql(text: str, vocab: Vocabulary = DEFAULT) -> dict[str, str]:
         "is_income": _sql_any_sub(q, INCOME_WORDS),
         "is_income_detail": _sql_any_sub(q, INCOME_DETAIL_WORDS),
         "is_spending": _sql_any_sub(q, SPENDING_WORDS),
-        "is_listing": f"(contains({q}, 'show') AND contains({q}, 'transaction'))",
+        "is_listing": "(" + " AND ".join(f"contains({q}, {sql_str(w)})" for w in LISTING_WORDS) + ")",
     }
 
 
 def intent_sql(text: str, tags: dict[str, str], vocab: Vocabulary = DEFAULT) -> str:
     q = f"lower({text})"
-
-    def has(s):
-        return f"contains({q}, {sql_str(s)})"
-
-    profile_words = _sql_any_sub(q, [a for a, _ in vocab.profiles])
-    any_slot = " OR ".join(f"{tags[k]} IS NOT NULL" for k in ("category", "bank", "profile", "year", "month", "merchant"))
-    rules = [
-        (1, has("recurring")),
-        (2, f"{has('frequent')} AND {has('subscription')}"),
-        (3, f"{tags['merchant']} IS NOT NULL AND {has('transaction')}"),
-        (4, f"{has('compare')} AND {has('january')} AND {has('february')}"),
-        (5, f"{has('largest')} AND {has('category')}"),
-        (6, f"{has('which profile')} AND ({has('spent the most')} OR {has('spending')})"),
-        (7, f"{has('compare')} AND {profile_words}"),
-        (8, has("top merchant")),
-        (9, f"{has('top categor')} OR ({has('spending by category')} AND {tags['category']} IS NULL)"),
-        (10, f"{has('average')} OR {has('avg')}"),
-        (11, f"{has('how many')} OR {has('count')} OR {has('number of transactions')}"),
-        (12, tags["is_income"]),
-        (13, f"{has('by bank')} AND {tags['bank']} IS NULL"),
-        (14, f"{has('by profile')} AND {tags['profile']} IS NULL"),
-        (15, f"{has('by month')} OR {has('monthly')}"),
-        (16, f"{has('by year')} OR {has('yearly')}"),
-        (17, f"{has('last month')} AND {tags['category']} IS NOT NULL"),
-        (18, any_slot),
-    ]
-    return "(CASE " + " ".join(f"WHEN {c} THEN {n}" for n, c in rules) + " ELSE 19 END)"
+    rules = _compile_rules(
+        lambda p: f"contains({q}, {sql_str(p)})",
+        lambda xs: "(" + " AND ".join(xs) + ")" if xs else "true",
+        lambda xs: "(" + " OR ".join(xs) + ")" if xs else "false",
+        lambda k: f"({tags[k]} IS NOT NULL)",
+        lambda k: f"({tags[k]})",
+        lambda c: f"(NOT {c})",
+        vocab,
+    )
+    return "(CASE " + " ".join(f"WHEN {c} THEN {n}" for n, c in rules) + f" ELSE {DEFAULT_INTENT} END)"
