@@ -107,6 +107,9 @@ def gram_matches(terms: DataFrame, merchants: DataFrame, max_k: int = 3) -> Data
         F.explode(F.expr("transform(sequence(1, length(term) - k + 1), i -> substring(term, i, k))")).alias("gram"),
     ).distinct()
     m = merchants.select("merchant_l").distinct()
+    # Merchant grams are exploded map-side and immediately cut to the grams that
+    # occur in some term (a semi-join against the small term-gram set), so only
+    # relevant grams are shuffled, counted and joined.
     m_grams = (
         m.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, max_k + 1)])))
         .where(F.length("merchant_l") >= F.col("k"))
@@ -114,6 +117,7 @@ def gram_matches(terms: DataFrame, merchants: DataFrame, max_k: int = 3) -> Data
             "merchant_l", "k",
             F.explode(F.expr("transform(sequence(1, length(merchant_l) - k + 1), i -> substring(merchant_l, i, k))")).alias("gram"),
         )
+        .join(t_grams.select("k", "gram").distinct(), ["k", "gram"], "left_semi")
         .distinct()
     )
     freq = m_grams.groupBy("k", "gram").agg(F.count(F.lit(1)).alias("f"))
@@ -180,8 +184,11 @@ def answer_batch(tagged: DataFrame, transactions: DataFrame, key_cols: list[str]
     if patterns[True]:
         merchants = transactions.select(F.lower("merchant").alias("merchant_l")).distinct()
         matches = gram_matches(merch_q, merchants)
-        # Only merchants some term matches reach the roll-up, already summed per term.
-        per_merchant = base_grain(transactions, with_merchant=True).join(matches, "merchant_l")
+        # Only rows of merchants some term matches are aggregated (semi-join on the
+        # matched set), then summed per term.
+        matched = matches.select("merchant_l").distinct()
+        rows = transactions.join(matched, F.lower(transactions["merchant"]) == matched["merchant_l"], "left_semi")
+        per_merchant = base_grain(rows, with_merchant=True).join(matches, "merchant_l")
         per_term = _rollup(per_merchant, patterns[True], ["term"])
         on = _null_safe_on(merch_q, per_term, DIMS) & (merch_q["term"] == per_term["term"])
         j = merch_q.join(per_term, on, "left").select(
