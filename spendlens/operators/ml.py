@@ -279,7 +279,7 @@ def train_model(df: DataFrame, num_trees: int = 250, max_depth: int = 30, seed:
     test = split.where(F.col("split") == "test")
 
     weights = class_weights(train)
-    train_w = train.join(F.broadcast(weights), "category")  # one row per label
+    train_w = train.join(weights, "category")  # one row per label; AQE broadcasts it by measured size
 
     text_prep = Pipeline(stages=_text_stages()).fit(train_w)
     prepped = text_prep.transform(train_w)

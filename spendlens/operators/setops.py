@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from spendlens.schema import CATEGORY_TAXONOMY, PROFILES
 
 
+# Order among equal keys is unspecified in the reference; the remaining columns are
+# appended as tie-breakers so that the range partitioner can split a hot key (one
+# date holding a large share of rows) across tasks instead of one partition.
+_TIE = ["merchant", "description", "amount", "category", "profile", "bank", "currency"]
+
+
 def sort_recent(df: DataFrame) -> DataFrame:
     """Whole table, newest first (range-partitioned distributed sort)."""
-    return df.orderBy(F.desc("date"))
+    return df.orderBy(F.desc("date"), *[c for c in _TIE if c in df.columns])
 
 
 def sort_canonical(df: DataFrame) -> DataFrame:
-    return df.orderBy("profile", "bank", "date", "merchant")
+    keys = ["profile", "bank", "date", "merchant"]
+    return df.orderBy(*keys, *[c for c in _TIE if c in df.columns and c not in keys])
 
 
 def topk(df: DataFrame, order: Sequence, k: int) -> DataFrame:
