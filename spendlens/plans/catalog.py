@@ -606,12 +606,12 @@ def q_result_top3(spark, sf_dir):
 # --- 2.7 sorts, limits, set operations -----------------------------------------------------------------
 
 
-@register("sort_recent", None)
+@register("sort_recent", f"SELECT {COLS} FROM transactions ORDER BY date DESC, merchant, description, amount, category, profile, bank, currency")
 def q_sort_recent(spark, sf_dir):
     return setops.sort_recent(txn(spark, sf_dir))
 
 
-@register("sort_canonical", None)
+@register("sort_canonical", f"SELECT {COLS} FROM transactions ORDER BY profile, bank, date, merchant, description, amount, category, currency")
 def q_sort_canonical(spark, sf_dir):
     return setops.sort_canonical(txn(spark, sf_dir))
 
