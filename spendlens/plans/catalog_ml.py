@@ -80,7 +80,7 @@ def q_ml_tfidf(spark, sf_dir):
 
 
 _Z = ", ".join(
-    f"round(({c} - avg_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 4) AS {c}_z" for c in ml.NUMERIC_FEATURES
+    f"round(({c} - avg_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END, 4) + 0.0 AS {c}_z" for c in ml.NUMERIC_FEATURES
 )
 _S = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}" for c in ml.NUMERIC_FEATURES)
 
@@ -89,7 +89,8 @@ _S = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}" for c in ml.NUM
 def q_ml_scale(spark, sf_dir):
     feats = clean.feature_view(txn(spark, sf_dir))
     out = ml.zscore(feats, ml.scale_stats(feats))
-    return out.select(*[F.round(f"{c}_z", 4).alias(f"{c}_z") for c in ml.NUMERIC_FEATURES])
+    # "+ 0.0" turns a rounded -0.0 into 0.0 on both sides.
+    return out.select(*[(F.round(f"{c}_z", 4) + F.lit(0.0)).alias(f"{c}_z") for c in ml.NUMERIC_FEATURES])
 
 
 @register(
