@@ -8,7 +8,6 @@ fixed values from the bound domains (FIXTURES.md section 3).
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -142,12 +141,6 @@ def raw_view(spark, sf_dir) -> DataFrame:
     return clean.raw_text_view(txn(spark, sf_dir), RAW_HEADERS).withColumn("Spare Column", F.lit("x"))
 
 
-RAW_SQL = (
-    "SELECT strftime(date, '%Y-%m-%d') AS date, merchant, description, CAST(amount AS VARCHAR) AS amount,"
-    " category, profile, bank, currency FROM transactions"
-)
-
-
 @register("norm_headers", "SELECT strftime(date, '%Y-%m-%d') AS date, merchant, description, amount, category, profile, bank, currency, 'x' AS spare_column FROM transactions")
 def q_norm_headers(spark, sf_dir):
     out = clean.norm_headers(raw_view(spark, sf_dir))
@@ -574,9 +567,6 @@ def q_detail_totals(spark, sf_dir):
 
 # --- 2.6 result-level ------------------------------------------------------------------------------
 
-SLOT_TOTAL_SQL = REGISTRY["top_categories"].sql
-
-
 @register(
     "result_zero_like",
     "WITH r AS (" + TOP_BY.format(k="category", w="amount < 0 AND category = 'NO SUCH'") + ")"
