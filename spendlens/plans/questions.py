@@ -20,6 +20,7 @@ are then answered for all questions together:
 
 A hot slot key (many questions with the same slots) is one cell on the
 other side of the join; AQE's skew-join handling splits the question side.
+The tagged question slots are checkpointed (shared checkpoint folder) once.
 """
 
 from __future__ import annotations
@@ -168,7 +169,10 @@ def answer_batch(tagged: DataFrame, transactions: DataFrame, key_cols: list[str]
 
     value: average (10), NULL (11), income total (12), spending total (18).
     """
-    q = question_slots(tagged, key_cols)
+    # The tagged slots are written once to the shared checkpoint folder: tagging
+    # (regex over whole texts) then runs once, for both the pattern list and the
+    # join, and a lost executor does not re-tag the question table.
+    q = question_slots(tagged, key_cols).checkpoint(eager=True)
     patterns = _patterns(q)
     plain_q = q.where(F.col("term").isNull())
     merch_q = q.where(F.col("term").isNotNull())
