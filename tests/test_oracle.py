@@ -47,3 +47,20 @@ def test_oracle(spark, con, key):
 @pytest.mark.parametrize("key", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
 def test_rows_only(spark, key):
     assert E.queries()[key](spark, SF_SMALL).count() >= 0
+
+
+BAD_OPERATORS = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython")
+PLAN_SKIP = SLOW | {"describe_all", "stream_ingest"}  # these run actions while building their result
+
+
+@pytest.mark.parametrize("key", sorted(set(E.queries()) - PLAN_SKIP))
+def test_plan_has_no_pairwise_join_or_python_udf(spark, key):
+    import contextlib
+    import io
+
+    df = E.queries()[key](spark, SF_SMALL)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    plan = buf.getvalue()
+    assert not [op for op in BAD_OPERATORS if op in plan], plan
