@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.money import count_rows, exact_sum, money, round_sum_2
-from spendlens.operators.clean import date_parts, expense_only, expense_view
+from spendlens.operators.clean import date_parts, expense_only
 from spendlens.operators.filters import flt_positive_expense
 
 
@@ -46,18 +46,18 @@ def kpi_demo(view: DataFrame) -> DataFrame:
     )
 
 
-def _joined_distinct(df: DataFrame, expr, name: str):
-    # Values are reduced to their distinct set first (partial aggregate per
-    # partition), so the final list holds one entry per domain value.
+def _joined_distinct(expr, name: str):
+    # collect_set keeps one entry per value in each partial aggregate, so the final
+    # merge holds the value domain (profiles, banks, years), not the rows.
     return F.array_join(F.array_sort(F.collect_set(expr.cast("string"))), ", ").alias(name)
 
 
 def kpi_domains(view: DataFrame) -> DataFrame:
     """Sorted distinct profiles, banks, years, each as one string."""
     return view.agg(
-        _joined_distinct(view, F.col("profile"), "profiles"),
-        _joined_distinct(view, F.col("bank"), "banks"),
-        _joined_distinct(view, F.year("date"), "years"),
+        _joined_distinct(F.col("profile"), "profiles"),
+        _joined_distinct(F.col("bank"), "banks"),
+        _joined_distinct(F.year("date"), "years"),
     )
 
 
@@ -180,13 +180,3 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def rows_after_write(df: DataFrame) -> DataFrame:
     return df.agg(count_rows().alias("rows"))
-
-
-def expense_dashboard(df: DataFrame):
-    """The four dashboard tables of one filtered view, sharing one cached view."""
-    view = expense_view(df)
-    return {
-        "kpi": kpi_dashboard(view),
-        "by_category": spend_by_category(view),
-        "by_month": cashflow_by_month(view),
-    }
