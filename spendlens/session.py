@@ -43,15 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; only when the session has none (local
     tests) a scratch folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="spendlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(current)  # once per context (it makes a sub-folder)
-    return current.rstrip("/")
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    ckpt = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current:
+        if not ckpt.isDefined():
+            spark.sparkContext.setCheckpointDir(current)  # once per context (it makes a sub-folder)
+        return current.rstrip("/")
+    # Unset (bare local runs): a scratch folder becomes the context's checkpoint folder, once.
+    if not ckpt.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-ckpt-"))
+        ckpt = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return str(ckpt.get()).rstrip("/")
 
 
 def sf_dir_default() -> str:
