@@ -71,6 +71,47 @@ def _first_alias(q: Column, pairs) -> Column:
     return F.when(F.size(found) > 0, F.element_at(values, best + 1))
 
 
+def _rank_lookup(ranks: Column):
+    return lambda alias: F.try_element_at(ranks, alias)  # NULL for another slot's alias
+
+
+def _slot_kinds(vocab: Vocabulary) -> dict[str, list]:
+    return {"category": vocab.categories, "bank": vocab.banks, "profile": vocab.profiles, "month": vocab.months}
+
+
+def slot_aliases_found(q: Column, vocab: Vocabulary) -> Column | None:
+    """Every whole-word alias occurrence of any slot vocabulary, from ONE regex scan
+    (None when an alias is a whole-word part of another: then one scan per slot)."""
+    every = [pair for pairs in _slot_kinds(vocab).values() for pair in pairs]
+    if _nested(every):
+        return None
+    aliases = list(dict.fromkeys(a for a, _ in every))
+    pattern = rf"(?<![\pL\pN_])({'|'.join(escape(a) for a in aliases)})(?![\pL\pN_])"
+    return F.regexp_extract_all(q, F.lit(pattern), 1)
+
+
+def _slot_scan(q: Column, vocab: Vocabulary, found: Column | None = None) -> dict[str, Column]:
+    """category, bank, profile, month: per slot, the alias earliest in that slot's list
+    among the aliases found in the text."""
+    kinds = _slot_kinds(vocab)
+    found = found if found is not None else slot_aliases_found(q, vocab)
+    if found is None:
+        return {k: _first_alias(q, pairs) for k, pairs in kinds.items()}
+    out = {}
+    for kind, pairs in kinds.items():
+        if not pairs:
+            out[kind] = F.lit(None)
+            continue
+        first_rank: dict[str, int] = {}
+        for i, (a, _) in enumerate(pairs):
+            first_rank.setdefault(a, i)
+        ranks = F.create_map(*[x for a, i in first_rank.items() for x in (F.lit(a), F.lit(i))])
+        values = F.array(*[F.lit(str(v)) for _, v in pairs])
+        best = F.array_min(F.transform(found, _rank_lookup(ranks)))
+        out[kind] = F.when(best.isNotNull(), F.element_at(values, best + 1))
+    return out
+
+
 def _any_sub(q: Column, words) -> Column:
     out = F.lit(False)
     for w in words:
@@ -85,13 +126,12 @@ def _all_sub(q: Column, words) -> Column:
     return out
 
 
-def tag_columns(question: Column, vocab: Vocabulary = DEFAULT) -> dict[str, Column]:
+def tag_columns(question: Column, vocab: Vocabulary = DEFAULT, found: Column | None = None) -> dict[str, Column]:
     q = F.lower(question)
-    category = _first_alias(q, vocab.categories)
-    bank = _first_alias(q, vocab.banks)
-    profile = _first_alias(q, vocab.profiles)
+    slots = _slot_scan(q, vocab, found)
+    category, bank, profile = slots["category"], slots["bank"], slots["profile"]
     year = F.nullif(F.regexp_extract(q, alternatives_word_pattern(vocab.years), 1), F.lit("")).cast("int")
-    month = _first_alias(q, vocab.months).cast("int")
+    month = slots["month"].cast("int")
 
     blocked = F.array(*[F.lit(a) for a in vocab.blocked()])
     merchant = None
@@ -163,7 +203,12 @@ def intent_column(question: Column, tags: dict[str, Column], vocab: Vocabulary =
 
 def tag_questions(df: DataFrame, text_col: str = "text", vocab: Vocabulary = DEFAULT) -> DataFrame:
     """Adds slot, flag and intent columns; also ``top3`` for the frequency intent."""
-    tags = tag_columns(F.col(text_col), vocab)
+    # The slot-alias scan is its own column, so the four slots share one regex pass.
+    found = slot_aliases_found(F.lower(F.col(text_col)), vocab)
+    if found is not None:
+        df = df.withColumn("_slot_aliases", found)
+        found = F.col("_slot_aliases")
+    tags = tag_columns(F.col(text_col), vocab, found)
     out = df.withColumns(tags)
     q = F.lower(F.col(text_col))
     tag_cols = {k: F.col(k) for k in tags}
@@ -172,7 +217,7 @@ def tag_questions(df: DataFrame, text_col: str = "text", vocab: Vocabulary = DEF
             "intent": intent_column(F.col(text_col), tag_cols, vocab),
             "top3": _any_sub(q, TOP_THREE_PHRASES),
         }
-    )
+    ).drop("_slot_aliases")
 
 
 # --- DuckDB oracle text --------------------------------------------------------------------------

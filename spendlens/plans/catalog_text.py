@@ -45,8 +45,7 @@ _SQL_TAGS = tagging.tag_sql("text", DEFAULT)
 def _tag_query(key: str, tag: str):
     @register(key, f"SELECT conv_id, turn, {_SQL_TAGS[tag]} AS {tag} FROM conversations", raw_sql=True)
     def q(spark, sf_dir):
-        conv = conversations(spark, sf_dir)
-        return conv.select(*KEYS, tagging.tag_columns(F.col("text"), DEFAULT)[tag].alias(tag))
+        return tagging.tag_questions(conversations(spark, sf_dir), "text", DEFAULT).select(*KEYS, tag)
 
     return q
 
