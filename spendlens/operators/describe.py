@@ -112,9 +112,23 @@ def describe_all(df: DataFrame, numeric=("amount",), text=("merchant", "descript
         _, q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
         rows.append((c, st["n"], None, None, None, _r(st["mean"]), _r(st["std"]), _r(st["mn"]), _r(q[0.25]), _r(q[0.5]),
                      _r(q[0.75]), _r(st["mx"])))
-    for c in text:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        st = counts.agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("u"), F.max("k").alias("freq")).first()
-        top = counts.where(F.col("k") == st["freq"]).agg(F.min(c)).first()[0] if st["freq"] is not None else None
-        rows.append((c, st["n"] or 0, st["u"], top, st["freq"], None, None, None, None, None, None, None))
+    if text:
+        # All text columns in one pass: (column, value) pairs, counted per pair (partial
+        # aggregation before the shuffle), then one summary row per column. The top value
+        # is the most frequent, ties to the smallest: max over (count, -value) ordering.
+        pairs = df.select(
+            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in text])).alias("p")
+        ).select("p.*").where(F.col("value").isNotNull())
+        counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
+        summary = counts.groupBy("column").agg(
+            F.sum("k").alias("n"),
+            F.count(F.lit(1)).alias("u"),
+            F.max("k").alias("freq"),
+            F.min_by("value", F.struct(-F.col("k"), F.col("value"))).alias("top"),
+        )
+        by_col = {r["column"]: r for r in summary.collect()}  # one row per text column
+        for c in text:
+            r = by_col.get(c)
+            rows.append((c, r["n"] if r else 0, r["u"] if r else 0, r["top"] if r else None, r["freq"] if r else None,
+                         None, None, None, None, None, None, None))
     return df.sparkSession.createDataFrame(rows, SCHEMA)
