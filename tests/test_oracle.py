@@ -64,3 +64,28 @@ def test_plan_has_no_pairwise_join_or_python_udf(spark, key):
         df.explain()
     plan = buf.getvalue()
     assert not [op for op in BAD_OPERATORS if op in plan], plan
+
+
+def _formatted_plan(df) -> str:
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_slot_filters_reach_the_scan(spark):
+    plan = _formatted_plan(E.queries()["slot_total"](spark, SF_SMALL))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    for f in ("LessThan(amount,0.0)", "EqualTo(category,PROMO)", "EqualTo(bank,EUROPE)",
+              "GreaterThanOrEqual(date,1997-01-01)", "LessThan(date,1998-01-01)"):
+        assert f in pushed, pushed
+    schema = next(line for line in plan.splitlines() if "ReadSchema" in line)
+    assert schema.strip().endswith("struct<date:date,amount:double,category:string,bank:string>"), schema
+
+
+def test_topk_intent_plans_take_ordered(spark):
+    plan = _formatted_plan(E.queries()["top_merchants"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject" in plan
