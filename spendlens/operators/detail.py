@@ -62,7 +62,7 @@ def _where(df: DataFrame, spec: DetailSpec) -> DataFrame:
     if s.year is not None:
         conds.append(flt_year(s.year))
     if s.month is not None:
-        conds.append(flt_month(s.month))
+        conds.append(flt_month(s.month, s.years))
     return apply(df, flt_compose(conds))
 
 

@@ -32,6 +32,9 @@ class Slots:
     merchant: str | None = None
     income: bool = False
     top3: bool = False
+    # (first, last) year of the table, when known: month filters then also read as
+    # date ranges, which reach the parquet scan.
+    years: tuple[int, int] | None = None
 
     def any_slot(self) -> bool:
         return any(v is not None for v in (self.category, self.bank, self.profile, self.year, self.month, self.merchant))
@@ -54,13 +57,28 @@ def flt_year(year: int) -> Column:
     return (F.col("date") >= F.lit(dt.date(y, 1, 1))) & (F.col("date") < F.lit(dt.date(y + 1, 1, 1)))
 
 
-def flt_month(month: int) -> Column:
-    """Month of year, any year."""
-    return F.month("date") == F.lit(int(month))
+def _month_ranges(months: Iterable[int], years: tuple[int, int]) -> Column:
+    """OR of [first day, first day of next month) for each month of each year in the span."""
+    conds = []
+    for y in range(int(years[0]), int(years[1]) + 1):
+        for m in months:
+            start = dt.date(y, int(m), 1)
+            end = dt.date(y + (m == 12), 1 if m == 12 else int(m) + 1, 1)
+            conds.append((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+    return functools.reduce(lambda a, b: a | b, conds)
 
 
-def flt_months_in(months: Iterable[int]) -> Column:
-    return F.month("date").isin([int(m) for m in months])
+def flt_month(month: int, years: tuple[int, int] | None = None) -> Column:
+    """Month of year, any year. With the table's year span the same rows are also
+    described as date ranges, which Parquet can push down (the exact month test stays)."""
+    exact = F.month("date") == F.lit(int(month))
+    return exact if not years else exact & _month_ranges([int(month)], years)
+
+
+def flt_months_in(months: Iterable[int], years: tuple[int, int] | None = None) -> Column:
+    months = [int(m) for m in months]
+    exact = F.month("date").isin(months)
+    return exact if not years else exact & _month_ranges(months, years)
 
 
 def flt_merchant_like(term: str) -> Column:
@@ -117,7 +135,7 @@ def slot_filters(slots: Slots, sign: bool = True) -> list[Column]:
     if slots.year is not None:
         out.append(flt_year(slots.year))
     if slots.month is not None:
-        out.append(flt_month(slots.month))
+        out.append(flt_month(slots.month, slots.years))
     if slots.merchant:
         out.append(flt_merchant_like(slots.merchant))
     return out

@@ -81,7 +81,7 @@ def merchant_transactions(df, slots=Slots(), selected_profile=None, as_of=None,
 def compare_jan_feb(df, slots=Slots(), selected_profile=None, as_of=None):
     """#4 January and February spending per month and category."""
     return (
-        _fixed_where(df, selected_profile, flt_months_in([1, 2]))
+        _fixed_where(df, selected_profile, flt_months_in([1, 2], slots.years))
         .groupBy(F.date_format("date", "yyyy-MM").alias("month"), "category")
         .agg(total_spent().alias("total_spent"))
         .orderBy("month", F.desc("total_spent"), "category")

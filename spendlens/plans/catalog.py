@@ -232,8 +232,14 @@ _filtered("flt_category", "category = 'PROMO'", lambda: filters.flt_eq("category
 _filtered("flt_bank", "bank = 'MIDDLE EAST'", lambda: filters.flt_eq("bank", "MIDDLE EAST"))
 _filtered("flt_profile", "profile = 'HOUSEHOLD'", lambda: filters.flt_eq("profile", "HOUSEHOLD"))
 _filtered("flt_year", year_range(1996), lambda: filters.flt_year(1996))
-_filtered("flt_month", "month(date) = 7", lambda: filters.flt_month(7))
-_filtered("flt_months_in", "month(date) IN (1, 2)", lambda: filters.flt_months_in([1, 2]))
+@register("flt_month", f"SELECT {COLS} FROM transactions WHERE month(date) = 7")
+def q_flt_month(spark, sf_dir):
+    return filters.apply(txn(spark, sf_dir), filters.flt_month(7, tbl.stored_year_span(spark, sf_dir)))
+
+
+@register("flt_months_in", f"SELECT {COLS} FROM transactions WHERE month(date) IN (1, 2)")
+def q_flt_months_in(spark, sf_dir):
+    return filters.apply(txn(spark, sf_dir), filters.flt_months_in([1, 2], tbl.stored_year_span(spark, sf_dir)))
 _filtered("flt_merchant_like", f"contains(lower(merchant), '{MERCHANT_TERM}')", lambda: filters.flt_merchant_like(MERCHANT_TERM.upper()))
 _filtered(
     "flt_last_month",
@@ -437,7 +443,8 @@ TOP_BY = "SELECT {k}, " + TOTAL_SPENT + " AS total_spent, COUNT(*) AS transactio
 
 def _intent(key: str, sql: str, slots: Slots = Slots(), selected: str | None = None, as_of: dt.date | None = None):
     def q(spark, sf_dir):
-        return intents.run_intent(txn(spark, sf_dir), key, slots, selected, as_of)
+        span = tbl.stored_year_span(spark, sf_dir)  # lets month filters reach the scan
+        return intents.run_intent(txn(spark, sf_dir), key, slots.with_(years=span), selected, as_of)
 
     register(key, sql)(q)
 

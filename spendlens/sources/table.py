@@ -98,10 +98,34 @@ def src_table(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _write_version(df: DataFrame, path: str, mode: str) -> int:
+    """Write rows sorted by date within each file; record row count and year span."""
     obs = Observation("rows_written")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    observed = df.observe(
+        obs, F.count(F.lit(1)).alias("rows"), F.min(F.year("date")).alias("y0"), F.max(F.year("date")).alias("y1")
+    )
     observed.sortWithinPartitions("date").write.mode(mode).parquet(path)
-    return int(obs.get["rows"])
+    got = obs.get
+    if got["y0"] is not None and mode != "append":
+        _write_text(df.sparkSession, f"{path}/_YEARS", f"{got['y0']},{got['y1']}")
+    elif mode == "append":
+        _widen_years(df.sparkSession, path, got["y0"], got["y1"])
+    return int(got["rows"])
+
+
+def _widen_years(spark: SparkSession, path: str, y0, y1) -> None:
+    span = year_span(spark, path)
+    if span is None or y0 is None:
+        return
+    _write_text(spark, f"{path}/_YEARS", f"{min(span[0], y0)},{max(span[1], y1)}")
+
+
+def year_span(spark: SparkSession, version_path: str) -> tuple[int, int] | None:
+    """(first year, last year) of the rows in a table version, as recorded at write time."""
+    text = _read_text(spark, f"{version_path}/_YEARS")
+    if not text:
+        return None
+    a, b = text.split(",")
+    return int(a), int(b)
 
 
 def _rows_marker(spark: SparkSession, version_path: str) -> int | None:
@@ -203,6 +227,7 @@ def tables_root(spark: SparkSession) -> str:
 
 
 _STORED: dict[tuple[int, str], DataFrame] = {}
+_SPANS: dict[tuple[int, str], tuple[int, int] | None] = {}
 
 
 def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +242,23 @@ def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
         root = f"{tables_root(spark)}/transactions-{fp}"
         _STORED[key] = src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir)).select(*REQUIRED_COLUMNS)
+        version = current_version(spark, root)
+        span = year_span(spark, version)
+        if span is None:  # written before spans were recorded: one pass over the date column
+            got = _STORED[key].agg(F.min(F.year("date")), F.max(F.year("date"))).first()
+            if got[0] is not None:
+                _write_text(spark, f"{version}/_YEARS", f"{got[0]},{got[1]}")
+                span = (int(got[0]), int(got[1]))
+        _SPANS[key] = span
     return _STORED[key]
 
 
+def stored_year_span(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
+    """Year span of the stored transaction table (lets month filters become date ranges)."""
+    stored_transactions(spark, sf_dir)
+    return _SPANS.get((id(spark), sf_dir))
+
+
 def csv_roundtrip_path(spark: SparkSession, sf_dir: str) -> str:
     """A raw CSV copy of the bound data (messy headers, text values, a spare column)."""
     fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])

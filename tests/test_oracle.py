@@ -89,3 +89,9 @@ def test_slot_filters_reach_the_scan(spark):
 def test_topk_intent_plans_take_ordered(spark):
     plan = _formatted_plan(E.queries()["top_merchants"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan
+
+
+def test_month_slot_reaches_the_scan_as_date_ranges(spark):
+    plan = _formatted_plan(E.queries()["count_transactions"](spark, SF_SMALL))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "Or(" in pushed and "GreaterThanOrEqual(date," in pushed, pushed

@@ -192,3 +192,15 @@ def test_guards(spark, txn):
     ]
     adj = {r.query_id: r.adjusted for r in guards.guard_adjusted(actions, req, tags).collect()}
     assert adj == {"q1": True, "q2": True}
+
+
+def test_month_filter_with_year_span_is_the_same_filter(txn):
+    from spendlens.operators import filters
+
+    for months in ([1], [2, 3], [12]):
+        plain = filters.apply(txn, filters.flt_months_in(months)).collect()
+        ranged = filters.apply(txn, filters.flt_months_in(months, (2024, 2026))).collect()
+        assert sorted(plain) == sorted(ranged)
+    with_span = intents.slot_total(txn, Slots(month=1, years=(2024, 2026))).first()
+    without = intents.slot_total(txn, Slots(month=1)).first()
+    assert with_span == without
