@@ -6,9 +6,10 @@ Relational parts (each checked against DuckDB):
 * ``stratified_split`` - exact 80/20 split per label: the test part of a
   label is its ceil(0.2 * n) rows with the smallest keys. Found without a
   window over a whole label: rows are grouped by key (duplicates become a
-  multiplicity), counted per (label, 16-bit key bucket), the boundary bucket
-  per label is located on that small table, and only the boundary bucket is
-  ranked. A label holding a third of the rows is therefore never one task.
+  multiplicity), counted per (label, key bucket) with about sqrt(n) buckets
+  per label, the boundary bucket per label is located on that small table, and
+  only the boundary bucket is ranked. A label holding a third of the rows is
+  therefore never one task.
 * ``tfidf`` - word 1-2-grams, terms in >= 2 fitting documents, sklearn's
   smooth idf ln((1+n)/(1+df)) + 1, l2 norm. Documents are deduplicated by
   text first (a multiplicity column), so repeated texts cost one row.
@@ -52,7 +53,7 @@ NUMERIC_FEATURES = ["amount", "abs_amount", "month", "day_of_week", "is_income"]
 CATEGORICAL_FEATURES = ["profile", "bank", "currency"]
 KEY_COLUMNS = ["date", "merchant", "description", "amount", "category", "profile", "bank", "currency"]
 TOKEN = r"[\pL\pN_]{2,}"
-BUCKET_HEX = 4  # 16-bit buckets for the split's boundary search
+BUCKET_HEX = 6  # the split's boundary search uses up to 24 key bits
 
 
 def row_keys(df: DataFrame) -> DataFrame:
@@ -71,17 +72,24 @@ def stratified_split(df: DataFrame, label: str = "category", test_fraction: floa
     keyed = row_keys(df)
     cols = keyed.columns
     uniq = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("mult"))
-    uniq = uniq.withColumn("bucket", F.conv(F.substring("row_key", 1, BUCKET_HEX), 16, 10).cast("int"))
 
     # Stratify when every label has >= 2 rows; decided inside the plan on the
-    # per-label counts (one row per label), joined back to the rows.
+    # per-label counts (one row per label), joined back to the rows. Each group
+    # uses about sqrt(n) key buckets, so both the bucket-count table of a group
+    # and its one boundary bucket hold about sqrt(n) rows.
     per_label = uniq.groupBy(label).agg(F.sum("mult").alias("n"))
+    everyone = Window.partitionBy()
+    stratify = F.min("n").over(everyone) >= 2
     group_key = F.concat(F.lit("="), F.coalesce(F.col(label).cast("string"), F.lit("")))
+    group_n = F.when(stratify, F.col("n")).otherwise(F.sum("n").over(everyone))
     strat = per_label.select(
         F.col(label).alias("_label"),
-        F.when(F.min("n").over(Window.partitionBy()) >= 2, group_key).otherwise(F.lit("*")).alias("_g"),
+        F.when(stratify, group_key).otherwise(F.lit("*")).alias("_g"),
+        F.least(F.lit(4 * BUCKET_HEX), F.greatest(F.lit(1), F.ceil(F.log2(group_n) / 2))).cast("int").alias("_bits"),
     )
     uniq = uniq.join(strat, uniq[label].eqNullSafe(strat["_label"])).drop("_label")
+    uniq = uniq.withColumn("_kb", F.conv(F.substring("row_key", 1, BUCKET_HEX), 16, 10).cast("long"))
+    uniq = uniq.withColumn("bucket", F.expr(f"shiftright(_kb, {4 * BUCKET_HEX} - _bits)")).drop("_kb", "_bits")
     gcols = ["_g"]
     counts = uniq.groupBy(*gcols, "bucket").agg(F.sum("mult").alias("cnt"))
     w = Window.partitionBy(*gcols).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
