@@ -139,9 +139,15 @@ def with_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return toks.withColumn("terms", terms).drop("_toks")
 
 
+def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Each distinct text with its number of documents. Fit and transform use this same
+    aggregate, so Spark reuses its shuffle when both run in one plan."""
+    return docs.groupBy(text_col).agg(F.count(F.lit(1)).alias("mult"))
+
+
 def tfidf_fit(docs: DataFrame, text_col: str = "text", min_df: int = 2) -> DataFrame:
     """Vocabulary with idf: (term, df, idf) over the fitting documents."""
-    texts = with_terms(docs.groupBy(text_col).agg(F.count(F.lit(1)).alias("mult")), text_col)
+    texts = with_terms(_distinct_texts(docs, text_col), text_col)
     n_docs = docs.count()
     df_terms = (
         texts.select("mult", F.explode(F.array_distinct("terms")).alias("term"))
@@ -159,7 +165,7 @@ def tfidf_transform(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -
     shuffle groups each document's weighted terms to normalise them. A
     document's term list is bounded by its length.
     """
-    texts = with_terms(docs.select(text_col).distinct(), text_col)
+    texts = with_terms(_distinct_texts(docs, text_col).select(text_col), text_col)
     counted = F.transform(
         F.array_distinct("terms"),
         lambda x: F.struct(x.alias("term"), F.size(F.filter("terms", lambda y: y == x)).alias("tf")),
