@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.dates import label_month, month_start
 from spendlens.functions.money import count_rows, round_sum_2
 from spendlens.operators.filters import (
     ALL,
@@ -81,12 +82,8 @@ def detail_monthly(df: DataFrame, spec: DetailSpec) -> DataFrame:
         value = round_sum_2(F.abs("amount")).alias("total_amount")
     else:
         value = round_sum_2(F.abs("amount")).alias("total_spent")
-    out = (
-        _where(df, spec)
-        .groupBy(F.date_format("date", "yyyy-MM").alias("month"))
-        .agg(value, count_rows().alias("transaction_count"))
-        .orderBy("month")
-    )
+    grouped = _where(df, spec).groupBy(month_start().alias("_m")).agg(value, count_rows().alias("transaction_count"))
+    out = label_month(grouped).select("month", *[c for c in grouped.columns if c != "_m"]).orderBy("month")
     return out if spec.active() else out.limit(0)
 
 

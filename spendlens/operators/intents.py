@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.dates import label_month, label_year, month_start, year_start
 from spendlens.functions.money import avg_abs_2, count_rows, round_sum_2, total_spent
 from spendlens.operators.filters import (
     Slots,
@@ -80,12 +81,12 @@ def merchant_transactions(df, slots=Slots(), selected_profile=None, as_of=None,
 
 def compare_jan_feb(df, slots=Slots(), selected_profile=None, as_of=None):
     """#4 January and February spending per month and category."""
-    return (
+    grouped = (
         _fixed_where(df, selected_profile, flt_months_in([1, 2], slots.years))
-        .groupBy(F.date_format("date", "yyyy-MM").alias("month"), "category")
+        .groupBy(month_start().alias("_m"), "category")
         .agg(total_spent().alias("total_spent"))
-        .orderBy("month", F.desc("total_spent"), "category")
     )
+    return label_month(grouped).select("month", "category", "total_spent").orderBy("month", F.desc("total_spent"), "category")
 
 
 def largest_category(df, slots=Slots(), selected_profile=None, as_of=None):
@@ -172,22 +173,22 @@ def by_profile(df, slots=Slots(), selected_profile=None, as_of=None):
 
 def by_month(df, slots=Slots(), selected_profile=None, as_of=None):
     """#15 spending per 'YYYY-MM' month under the slot filters."""
-    return (
+    grouped = (
         _slots_where(df, slots, selected_profile)
-        .groupBy(F.date_format("date", "yyyy-MM").alias("month"))
+        .groupBy(month_start().alias("_m"))
         .agg(total_spent().alias("total_spent"), count_rows().alias("transaction_count"))
-        .orderBy("month")
     )
+    return label_month(grouped).select("month", "total_spent", "transaction_count").orderBy("month")
 
 
 def by_year(df, slots=Slots(), selected_profile=None, as_of=None):
     """#16 spending per year (as text 'YYYY') under the slot filters."""
-    return (
+    grouped = (
         _slots_where(df, slots, selected_profile)
-        .groupBy(F.date_format("date", "yyyy").alias("year"))
+        .groupBy(year_start().alias("_y"))
         .agg(total_spent().alias("total_spent"), count_rows().alias("transaction_count"))
-        .orderBy("year")
     )
+    return label_year(grouped).select("year", "total_spent", "transaction_count").orderBy("year")
 
 
 def category_last_month(df, slots=Slots(), selected_profile=None, as_of: dt.date | None = None):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.dates import label_month, month_start
 from spendlens.functions.money import count_rows, exact_sum, money, round_sum_2
 from spendlens.operators.clean import date_parts, expense_only
 from spendlens.operators.filters import flt_positive_expense
@@ -83,25 +84,26 @@ def spend_by_bank(view: DataFrame) -> DataFrame:
 
 
 def cashflow_by_month(view: DataFrame) -> DataFrame:
-    """month, spending, income; months with income only are kept."""
-    return (
-        view.groupBy("month")
-        .agg(exact_sum("expense_amount").alias("spending"), exact_sum("income_amount").alias("income"))
-        .orderBy("month")
+    """month, spending, income; months with income only are kept. Grouped on the
+    month start (the view's text month is the same key) and labelled per group."""
+    grouped = view.groupBy(month_start().alias("_m")).agg(
+        exact_sum("expense_amount").alias("spending"), exact_sum("income_amount").alias("income")
     )
+    return label_month(grouped).select("month", "spending", "income").orderBy("month")
 
 
 def spend_by_month(df: DataFrame) -> DataFrame:
     """Expense rows only, so months without an expense are absent."""
-    exp = expense_only(df).withColumn("month", F.date_format("date", "yyyy-MM"))
-    return exp.groupBy("month").agg(exact_sum("expense_amount").alias("expense_amount")).orderBy("month")
+    grouped = expense_only(df).groupBy(month_start().alias("_m")).agg(exact_sum("expense_amount").alias("expense_amount"))
+    return label_month(grouped).select("month", "expense_amount").orderBy("month")
 
 
 def cashflow_long(view: DataFrame) -> DataFrame:
     """Wide -> long: month, type in (income, expenses), amount."""
-    wide = view.groupBy("month").agg(
+    wide = view.groupBy(month_start().alias("_m")).agg(
         exact_sum("income_amount").alias("income"), exact_sum("expense_amount").alias("expenses")
     )
+    wide = label_month(wide).select("month", "income", "expenses")
     return wide.unpivot("month", ["income", "expenses"], "type", "amount").orderBy("month", "type")
 
 
