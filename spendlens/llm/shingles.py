@@ -50,19 +50,26 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, hash): the row and a 64-bit hash of each lower-cased word, in order. Null counts as empty."""
+def word_hashes(texts: pa.Array, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, hash): the row and a 64-bit hash of each lower-cased word, in order. Null counts as empty.
+
+    With ``first``, only longer words, and of these the first so many bytes.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     low, high = int(offsets[0]), int(offsets[-1])
     if low == high:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[low:high]
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets - low] = True
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets - low] = True
     is_word = _WORD[data]
     before, after = np.concatenate([[False], is_word[:-1]]), np.concatenate([is_word[1:], [False]])
-    starts, ends = np.flatnonzero(is_word & (~before | first[:-1])), np.flatnonzero(is_word & (~after | first[1:])) + 1
+    starts, ends = np.flatnonzero(is_word & (~before | begins[:-1])), np.flatnonzero(is_word & (~after | begins[1:])) + 1
+    if first:
+        longer = ends - starts > first
+        starts = starts[longer]
+        ends = starts + first
     up, down = _powers(len(data))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * up)])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
