@@ -89,40 +89,62 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tkey"), text_of().alias("text"))
 
 
-def overlaps(left: pa.Array, right: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the sizes of the multisets' intersection and union."""
-    n = len(left)
-    a, b = (multisets(*shingled(*word_hashes(x), width, n)) for x in (left, right))
-    doc, item, count = (np.concatenate(x) for x in zip(a, b, strict=True))
-    key = mix(item + doc.astype(np.uint64) * _U(0xA0761D6478BD642F))
-    order = np.argsort(key, kind="stable")
-    key, doc, count = key[order], doc[order], count[order]
-    both = np.flatnonzero(key[1:] == key[:-1])
-    common = np.bincount(doc[both], weights=np.minimum(count[both], count[both + 1]), minlength=n).astype(np.int64)
-    total = np.bincount(doc, weights=count, minlength=n).astype(np.int64)
-    return common, total - common
-
-
-def _verify(batches: Iterator[pa.RecordBatch], width: int, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start, stop in chunks(whole.column(2)):
-            batch = whole.slice(start, stop - start)
-            common, union = overlaps(batch.column(2), batch.column(3), width)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(common * similarity[1] >= union * similarity[0]))
+ITEMS = "node binary, items array<long>, counts array<int>"
 
 
 def _items(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Each node's multiset: its different shingles in ascending order, and how often it has each."""
     for whole in batches:
         for start, stop in chunks(whole.column(1)):
             batch = whole.slice(start, stop - start)
-            doc, item, count = multisets(*shingled(*word_hashes(batch.column(1)), width, len(batch)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(item.view(np.int64)), pa.array(count)], ["node", "item", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *bags(batch.column(1), width)], ["node", "items", "counts"])
+
+
+def bags(texts: pa.Array, width: int = WIDTH) -> tuple[pa.Array, pa.Array]:
+    doc, item, count = multisets(*shingled(*word_hashes(texts), width, len(texts)))
+    order = np.lexsort((item, doc))
+    cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(cuts, pa.array(v[order])) for v in (item.view(np.int64), count.astype(np.int32)))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(column.offsets), np.asarray(column.values)
+
+
+def overlaps(left: tuple[pa.Array, pa.Array], right: tuple[pa.Array, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the sizes of the intersection and the union of two multisets. Fast where equal left ones follow each other."""
+    (lo, li), (_, lc), (ro, ri), (_, rc) = (_lists(c) for c in (*left, *right))
+    li, ri = li.view(np.uint64), ri.view(np.uint64)
+    n = len(left[0])
+    common = np.zeros(n, np.int64)
+    start = 0
+    while start < n:
+        own = li[lo[start] : lo[start + 1]]
+        stop = start + 1
+        while stop < n and lo[stop + 1] - lo[stop] == len(own) and np.array_equal(own, li[lo[stop] : lo[stop + 1]]):
+            stop += 1
+        other = ri[ro[start] : ro[stop]]
+        if len(own) and len(other):
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            both = np.where(own[at] == other, np.minimum(lc[lo[start] : lo[start + 1]][at], rc[ro[start] : ro[stop]]), 0)
+            sums = np.concatenate([[0], np.cumsum(both)])
+            common[start:stop] = sums[ro[start + 1 : stop + 1] - ro[start]] - sums[ro[start:stop] - ro[start]]
+        start = stop
+    total = lambda o, c: np.diff(np.concatenate([[0], np.cumsum(c)])[o])
+    return common, total(lo, lc) + total(ro, rc) - common
+
+
+def _verify(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            common, union = overlaps((batch.column(2), batch.column(3)), (batch.column(4), batch.column(5)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(common * similarity[1] >= union * similarity[0]))
 
 
-def own_parts(scratch: Scratch, texts: DataFrame, width: int) -> DataFrame:
+def own_parts(scratch: Scratch, items: DataFrame) -> DataFrame:
     """(node, own): how much of each node's multiset no other of these nodes has; nodes with none are missing."""
-    items = texts.select("node", "text").mapInArrow(partial(_items, width=width), "node binary, item long, n long")
-    single = items.groupBy("item").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.sum("n").alias("n")).where("nodes = 1")
+    rows = items.select("node", F.explode(F.arrays_zip("items", "counts")).alias("x")).select("node", "x.*")
+    single = rows.groupBy("items").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node"), F.sum("counts").alias("n")).where("nodes = 1")
     return scratch.save(single.groupBy("node").agg(F.sum("n").alias("own")), "own")
 
 
@@ -163,8 +185,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
     all_buckets = scratch.save(in_bands.join(shared, "bucket"), "buckets")
     wanted = all_buckets.select("node").distinct().join(nodes.select("node", *KEY), "node")
     own = keyed(docs)
-    texts = wanted.hint("shuffle_hash").join(own, same(wanted, own, KEY)).select("node", own["text"]).dropDuplicates(["node"])
-    texts = scratch.save(texts, "texts")
+    texts = wanted.hint("shuffle_hash").join(own, same(wanted, own, KEY)).select("node", own["text"])
+    items = scratch.save(texts.mapInArrow(partial(_items, width=width), ITEMS).dropDuplicates(["node"]), "items")
 
     labels, edges, done, hubs_of = None, None, None, 1
     buckets = all_buckets.withColumn("own", F.lit(0).cast("long"))
@@ -180,8 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
         if open_.isEmpty():
             break
         if hubs_of == HUBS:  # the second round: from now on with what each open node has alone
-            some = texts.join(open_.select("node").distinct(), "node")
-            parts = own_parts(scratch, some, width)
+            parts = own_parts(scratch, items.join(open_.select("node").distinct(), "node"))
             open_ = open_.drop("own").join(parts, "node", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
             open_ = scratch.save(open_.where((F.col("size") - F.col("own")) * similarity[1] >= F.col("size") * similarity[0]), "open")
             buckets = open_.drop("label")
@@ -192,9 +213,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
         shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
         pairs = pairs.where(shared * similarity[1] >= (F.col("size") + F.col("hub.size") - shared) * similarity[0])
         pairs = pairs.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
-        pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
-        pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
-        links = scratch.save(pairs.mapInArrow(partial(_verify, width=width, similarity=similarity), "a binary, b binary"), "links")
+        pairs = pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("ri"), F.col("counts").alias("rc")), "b")
+        pairs = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("li"), F.col("counts").alias("lc")), "a")
+        pairs = pairs.select("a", "b", "li", "lc", "ri", "rc")
+        links = scratch.save(pairs.mapInArrow(partial(_verify, similarity=similarity), "a binary, b binary"), "links")
         edges = links if edges is None else scratch.save(edges.unionByName(links), "links")
         labels = components(scratch, edges)
         used = hubs.select("bucket", F.col("hub.node").alias("node"))
@@ -207,7 +229,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
     else:
         rows_ = rows_.withColumn("label", F.col("node"))
     rows_ = scratch.save(rows_.drop("node"), "rows")
-    scratch.drop(texts, all_buckets)
+    scratch.drop(items, all_buckets)
     classes = rows_.where("n_words > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), one)
     out = rows_.join(classes, (rows_["label"] == classes["label"]) & (rows_["n_words"] > 0), "left").drop(classes["label"])
     first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("tkey") == F.col("one.tkey"))

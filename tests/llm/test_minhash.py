@@ -44,7 +44,7 @@ def test_words_and_overlaps_match_plain_python():
     other = texts[1:] + texts[:1]
     doc, _ = S.word_hashes(pa.array(texts))
     assert np.bincount(doc, minlength=len(texts)).tolist() == [len(words(t)) for t in texts]
-    common, union = M.overlaps(pa.array(texts), pa.array(other))
+    common, union = M.overlaps(M.bags(pa.array(texts)), M.bags(pa.array(other)))
     for a, b, c, u in zip(texts, other, common, union, strict=True):
         assert (c, u) == (sum((bag(a) & bag(b)).values()), sum((bag(a) | bag(b)).values()))
 
