@@ -9,7 +9,7 @@ than every component, which is soon in all but short texts.
 Texts with equal words share a node. Nodes that agree in a band of five components are candidates; their multisets
 are compared in full. In a bucket of candidates not all pairs are formed: in each round some of its nodes (hubs) are
 compared with the others that are not yet in the same class, until no two nodes of different classes are left
-uncompared. So a class is joined by every link among the candidates, and a large group costs about one comparison
+uncompared (first one hub, then a few of the largest class, then all nodes outside it). So a class is joined by every link among the candidates, and a large group costs about one comparison
 for each of its members. After the first round a pair is left out only where it provably is no link: what no other
 node has (``own``) cannot be shared, so the overlap of two nodes is at most the smaller of their other parts.
 
@@ -33,7 +33,7 @@ from spendlens.llm.shingles import chunks, digests, mix, multisets, shingled, wo
 
 WIDTH, SIMILARITY = 5, (4, 5)  # words of a shingle; 4/5 as a ratio of integers
 BANDS, ROWS = 20, 5
-HUBS = 8  # each round takes so many times as many hubs of a bucket as the one before
+HUBS = 2  # of a bucket's largest class in the second round
 KEY = ["doc_id", "tkey"]
 _U = np.uint64
 SIGNED = "doc_id long, tkey long, n_words long, node binary, bands array<long>"
@@ -148,26 +148,29 @@ def own_parts(scratch: Scratch, items: DataFrame) -> DataFrame:
     return scratch.save(single.groupBy("node").agg(F.sum("n").alias("own")), "own")
 
 
-def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, steps: int | None = None) -> DataFrame:
     """(node, label): the lowest node of each node's connected component, over edges (a, b).
 
     Each step takes the lowest label among the neighbours and then the label of that label, so long paths shrink
-    fast; every step is written, and only the count of changes comes to the driver.
+    fast; every step is written, and only the count of changes comes to the driver. After so many ``steps``, a label
+    is some node of the component: equal labels are in one component, but not the other way round.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = scratch.save(both.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
     labels = scratch.save(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
-    while True:
+    while steps is None or steps > 0:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = scratch.save(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        changed = new.where("old <> label").limit(1).count()
+        changed = steps is not None or new.where("old <> label").limit(1).count()
         scratch.drop(labels)
         labels = new
+        steps = None if steps is None else steps - 1
         if not changed:
-            scratch.drop(both)
-            return labels.select("node", "label")
+            break
+    scratch.drop(both)
+    return labels.select("node", "label")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -189,7 +192,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
     items = scratch.save(texts.mapInArrow(partial(_items, width=width), ITEMS).dropDuplicates(["node"]), "items")
 
     labels, edges, done, hubs_of = None, None, None, 1
-    buckets = all_buckets.withColumn("own", F.lit(0).cast("long"))
+    buckets = all_buckets
     while True:
         # What is still open: nodes that were no hub of their bucket yet, in buckets where these are of several classes.
         open_ = buckets if done is None else buckets.join(done, ["bucket", "node"], "left_anti")
@@ -201,28 +204,51 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
         open_ = scratch.save(open_.join(mixed, "bucket"), "open")
         if open_.isEmpty():
             break
-        if hubs_of == HUBS:  # the second round: from now on with what each open node has alone
+        if hubs_of == HUBS:  # the second round: from now on with what each open node has alone, and all its bands
             parts = own_parts(scratch, items.join(open_.select("node").distinct(), "node"))
-            open_ = open_.drop("own").join(parts, "node", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-            open_ = scratch.save(open_.where((F.col("size") - F.col("own")) * similarity[1] >= F.col("size") * similarity[0]), "open")
+            open_ = open_.join(parts, "node", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+            open_ = open_.where((F.col("size") - F.col("own")) * similarity[1] >= F.col("size") * similarity[0])
+            open_ = open_.join(nodes.select("node", "bands"), "node").withColumn("band", F.array_position("bands", F.col("bucket")))
+            open_ = scratch.save(open_, "open")
             buckets = open_.drop("label")
-        part = F.pmod(F.xxhash64("node", F.lit(hubs_of)), F.lit(hubs_of))
-        hubs = open_.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "label", "size", "own")).alias("hub"))
-        hubs = scratch.save(hubs.select("bucket", "hub"), "hubs")
-        pairs = open_.join(hubs, "bucket").where(F.col("label") != F.col("hub.label"))
-        shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
+        if hubs_of == 1:
+            chosen = open_.groupBy("bucket").agg(F.min("node").alias("node"))
+            hubs = scratch.save(open_.join(chosen, ["bucket", "node"]), "hubs")
+        else:
+            # First a few hubs of each bucket's largest class, which test only the nodes outside it; then all of these.
+            # A hub of one bucket is a hub of all its buckets, so that a pair needs to be formed in one of them only.
+            sizes = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+            largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+            ranked = open_.join(largest, "bucket")
+            if hubs_of == HUBS:
+                part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
+                chosen = ranked.where("label = largest").groupBy("bucket", part.alias("part")).agg(F.min("node").alias("node"))
+            else:
+                chosen = ranked.where("label <> largest")
+            hubs = scratch.save(open_.join(chosen.select("node").distinct(), "node"), "hubs")
+        pairs = open_.join(hubs.select("bucket", F.struct(*[c for c in hubs.columns if c != "bucket"]).alias("hub")), "bucket")
+        pairs = pairs.where(F.col("label") != F.col("hub.label"))
+        if hubs_of == 1:
+            shared = F.least("size", "hub.size")
+        else:
+            shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
         pairs = pairs.where(shared * similarity[1] >= (F.col("size") + F.col("hub.size") - shared) * similarity[0])
+        if hubs_of > 1:
+            equal = F.zip_with("bands", "hub.bands", lambda x, y: x == y)
+            pairs = pairs.where(F.array_position(equal, True) == F.col("band"))
         pairs = pairs.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
         pairs = pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("ri"), F.col("counts").alias("rc")), "b")
         pairs = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("li"), F.col("counts").alias("lc")), "a")
         pairs = pairs.select("a", "b", "li", "lc", "ri", "rc")
         links = scratch.save(pairs.mapInArrow(partial(_verify, similarity=similarity), "a binary, b binary"), "links")
         edges = links if edges is None else scratch.save(edges.unionByName(links), "links")
-        labels = components(scratch, edges)
-        used = hubs.select("bucket", F.col("hub.node").alias("node"))
+        labels = components(scratch, edges, steps=2)
+        used = hubs.select("bucket", "node")
         done = used if done is None else scratch.save(done.unionByName(used), "done")
         hubs_of *= HUBS
 
+    if edges is not None:
+        labels = components(scratch, edges)
     rows_ = signed.select(*KEY, "n_words", "node")
     if labels is not None:
         rows_ = rows_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
