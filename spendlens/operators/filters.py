@@ -58,8 +58,9 @@ def flt_year(year: int) -> Column:
 
 
 def _month_ranges(months: Iterable[int], years: tuple[int, int]) -> Column:
-    """OR of [first day, first day of next month) for each month of each year in the span."""
-    conds = []
+    """OR of [first day, first day of next month) for each month of each year in the span, and of all days outside
+    the span: the span only helps the scan, and rows added beyond it are left to the exact month test."""
+    conds = [F.col("date") < F.lit(dt.date(int(years[0]), 1, 1)), F.col("date") >= F.lit(dt.date(int(years[1]) + 1, 1, 1))]
     for y in range(int(years[0]), int(years[1]) + 1):
         for m in months:
             start = dt.date(y, int(m), 1)

@@ -230,7 +230,7 @@ def report(pairs: DataFrame, actual: str = "actual", predicted: str = "predicted
     tp = pairs.where(a == p).groupBy(a.alias("cls")).agg(F.count(F.lit(1)).alias("tp"))
     support = pairs.groupBy(a.alias("cls")).agg(F.count(F.lit(1)).alias("support"))
     pred = pairs.groupBy(p.alias("cls")).agg(F.count(F.lit(1)).alias("pred"))
-    classes = support.select("cls")
+    classes = support.select("cls").union(pred.select("cls")).distinct()  # a class may be predicted and never occur
     m = classes.join(tp, "cls", "left").join(pred, "cls", "left").join(support, "cls", "left").fillna(0, ["tp", "pred", "support"])
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))

@@ -27,17 +27,18 @@ def rescale_to_target(expenses: DataFrame, targets: DataFrame, keys=("profile",
     integers: cents = (2 * a * T + 100 * C) div (200 * C) with a, T, C in 1e-4 units.
     """
     keys = list(keys)
+    # Groups without a target keep their amounts.
     sums = expenses.groupBy(*keys).agg(F.sum(F.abs("amount").cast(MONEY)).alias("current"))
     factors = sums.join(targets, keys).select(
         *keys,
         _units(F.col("target")).alias("t_u"),
         _units(F.when(F.col("current") == 0, F.lit(1)).otherwise(F.col("current"))).alias("c_u"),
     )
-    out = expenses.join(factors, keys)
+    out = expenses.join(factors, keys, "left")
     a_u = _units(F.abs(F.col("amount")))
     cents = F.expr("(a_u * t_u * 2 + c_u * 100) div (c_u * 200)")
     return (
         out.withColumn("a_u", a_u)
-        .withColumn("amount", -(cents.cast("double") / F.lit(100.0)))
+        .withColumn("amount", F.when(F.col("t_u").isNull(), F.col("amount")).otherwise(-(cents.cast("double") / F.lit(100.0))))
         .drop("a_u", "t_u", "c_u")
     )

@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     # Unset (bare local runs): a scratch folder becomes the context's checkpoint folder, once.
     if not ckpt.isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-ckpt-"))
         ckpt = spark.sparkContext._jsc.sc().getCheckpointDir()
     return str(ckpt.get()).rstrip("/")

@@ -27,8 +27,13 @@ from spendlens.schema import REQUIRED_COLUMNS, TRANSACTIONS
 from spendlens.session import shared_dir
 from spendlens.sources.binding import DRIVER_TABLES, bind_transactions, table_path
 
-# read_csv's default missing-value markers that occur in practice: these become NULL.
-NA_VALUES = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A", "-NaN", "-nan", "#NA"]
+# Fixed values that must equal the reference's: the markers its CSV reader takes for missing. These become NULL.
+NA_VALUES = [
+    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "n/a", "nan", "null",
+]
+# Doubled quotes inside quoted values, quoted line breaks, and an error where a file's header differs from the first one's.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "enforceSchema": "false"}
 
 
 # --- file-system helpers (Hadoop FS, so any cluster file system works) -----------------
@@ -141,7 +146,7 @@ def save_transactions(spark: SparkSession, df: DataFrame, root: str, mode: str =
     """
     data = normalize(df)
     if mode not in {"replace", "append"}:
-        raise ValueError("mode must be 'replace' or 'append'")
+        raise ValueError(f"unknown write mode {mode!r}: use replace or append")
     current = current_version(spark, root)
     if mode == "append" and current is not None:
         before = _rows_marker(spark, current)
@@ -204,7 +209,7 @@ def src_csv(spark: SparkSession, path: str, date_formats: tuple[str, ...] = ())
     """Read a transaction CSV with header as text, map NA markers to NULL, clean."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).csv(path)
     nulls = F.array(*[F.lit(v) for v in NA_VALUES])
     raw = raw.select(
         *[F.when(F.array_contains(nulls, F.trim(F.col(f"`{c}`"))), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns]
@@ -216,7 +221,7 @@ def sink_csv_export(df: DataFrame, path: str) -> None:
     """CSV export without ``id``, with header; dates as 'YYYY-MM-DD'."""
     out = df.drop("id")
     out = out.withColumn("date", F.date_format("date", "yyyy-MM-dd")) if "date" in out.columns else out
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 
 # --- the driver data as a stored table ----------------------------------------------
@@ -267,7 +272,7 @@ def csv_roundtrip_path(spark: SparkSession, sf_dir: str) -> str:
         headers = {"date": " Date ", "merchant": "Merchant", "description": "DESCRIPTION", "amount": "Amount "}
         raw = raw_text_view(stored_transactions(spark, sf_dir), headers).withColumn("Spare Column", F.lit("x"))
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-        raw.write.option("header", True).csv(tmp)
+        raw.write.options(header=True, quote='"', escape='"').csv(tmp)
         fs, p = _fs(spark, tmp)
         fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(path))
     return path

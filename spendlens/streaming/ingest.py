@@ -17,18 +17,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.operators.clean import normalize
-from spendlens.sources.table import NA_VALUES
+from spendlens.sources.table import CSV_OPTIONS, NA_VALUES
 
 
 def _text_schema(spark: SparkSession, source_dir: str) -> T.StructType:
     """Header names of the upload folder's files, every column as text."""
-    names = spark.read.option("header", True).option("inferSchema", False).csv(source_dir).columns
+    names = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).csv(source_dir).columns
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def cleaned_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 2) -> DataFrame:
     raw = (
-        spark.readStream.option("header", True)
+        spark.readStream.options(**CSV_OPTIONS)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .schema(_text_schema(spark, source_dir))
         .csv(source_dir)
