@@ -61,7 +61,8 @@ def ratios(pairs: list) -> list[float]:
     count = [[0.5] * SIGNS**2 for _ in range(2)]
     for r in pairs:
         count[r["secret"]][r["pair"]] += r["n"]
-    after = [[sum(c[a * SIGNS : (a + 1) * SIGNS]) for a in range(SIGNS)] for c in count]
+    # A character that a model has hardly met counts as met an average number of times: the rest is unknown.
+    after = [[max(sum(c[a * SIGNS : (a + 1) * SIGNS]), sum(c) / SIGNS) for a in range(SIGNS)] for c in count]
     return [math.log2(count[1][i] / after[1][i // SIGNS]) - math.log2(count[0][i] / after[0][i // SIGNS]) for i in range(SIGNS**2)]
 
 
