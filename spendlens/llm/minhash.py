@@ -9,7 +9,7 @@ than every component, which is soon in all but short texts.
 Texts with equal words share a node. Nodes that agree in a band of five components are candidates; their multisets
 are compared in full. In a bucket of candidates not all pairs are formed: in each round some of its nodes (hubs) are
 compared with the others that are not yet in the same class, until no two nodes of different classes are left
-uncompared (first one hub, then a few of the largest class, then all nodes outside it). So a class is joined by every link among the candidates, and a large group costs about one comparison
+uncompared (first one hub, then a few from the middle of the largest class, then all nodes outside it). So a class is joined by every link among the candidates, and a large group costs about one comparison
 for each of its members. After the first round a pair is left out only where it provably is no link: what no other
 node has (``own``) cannot be shared, so the overlap of two nodes is at most the smaller of their other parts.
 
@@ -33,7 +33,7 @@ from spendlens.llm.shingles import chunks, digests, mix, multisets, shingled, wo
 
 WIDTH, SIMILARITY = 5, (4, 5)  # words of a shingle; 4/5 as a ratio of integers
 BANDS, ROWS = 20, 5
-HUBS = 2  # of a bucket's largest class in the second round
+HUBS = 16  # of a class in the second round
 KEY = ["doc_id", "tkey"]
 _U = np.uint64
 SIGNED = "doc_id long, tkey long, n_words long, node binary, bands array<long>"
@@ -191,7 +191,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
     texts = wanted.hint("shuffle_hash").join(own, same(wanted, own, KEY)).select("node", own["text"])
     items = scratch.save(texts.mapInArrow(partial(_items, width=width), ITEMS).dropDuplicates(["node"]), "items")
 
-    labels, edges, done, hubs_of = None, None, None, 1
+    labels, edges, done, round_ = None, None, None, 1
     buckets = all_buckets
     while True:
         # What is still open: nodes that were no hub of their bucket yet, in buckets where these are of several classes.
@@ -204,36 +204,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
         open_ = scratch.save(open_.join(mixed, "bucket"), "open")
         if open_.isEmpty():
             break
-        if hubs_of == HUBS:  # the second round: from now on with what each open node has alone, and all its bands
+        if round_ == 2:  # from now on with what each open node has alone, and all its bands
             parts = own_parts(scratch, items.join(open_.select("node").distinct(), "node"))
             open_ = open_.join(parts, "node", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
             open_ = open_.where((F.col("size") - F.col("own")) * similarity[1] >= F.col("size") * similarity[0])
             open_ = open_.join(nodes.select("node", "bands"), "node").withColumn("band", F.array_position("bands", F.col("bucket")))
             open_ = scratch.save(open_, "open")
             buckets = open_.drop("label")
-        if hubs_of == 1:
+        if round_ == 1:
             chosen = open_.groupBy("bucket").agg(F.min("node").alias("node"))
             hubs = scratch.save(open_.join(chosen, ["bucket", "node"]), "hubs")
         else:
-            # First a few hubs of each bucket's largest class, which test only the nodes outside it; then all of these.
-            # A hub of one bucket is a hub of all its buckets, so that a pair needs to be formed in one of them only.
+            # First a few hubs of each class that is a bucket's largest; there they test only the nodes outside the class.
+            # Then all of these. A pair is formed in its first common bucket only, when one of its nodes is a hub there.
             sizes = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+            largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("largest"))
             ranked = open_.join(largest, "bucket")
-            if hubs_of == HUBS:
+            if round_ == 2:
+                # Nodes with the least share of their own lie in the middle of their class: most links go through them.
+                leading = ranked.where("label = largest.label and largest.n > 1")
                 part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-                chosen = ranked.where("label = largest").groupBy("bucket", part.alias("part")).agg(F.min("node").alias("node"))
+                middle = F.min(F.struct((F.col("own") / F.col("size")).alias("share"), "node"))["node"]
+                hubs = leading.join(leading.groupBy("label", part.alias("part")).agg(middle.alias("node")).select("node"), "node")
             else:
-                chosen = ranked.where("label <> largest")
-            hubs = scratch.save(open_.join(chosen.select("node").distinct(), "node"), "hubs")
+                hubs = ranked.where("label <> largest.label")
+            hubs = scratch.save(hubs.select(*open_.columns), "hubs")
         pairs = open_.join(hubs.select("bucket", F.struct(*[c for c in hubs.columns if c != "bucket"]).alias("hub")), "bucket")
         pairs = pairs.where(F.col("label") != F.col("hub.label"))
-        if hubs_of == 1:
+        if round_ == 1:
             shared = F.least("size", "hub.size")
         else:
             shared = F.least(F.col("size") - F.col("own"), F.col("hub.size") - F.col("hub.own"))
         pairs = pairs.where(shared * similarity[1] >= (F.col("size") + F.col("hub.size") - shared) * similarity[0])
-        if hubs_of > 1:
+        if round_ > 1:
             equal = F.zip_with("bands", "hub.bands", lambda x, y: x == y)
             pairs = pairs.where(F.array_position(equal, True) == F.col("band"))
         pairs = pairs.select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
@@ -245,7 +248,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, bands: int = BANDS, ro
         labels = components(scratch, edges, steps=2)
         used = hubs.select("bucket", "node")
         done = used if done is None else scratch.save(done.unionByName(used), "done")
-        hubs_of *= HUBS
+        round_ += 1
 
     if edges is not None:
         labels = components(scratch, edges)
