@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.dates import label_month, month_start
-from spendlens.functions.money import count_rows, round_sum_2
+from spendlens.functions.money import count_rows, exact_sum, round_sum_2
 from spendlens.operators.filters import (
     ALL,
     Slots,
@@ -91,7 +91,7 @@ def detail_totals(df: DataFrame, spec: DetailSpec) -> DataFrame:
     """Sum of |amount| and count of the drill-down rows, with the label."""
     rows = _where(df, spec)
     out = rows.agg(
-        F.coalesce(F.sum(F.abs(F.col("amount")).cast("decimal(18,4)")), F.lit(0)).cast("double").alias("total"),
+        F.coalesce(exact_sum(F.abs("amount")), F.lit(0.0)).alias("total"),
         count_rows().alias("transaction_count"),
     ).withColumn("label", F.lit(spec.label()))
     return out if spec.active() else out.limit(0)

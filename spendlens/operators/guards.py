@@ -15,23 +15,23 @@ broadcast join at run time when the measured domain side is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.text import NON_WORD, SPACE
 from spendlens.operators.filters import ALL
 
 GUARDED = ["profile", "bank", "category"]
+# Groups: the column, what it is compared with.
+VALUE_FILTER = rf"(?i)(?:^|{NON_WORD})(profile|bank|category){SPACE}*={SPACE}*'([^']*)'"
+SIGN_FILTER = rf"(?i)(?:^|{NON_WORD})(amount){SPACE}*([<>]=?{SPACE}*0)"
 
 
 def value_domains(transactions: DataFrame) -> DataFrame:
     """(column, lookup, canonical): distinct values of the guarded columns."""
-    parts = [
-        transactions.select(F.lit(c).alias("field"), F.col(c).alias("canonical")).where(F.col(c).isNotNull()).distinct()
-        for c in GUARDED
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # One scan for all columns; equal values meet in the partial aggregate, before the shuffle.
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("canonical")) for c in GUARDED]))
+    out = transactions.select(each.alias("v")).select("v.*").where(F.col("canonical").isNotNull())
     # One canonical spelling per lower-case value: the last in sorted order wins.
     return out.groupBy("field", F.lower("canonical").alias("lookup")).agg(F.max("canonical").alias("canonical"))
 
@@ -40,14 +40,16 @@ def guard_filters(proposed: DataFrame, tags: DataFrame, domains: DataFrame, sele
     """Action per proposed filter.
 
     proposed: query_id, field, value. tags: query_id, profile, bank, category
-    (mentioned in the question, or NULL), is_income.
+    (mentioned in the question, or NULL), is_income, is_spending. An amount
+    filter goes when the question asks for income or spending, as the sign
+    that it needs is then added.
     """
     sel = selected_profile if selected_profile and selected_profile != ALL else None
-    p = proposed.where(F.col("field").isin(GUARDED))
+    p = proposed.where(F.col("field").isin([*GUARDED, "amount"]))
     joined = (
         p.join(tags, "query_id", "left")
         .join(domains, (p["field"] == domains["field"]) & (F.lower(p["value"]) == domains["lookup"]), "left")
-        .select(p["query_id"], p["field"], p["value"], domains["canonical"], "profile", "bank", "category", "is_income")
+        .select(p["query_id"], p["field"], p["value"], domains["canonical"], "profile", "bank", "category", "is_income", "is_spending")
     )
     col = F.col("field")
     mentioned = F.when(col == "profile", F.col("profile")).when(col == "bank", F.col("bank")).otherwise(F.col("category"))
@@ -58,8 +60,11 @@ def guard_filters(proposed: DataFrame, tags: DataFrame, domains: DataFrame, sele
         valid = F.when(col == "profile", F.lit(sel)).otherwise(valid)
     income_block = col.isin("bank", "category") & F.coalesce(F.col("is_income"), F.lit(False)) & mentioned.isNull()
     allow = allow & ~income_block
+    signed = F.coalesce(F.col("is_income"), F.lit(False)) | F.coalesce(F.col("is_spending"), F.lit(False))
     action = (
-        F.when(~allow, F.lit("remove"))
+        F.when((col == "amount") & signed, F.lit("remove"))
+        .when(col == "amount", F.lit("keep"))
+        .when(~allow, F.lit("remove"))
         .when(valid.isNull(), F.lit("remove"))
         .when(F.col("value") != valid, F.lit("replace"))
         .otherwise(F.lit("keep"))
@@ -72,8 +77,10 @@ def guard_filters(proposed: DataFrame, tags: DataFrame, domains: DataFrame, sele
 def guard_required(tags: DataFrame, kept: DataFrame, selected_profile: str | None = None) -> DataFrame:
     """Filters to add per query: (query_id, field, op, value).
 
-    kept: the filters left after ``guard_filters`` (query_id, field) - used to
-    skip bank / category / profile filters that are already present.
+    kept: the filters left after ``guard_filters`` - used to skip bank /
+    category / profile filters that are already present. Without a selected
+    profile, only a filter on the mentioned profile itself makes that one
+    needless.
     tags: query_id, profile, bank, category, is_income, is_spending.
     """
     sel = selected_profile if selected_profile and selected_profile != ALL else None
@@ -97,9 +104,11 @@ def guard_required(tags: DataFrame, kept: DataFrame, selected_profile: str | Non
         ),
     )
     rows = tags.select("query_id", F.explode(cand).alias("r")).select("query_id", "r.*").where("want").drop("want")
-    present = kept.select("query_id", "field").where(F.col("field").isin(GUARDED)).distinct()
+    same = F.when((F.col("field") == "profile") & F.lit(sel is None), F.lower(F.coalesce("new_value", "value")))
+    present = kept.where(F.col("field").isin(GUARDED)).select("query_id", "field", same.alias("only")).distinct()
     # The sign filter is always re-added (existing amount filters are dropped first).
-    return rows.join(present, ["query_id", "field"], "left_anti")
+    on = (rows["query_id"] == present["query_id"]) & (rows["field"] == present["field"])
+    return rows.join(present, on & (present["only"].isNull() | (F.lower(rows["value"]) == present["only"])), "left_anti")
 
 
 def guard_adjusted(actions: DataFrame, required: DataFrame, queries: DataFrame) -> DataFrame:
@@ -111,13 +120,14 @@ def guard_adjusted(actions: DataFrame, required: DataFrame, queries: DataFrame)
 
 
 def proposed_filters_from_sql(logged: DataFrame, sql_col: str = "sql") -> DataFrame:
-    """Extract ``column = 'value'`` filters on the guarded columns from SQL text."""
-    pattern = r"(?i)(?:^|[^\pL\pN_])(profile|bank|category)[\t\n\x0B\f\r ]*=[\t\n\x0B\f\r ]*'([^']*)'"
-    pairs = F.regexp_extract_all(F.col(sql_col), F.lit(pattern), 0)
-    exploded = logged.select("query_id", F.posexplode(pairs).alias("pos", "m"))
-    return exploded.select(
-        "query_id",
-        "pos",
-        F.lower(F.regexp_extract("m", pattern, 1)).alias("field"),
-        F.regexp_extract("m", pattern, 2).alias("value"),
+    """Extract ``column = 'value'`` filters on the guarded columns and sign filters on the amount from SQL text."""
+
+    def found(pattern: str) -> Column:
+        each = F.regexp_extract_all(F.col(sql_col), F.lit(pattern), 0)
+        return F.transform(
+            each, lambda m: F.struct(F.lower(F.regexp_extract(m, pattern, 1)).alias("field"), F.regexp_extract(m, pattern, 2).alias("value"))
+        )
+
+    return logged.select("query_id", F.posexplode(F.concat(found(VALUE_FILTER), found(SIGN_FILTER))).alias("pos", "f")).select(
+        "query_id", "pos", "f.field", "f.value"
     )

@@ -287,8 +287,10 @@ def _smooth_idf(cv_model, idf_model) -> list[float]:
 def train_model(df: DataFrame, num_trees: int = 250, max_depth: int = 30, seed: int = 42,
                 test_fraction: float = 0.2, vocab_size: int = 1 << 22):
     """Fit on the training part; returns (PipelineModel, predictions on the test part)."""
+    from spendlens.sources.table import written
+
     feats = feature_view(df)
-    split = stratified_split(feats, "category", test_fraction)
+    split = written(stratified_split(feats, "category", test_fraction), "split")  # each fit reads it
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spendlens.functions.money import exact_sum
+
 
 def _total_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower().startswith(("total_", "sum"))]
@@ -32,7 +34,7 @@ def result_rollup(result: DataFrame, order_by: list[str], key: str) -> DataFrame
     first_key = F.struct(*[(-F.col(c[1:]) if c.startswith("-") else F.col(c)) for c in order_by])
     return result.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.col("total_spent").cast("decimal(18,4)")), F.lit(0)).cast("double").alias("sum_total_spent"),
+        F.coalesce(exact_sum("total_spent"), F.lit(0.0)).alias("sum_total_spent"),
         F.min_by(F.col(key), first_key).alias("first_key"),
         F.min_by(F.col("total_spent"), first_key).alias("first_total_spent"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.dates import label_month, month_start
-from spendlens.functions.money import count_rows, exact_sum, money, round_sum_2
+from spendlens.functions.money import count_rows, exact_sum, money_sum, round_sum_2
 from spendlens.operators.clean import date_parts, expense_only
 from spendlens.operators.filters import flt_positive_expense
 
@@ -35,15 +35,20 @@ def kpi_demo(view: DataFrame) -> DataFrame:
     """count, income, spending, net = income - spending, over-120 % flag."""
     agg = view.agg(
         count_rows().alias("transactions"),
-        F.coalesce(F.sum(money("income_amount")), F.lit(0)).alias("inc"),
-        F.coalesce(F.sum(money("expense_amount")), F.lit(0)).alias("spd"),
+        money_sum("income_amount").alias("inc"),
+        money_sum("expense_amount").alias("spd"),
+        _zero_if_null(exact_sum("income_amount")).alias("total_income"),
+        _zero_if_null(exact_sum("expense_amount")).alias("total_spending"),
     )
+    # Exact where both sums are, else on the doubles.
+    inc, spd, income, spending = (F.col(c) for c in ("inc", "spd", "total_income", "total_spending"))
+    over = F.coalesce(spd * 10 > inc * 12, spending * 10 > income * 12)
     return agg.select(
         "transactions",
-        F.col("inc").cast("double").alias("total_income"),
-        F.col("spd").cast("double").alias("total_spending"),
-        (F.col("inc") - F.col("spd")).cast("double").alias("net_cash_flow"),
-        ((F.col("inc") > 0) & (F.col("spd") * 10 > F.col("inc") * 12)).alias("spending_over_120pct"),
+        "total_income",
+        "total_spending",
+        F.coalesce((inc - spd).cast("double"), income - spending).alias("net_cash_flow"),
+        ((income > 0) & over).alias("spending_over_120pct"),
     )
 
 

@@ -24,10 +24,17 @@ KEYED = (
     " r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_key) AS rn,"
     " COUNT(*) OVER (PARTITION BY category) AS n FROM k)"
 )
+TRAIN = "tr AS (SELECT * FROM r WHERE rn > CEIL(n * 0.2))"
 FEATURES = (
     "f AS (SELECT amount, ABS(amount) AS abs_amount, month(date) AS month, isodow(date) - 1 AS day_of_week,"
     " CAST(amount > 0 AS INTEGER) AS is_income, merchant || ' ' || description || ' ' || profile || ' ' || bank AS text FROM transactions)"
 )
+TRAIN_FEATURES = FEATURES.replace("f AS", "ft AS", 1).replace("FROM transactions", "FROM tr")
+
+
+def split_rows(spark, sf_dir):
+    """All rows with their ``split``, stored for the passes that follow."""
+    return tbl.written(ml.stratified_split(txn(spark, sf_dir)), "split")
 
 
 @register(
@@ -62,20 +69,21 @@ def q_ml_class_weight(spark, sf_dir):
 
 @register(
     "ml_tfidf",
-    f"WITH {FEATURES}, t AS (SELECT text, COUNT(*) AS mult FROM f GROUP BY text),"
-    " tk AS (SELECT text, mult, regexp_extract_all(lower(text), '[\\pL\\pN_]{2,}') AS toks FROM t),"
-    " tm AS (SELECT text, mult, list_concat(toks, CASE WHEN len(toks) > 1 THEN"
+    f"WITH {KEYED}, {TRAIN}, {FEATURES}, {TRAIN_FEATURES}, t AS (SELECT DISTINCT text FROM f),"
+    " tt AS (SELECT text, COUNT(*) AS mult FROM ft GROUP BY text),"
+    " tk AS (SELECT text, regexp_extract_all(lower(text), '[\\pL\\pN_]{2,}') AS toks FROM t),"
+    " tm AS (SELECT text, list_concat(toks, CASE WHEN len(toks) > 1 THEN"
     " list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS terms FROM tk),"
-    " v AS (SELECT term, SUM(mult) AS df FROM (SELECT mult, unnest(list_distinct(terms)) AS term FROM tm) GROUP BY term HAVING SUM(mult) >= 2),"
-    " nd AS (SELECT SUM(mult) AS n FROM t),"
+    " v AS (SELECT term, SUM(mult) AS df FROM (SELECT text, unnest(list_distinct(terms)) AS term FROM tm) JOIN tt USING (text) GROUP BY term HAVING SUM(mult) >= 2),"
+    " nd AS (SELECT SUM(mult) AS n FROM tt),"
     " tf AS (SELECT text, term, COUNT(*) AS tf FROM (SELECT text, unnest(terms) AS term FROM tm) GROUP BY 1, 2),"
     " w AS (SELECT tf.text, tf.term, tf.tf * (ln((1 + nd.n) / (1 + v.df)) + 1) AS raw FROM tf JOIN v USING (term), nd),"
     " nrm AS (SELECT text, sqrt(SUM(raw * raw)) AS norm FROM w GROUP BY text)"
     " SELECT w.text, w.term, round(w.raw / nrm.norm, 6) AS weight FROM w JOIN nrm USING (text)",
 )
 def q_ml_tfidf(spark, sf_dir):
-    docs = clean.feature_view(txn(spark, sf_dir)).select("text")
-    vocab = ml.tfidf_fit(docs)
+    docs = clean.feature_view(split_rows(spark, sf_dir))
+    vocab = ml.tfidf_fit(docs.where("split = 'train'").select("text"))
     return ml.tfidf_transform(docs, vocab).withColumn("weight", F.round("weight", 6))
 
 
@@ -85,22 +93,22 @@ _Z = ", ".join(
 _S = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}" for c in ml.NUMERIC_FEATURES)
 
 
-@register("ml_scale", f"WITH {FEATURES}, s AS (SELECT {_S} FROM f) SELECT {_Z} FROM f, s")
+@register("ml_scale", f"WITH {KEYED}, {TRAIN}, {FEATURES}, {TRAIN_FEATURES}, s AS (SELECT {_S} FROM ft) SELECT {_Z} FROM f, s")
 def q_ml_scale(spark, sf_dir):
-    feats = clean.feature_view(txn(spark, sf_dir))
-    out = ml.zscore(feats, ml.scale_stats(feats))
+    feats = clean.feature_view(split_rows(spark, sf_dir))
+    out = ml.zscore(feats, ml.scale_stats(feats.where("split = 'train'")))
     # "+ 0.0" turns a rounded -0.0 into 0.0 on both sides.
     return out.select(*[(F.round(f"{c}_z", 4) + F.lit(0.0)).alias(f"{c}_z") for c in ml.NUMERIC_FEATURES])
 
 
 @register(
     "ml_onehot",
-    "SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS index FROM"
-    " (SELECT 'profile' AS feature, profile AS value FROM transactions UNION SELECT 'bank', bank FROM transactions"
-    " UNION SELECT 'currency', currency FROM transactions)",
+    f"WITH {KEYED}, {TRAIN} SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS index FROM"
+    " (SELECT 'profile' AS feature, profile AS value FROM tr UNION SELECT 'bank', bank FROM tr"
+    " UNION SELECT 'currency', currency FROM tr)",
 )
 def q_ml_onehot(spark, sf_dir):
-    return ml.encoder_vocab(txn(spark, sf_dir))
+    return ml.encoder_vocab(split_rows(spark, sf_dir).where("split = 'train'"))
 
 
 @register(
@@ -181,20 +189,23 @@ def q_ml_recategorize(spark, sf_dir):
 def q_ml_save(spark, sf_dir):
     model, _, root = trained(spark, sf_dir)
     ml.save_model(model, f"{root}/saved")
-    return spark.read.json(f"{root}/saved/metadata")
+    scored = ml.predict(ml.load_model(spark, f"{root}/saved"), txn(spark, sf_dir))
+    return scored.groupBy("category", "predicted_category").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("ml_load", None)
 def q_ml_load(spark, sf_dir):
     _, _, root = trained(spark, sf_dir)
     loaded = ml.load_model(spark, f"{root}/model")
-    return ml.predict(loaded, txn(spark, sf_dir).where(F.col("amount") < 0))
+    return ml.predict(loaded, txn(spark, sf_dir))
 
 
-@register("ml_save_load", None)
+@register("ml_save_load", "SELECT COUNT(*) AS rows, COUNT(*) AS same FROM transactions")
 def q_ml_save_load(spark, sf_dir):
     model, _, root = trained(spark, sf_dir)
     path = f"{root}/copy"
     ml.save_model(model, path)
     loaded = ml.load_model(spark, path)
-    return ml.predict(loaded, txn(spark, sf_dir).where(F.col("amount") > 0))
+    first = ml.predict(model, txn(spark, sf_dir)).withColumnRenamed("predicted_category", "before")
+    both = ml.predict(loaded, first)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") == F.col("predicted_category")).alias("same"))

@@ -1,13 +1,12 @@
 """Text-table queries: question tagging, logged-reply checks, guards, batch answers.
 
-The question table is the driver's ``conversations`` table (every turn, whole
-text): each turn is tagged as a question, and each reply that follows a user
-turn is treated as the logged model reply for it.
+The question table is ``talk``: the driver's ``conversations`` (every turn, whole
+text) and the questions and replies of ``sources.asked``. Each turn is tagged as a
+question, and each reply that follows a user turn is the logged reply to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import sql_str
@@ -15,16 +14,13 @@ from spendlens.functions.vocab import DEFAULT, binding_vocabulary
 from spendlens.operators import guards, sqllog, tagging
 from spendlens.plans import questions
 from spendlens.plans.catalog import register, txn
-from spendlens.sources.binding import read_table, with_transactions
+from spendlens.sources.asked import talk, with_talk
+from spendlens.sources.binding import with_transactions
 
 KEYS = ["conv_id", "turn"]
 BIND_VOCAB = binding_vocabulary()
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations")
-
-
 # --- 2.8 tagging ------------------------------------------------------------------------------
 
 TAG_KEYS = {
@@ -43,9 +39,9 @@ _SQL_TAGS = tagging.tag_sql("text", DEFAULT)
 
 
 def _tag_query(key: str, tag: str):
-    @register(key, f"SELECT conv_id, turn, {_SQL_TAGS[tag]} AS {tag} FROM conversations", raw_sql=True)
+    @register(key, with_talk(f"SELECT conv_id, turn, {_SQL_TAGS[tag]} AS {tag} FROM talk"), raw_sql=True)
     def q(spark, sf_dir):
-        return tagging.tag_questions(conversations(spark, sf_dir), "text", DEFAULT).select(*KEYS, tag)
+        return tagging.tag_questions(talk(spark, sf_dir), "text", DEFAULT).select(*KEYS, tag)
 
     return q
 
@@ -54,9 +50,9 @@ for _k, _t in TAG_KEYS.items():
     _tag_query(_k, _t)
 
 
-@register("q_intent", f"SELECT conv_id, turn, {tagging.intent_sql('text', _SQL_TAGS, DEFAULT)} AS intent FROM conversations", raw_sql=True)
+@register("q_intent", with_talk(f"SELECT conv_id, turn, {tagging.intent_sql('text', _SQL_TAGS, DEFAULT)} AS intent FROM talk"), raw_sql=True)
 def q_intent(spark, sf_dir):
-    return tagging.tag_questions(conversations(spark, sf_dir), "text", DEFAULT).select(*KEYS, "intent")
+    return tagging.tag_questions(talk(spark, sf_dir), "text", DEFAULT).select(*KEYS, "intent")
 
 
 def _batch_sql(vocab, report: bool = False) -> str:
@@ -65,57 +61,59 @@ def _batch_sql(vocab, report: bool = False) -> str:
     tag_cols = ", ".join(f"{v} AS {k}" for k, v in tags.items())
     q = (
         f"SELECT conv_id, turn, intent, is_income, CASE WHEN category <> 'Income' THEN category END AS category, bank, profile,"
-        f" year, month, merchant FROM (SELECT conv_id, turn, {tag_cols}, {intent} AS intent FROM conversations) t"
+        f" year, month, merchant FROM (SELECT conv_id, turn, {tag_cols}, {intent} AS intent FROM talk) t"
         " WHERE intent IN (10, 11, 12, 18)"
     )
-    want = "(CASE WHEN q.is_income THEN t.amount > 0 ELSE t.amount < 0 END)"
+    if report:
+        return with_talk(with_transactions(f"SELECT conv_id, turn, intent, CAST(1 AS BIGINT) AS rows_returned FROM ({q}) q"))
+    # Questions with the same slots share one look at the transactions.
+    slots = "is_income, category, bank, profile, year, month, merchant"
+    want = "(CASE WHEN s.is_income THEN t.amount > 0 ELSE t.amount < 0 END)"
     join = (
-        "LEFT JOIN transactions t ON (q.category IS NULL OR t.category = q.category) AND (q.bank IS NULL OR t.bank = q.bank)"
-        " AND (q.profile IS NULL OR t.profile = q.profile) AND (q.year IS NULL OR year(t.date) = q.year)"
-        " AND (q.month IS NULL OR month(t.date) = q.month) AND (q.merchant IS NULL OR contains(lower(t.merchant), q.merchant))"
+        "LEFT JOIN transactions t ON (s.category IS NULL OR t.category = s.category) AND (s.bank IS NULL OR t.bank = s.bank)"
+        " AND (s.profile IS NULL OR t.profile = s.profile) AND (s.year IS NULL OR year(t.date) = s.year)"
+        " AND (s.month IS NULL OR month(t.date) = s.month) AND (s.merchant IS NULL OR contains(lower(t.merchant), s.merchant))"
     )
     avg = (
         f"CAST((CAST(SUM(CAST(ABS(t.amount) AS DECIMAL(18,4))) FILTER (WHERE {want}) * 10000 AS HUGEINT) * 2"
         f" + COUNT(t.amount) FILTER (WHERE {want}) * 100) // (NULLIF(COUNT(t.amount) FILTER (WHERE {want}), 0) * 200) AS DOUBLE) / 100"
     )
-    value = (
-        f"CASE q.intent WHEN 10 THEN {avg}"
-        " WHEN 12 THEN CAST(ROUND(SUM(CAST(t.amount AS DECIMAL(18,4))) FILTER (WHERE t.amount > 0), 2) AS DOUBLE)"
-        " WHEN 18 THEN CAST(ROUND(SUM(CAST(ABS(t.amount) AS DECIMAL(18,4))) FILTER (WHERE t.amount < 0), 2) AS DOUBLE) END"
-    )
-    count = (
-        "CASE q.intent WHEN 11 THEN COUNT(t.amount) WHEN 12 THEN COUNT(t.amount) FILTER (WHERE t.amount > 0)"
-        f" WHEN 18 THEN COUNT(t.amount) FILTER (WHERE t.amount < 0) ELSE COUNT(t.amount) FILTER (WHERE {want}) END"
-    )
-    if report:
-        return with_transactions(f"SELECT conv_id, turn, intent, CAST(1 AS BIGINT) AS rows_returned FROM ({q}) q")
-    return with_transactions(
-        f"SELECT q.conv_id, q.turn, q.intent, {value} AS value, {count} AS transaction_count FROM ({q}) q {join}"
-        " GROUP BY q.conv_id, q.turn, q.intent, q.is_income"
+    found = (
+        f"SELECT {', '.join('s.' + c for c in slots.split(', '))}, {avg} AS v10,"
+        " CAST(ROUND(SUM(CAST(t.amount AS DECIMAL(18,4))) FILTER (WHERE t.amount > 0), 2) AS DOUBLE) AS v12,"
+        " CAST(ROUND(SUM(CAST(ABS(t.amount) AS DECIMAL(18,4))) FILTER (WHERE t.amount < 0), 2) AS DOUBLE) AS v18,"
+        f" COUNT(t.amount) FILTER (WHERE {want}) AS n10, COUNT(t.amount) AS n11, COUNT(t.amount) FILTER (WHERE t.amount > 0) AS n12,"
+        f" COUNT(t.amount) FILTER (WHERE t.amount < 0) AS n18 FROM (SELECT DISTINCT {slots} FROM q) s {join} GROUP BY ALL"
     )
+    same = " AND ".join(f"q.{c} IS NOT DISTINCT FROM r.{c}" for c in slots.split(", "))
+    return with_talk(with_transactions(
+        f"WITH q AS ({q}), r AS ({found}) SELECT q.conv_id, q.turn, q.intent,"
+        " CASE q.intent WHEN 10 THEN v10 WHEN 12 THEN v12 WHEN 18 THEN v18 END AS value,"
+        f" CASE q.intent WHEN 10 THEN n10 WHEN 11 THEN n11 WHEN 12 THEN n12 ELSE n18 END AS transaction_count FROM q JOIN r ON {same}"
+    ))
 
 
 @register("q_batch_totals", _batch_sql(BIND_VOCAB), raw_sql=True)
 def q_batch_totals(spark, sf_dir):
-    return questions.q_batch_totals(conversations(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB)
+    return questions.q_batch_totals(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB)
 
 
 @register("q_batch_totals_default_vocab", _batch_sql(DEFAULT), raw_sql=True)
 def q_batch_totals_default(spark, sf_dir):
-    return questions.q_batch_totals(conversations(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, DEFAULT)
+    return questions.q_batch_totals(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, DEFAULT)
 
 
 @register("batch_report", _batch_sql(BIND_VOCAB, report=True), raw_sql=True)
 def q_batch_report(spark, sf_dir):
-    return questions.batch_report(conversations(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB)
+    return questions.batch_report(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB)
 
 
 # --- 2.9 logged replies ------------------------------------------------------------------------
 
 
-@register("sqllog_clean", f"SELECT conv_id, turn, {sqllog.clean_sql_sql('text')} AS sql FROM conversations", raw_sql=True)
+@register("sqllog_clean", with_talk(f"SELECT conv_id, turn, {sqllog.clean_sql_sql('text')} AS sql FROM talk"), raw_sql=True)
 def q_sqllog_clean(spark, sf_dir):
-    return sqllog.sqllog_clean(conversations(spark, sf_dir), "text").select(*KEYS, "sql")
+    return sqllog.sqllog_clean(talk(spark, sf_dir), "text").select(*KEYS, "sql")
 
 
 _V = sqllog.validate_sql("sql")
@@ -123,12 +121,14 @@ _V = sqllog.validate_sql("sql")
 
 @register(
     "sqllog_validate",
-    f"SELECT conv_id, turn, {_V['status']} AS status, {_V['forbidden_word']} AS forbidden_word"
-    f" FROM (SELECT conv_id, turn, {sqllog.clean_sql_sql('text')} AS sql FROM conversations)",
+    with_talk(
+        f"SELECT conv_id, turn, {_V['status']} AS status, {_V['forbidden_word']} AS forbidden_word"
+        f" FROM (SELECT conv_id, turn, {sqllog.clean_sql_sql('text')} AS sql FROM talk)"
+    ),
     raw_sql=True,
 )
 def q_sqllog_validate(spark, sf_dir):
-    cleaned = sqllog.sqllog_clean(conversations(spark, sf_dir), "text")
+    cleaned = sqllog.sqllog_clean(talk(spark, sf_dir), "text")
     return sqllog.sqllog_validate(cleaned, "sql").select(*KEYS, "status", "forbidden_word")
 
 
@@ -137,7 +137,7 @@ def q_sqllog_validate(spark, sf_dir):
 
 def _question_reply(spark, sf_dir):
     """A user turn (the question) and the reply that follows it in the same conversation."""
-    conv = conversations(spark, sf_dir)
+    conv = talk(spark, sf_dir)
     qs = conv.where(F.col("role") == "user").select(
         F.concat_ws(":", "conv_id", "turn").alias("query_id"), "conv_id", F.col("turn").alias("q_turn"), F.col("text").alias("question")
     )
@@ -157,67 +157,74 @@ def _guard_inputs(spark, sf_dir, vocab):
 
 _QR_SQL = (
     "qr AS (SELECT CAST(u.conv_id AS VARCHAR) || ':' || CAST(u.turn AS VARCHAR) AS query_id, u.text AS question, a.text AS reply"
-    " FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'"
+    " FROM talk u LEFT JOIN talk a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'"
     " WHERE u.role = 'user')"
 )
-_PF = r"(?i)(?:^|[^\pL\pN_])(profile|bank|category)[\t\n\x0B\f\r ]*=[\t\n\x0B\f\r ]*'([^']*)'"
-_PROPOSED_SQL = (
-    f"pf AS (SELECT query_id, lower(regexp_extract(m, {sql_str(_PF)}, 1)) AS field, regexp_extract(m, {sql_str(_PF)}, 2) AS value"
-    f" FROM (SELECT query_id, unnest(regexp_extract_all({sqllog.clean_sql_sql('reply')}, {sql_str(_PF)}, 0)) AS m FROM qr))"
-)
+_PROPOSED_SQL = f"lg AS (SELECT query_id, {sqllog.clean_sql_sql('reply')} AS sql FROM qr), pf AS (" + " UNION ALL ".join(
+    f"SELECT query_id, lower(regexp_extract(m, {sql_str(p)}, 1)) AS field, regexp_extract(m, {sql_str(p)}, 2) AS value"
+    f" FROM (SELECT query_id, unnest(regexp_extract_all(sql, {sql_str(p)}, 0)) AS m FROM lg)"
+    for p in (guards.VALUE_FILTER, guards.SIGN_FILTER)
+) + ")"
+_BT = tagging.tag_sql("question", BIND_VOCAB)
 
 
-_BT = tagging.tag_sql("question", BIND_VOCAB)
-_GUARD_CTES = (
-    f"WITH {_QR_SQL}, {_PROPOSED_SQL},"
-    f" t AS (SELECT query_id, {_BT['profile']} AS profile, {_BT['bank']} AS bank, {_BT['category']} AS category,"
-    f" {_BT['is_income']} AS is_income, {_BT['is_spending']} AS is_spending FROM qr),"
-    " d AS (SELECT field, lower(v) AS lookup, max(v) AS canonical FROM (SELECT 'profile' AS field, profile AS v FROM transactions"
-    " UNION SELECT 'bank', bank FROM transactions UNION SELECT 'category', category FROM transactions) GROUP BY 1, 2),"
-    " j AS (SELECT pf.query_id, pf.field, pf.value, d.canonical, t.profile, t.bank, t.category, t.is_income FROM pf"
-    " LEFT JOIN t ON t.query_id = pf.query_id LEFT JOIN d ON d.field = pf.field AND d.lookup = lower(pf.value)"
-    " WHERE pf.field IN ('profile', 'bank', 'category')),"
-    " a AS (SELECT *, CASE field WHEN 'profile' THEN profile WHEN 'bank' THEN bank ELSE category END AS mentioned,"
-    " CASE WHEN field = 'profile' THEN 'BUILDING' ELSE canonical END AS valid FROM j),"
-    " b AS (SELECT *, ((mentioned IS NOT NULL OR field = 'profile')"
-    " AND NOT (field IN ('bank', 'category') AND COALESCE(is_income, false) AND mentioned IS NULL)) AS allow FROM a),"
-    " act AS (SELECT query_id, field, value, CASE WHEN NOT allow THEN 'remove' WHEN valid IS NULL THEN 'remove'"
-    " WHEN value <> valid THEN 'replace' ELSE 'keep' END AS action,"
-    " CASE WHEN allow AND valid IS NOT NULL AND value <> valid THEN valid END AS new_value FROM b),"
-    " cand AS (SELECT query_id, 'amount' AS field, '>' AS op, '0' AS value FROM t WHERE is_income"
-    " UNION ALL SELECT query_id, 'amount', '<', '0' FROM t WHERE NOT is_income AND is_spending"
-    " UNION ALL SELECT query_id, 'profile', '=', 'BUILDING' FROM t"
-    " UNION ALL SELECT query_id, 'bank', '=', bank FROM t WHERE bank IS NOT NULL"
-    " UNION ALL SELECT query_id, 'category', '=', category FROM t WHERE category IS NOT NULL AND category <> 'Income' AND NOT is_income),"
-    " req AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM act k WHERE k.action <> 'remove' AND k.query_id = c.query_id"
-    " AND k.field = c.field))"
+def _guard_sql(select: str, selected: str | None) -> str:
+    sel = None if selected is None else sql_str(selected)
+    valid = "canonical" if sel is None else f"CASE WHEN field = 'profile' THEN {sel} ELSE canonical END"
+    allow = "mentioned IS NOT NULL" if sel is None else "(mentioned IS NOT NULL OR field = 'profile')"
+    profile = "profile FROM t WHERE profile IS NOT NULL" if sel is None else f"{sel} FROM t"
+    only = " AND (c.field <> 'profile' OR lower(COALESCE(k.new_value, k.value)) = lower(c.value))" if sel is None else ""
+    return with_talk(with_transactions(
+        f"WITH {_QR_SQL}, {_PROPOSED_SQL},"
+        f" t AS (SELECT query_id, {_BT['profile']} AS profile, {_BT['bank']} AS bank, {_BT['category']} AS category,"
+        f" {_BT['is_income']} AS is_income, {_BT['is_spending']} AS is_spending FROM qr),"
+        " d AS (SELECT field, lower(v) AS lookup, max(v) AS canonical FROM (SELECT 'profile' AS field, profile AS v FROM transactions"
+        " UNION SELECT 'bank', bank FROM transactions UNION SELECT 'category', category FROM transactions) GROUP BY 1, 2),"
+        " j AS (SELECT pf.query_id, pf.field, pf.value, d.canonical, t.profile, t.bank, t.category, COALESCE(t.is_income, false) AS is_income,"
+        " COALESCE(t.is_spending, false) AS is_spending FROM pf"
+        " LEFT JOIN t ON t.query_id = pf.query_id LEFT JOIN d ON d.field = pf.field AND d.lookup = lower(pf.value)),"
+        f" a AS (SELECT *, CASE field WHEN 'profile' THEN profile WHEN 'bank' THEN bank ELSE category END AS mentioned, {valid} AS valid FROM j),"
+        f" b AS (SELECT *, ({allow} AND NOT (field IN ('bank', 'category') AND is_income AND mentioned IS NULL)) AS allow FROM a),"
+        " act AS (SELECT query_id, field, value, CASE WHEN field = 'amount' THEN CASE WHEN is_income OR is_spending THEN 'remove' ELSE 'keep' END"
+        " WHEN NOT allow OR valid IS NULL THEN 'remove' WHEN value <> valid THEN 'replace' ELSE 'keep' END AS action,"
+        " CASE WHEN field <> 'amount' AND allow AND value <> valid THEN valid END AS new_value FROM b),"
+        " cand AS (SELECT query_id, 'amount' AS field, '>' AS op, '0' AS value FROM t WHERE is_income"
+        " UNION ALL SELECT query_id, 'amount', '<', '0' FROM t WHERE NOT is_income AND is_spending"
+        f" UNION ALL SELECT query_id, 'profile', '=', {profile}"
+        " UNION ALL SELECT query_id, 'bank', '=', bank FROM t WHERE bank IS NOT NULL"
+        " UNION ALL SELECT query_id, 'category', '=', category FROM t WHERE category IS NOT NULL AND category <> 'Income' AND NOT is_income),"
+        " req AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM act k WHERE k.action <> 'remove' AND k.query_id = c.query_id"
+        f" AND k.field = c.field{only})) {select}"
+    ))
+
+
+def _guarded(spark, sf_dir, selected):
+    """(question-reply rows, filter actions, filters to add) for a selected profile or none."""
+    qr, tags, proposed = _guard_inputs(spark, sf_dir, BIND_VOCAB)
+    actions = guards.guard_filters(proposed, tags, guards.value_domains(txn(spark, sf_dir)), selected)
+    return qr, actions, guards.guard_required(tags, actions.where(F.col("action") != "remove"), selected)
+
+
+_ADJUSTED = (
+    "SELECT query_id, query_id IN (SELECT query_id FROM act WHERE action <> 'keep'"
+    " UNION SELECT query_id FROM req) AS adjusted FROM (SELECT DISTINCT query_id FROM qr)"
 )
 
 
-@register("guard_filters", with_transactions(_GUARD_CTES + " SELECT * FROM act"), raw_sql=True)
-def q_guard_filters(spark, sf_dir):
-    _, tags, proposed = _guard_inputs(spark, sf_dir, BIND_VOCAB)
-    return guards.guard_filters(proposed, tags, guards.value_domains(txn(spark, sf_dir)), "BUILDING")
+def _guard_queries(suffix: str, selected: str | None):
+    @register(f"guard_filters{suffix}", _guard_sql("SELECT * FROM act", selected), raw_sql=True)
+    def filters(spark, sf_dir):
+        return _guarded(spark, sf_dir, selected)[1]
 
+    @register(f"guard_required{suffix}", _guard_sql("SELECT * FROM req", selected), raw_sql=True)
+    def required(spark, sf_dir):
+        return _guarded(spark, sf_dir, selected)[2]
 
-@register("guard_required", with_transactions(_GUARD_CTES + " SELECT * FROM req"), raw_sql=True)
-def q_guard_required(spark, sf_dir):
-    _, tags, proposed = _guard_inputs(spark, sf_dir, BIND_VOCAB)
-    actions = guards.guard_filters(proposed, tags, guards.value_domains(txn(spark, sf_dir)), "BUILDING")
-    kept = actions.where(F.col("action") != "remove")
-    return guards.guard_required(tags, kept, "BUILDING")
+    @register(f"guard_adjusted{suffix}", _guard_sql(_ADJUSTED, selected), raw_sql=True)
+    def adjusted(spark, sf_dir):
+        qr, actions, required_ = _guarded(spark, sf_dir, selected)
+        return guards.guard_adjusted(actions, required_, qr)
 
 
-@register(
-    "guard_adjusted",
-    with_transactions(
-        _GUARD_CTES + " SELECT query_id, query_id IN (SELECT query_id FROM act WHERE action <> 'keep'"
-        " UNION SELECT query_id FROM req) AS adjusted FROM (SELECT DISTINCT query_id FROM qr)"
-    ),
-    raw_sql=True,
-)
-def q_guard_adjusted(spark, sf_dir):
-    qr, tags, proposed = _guard_inputs(spark, sf_dir, BIND_VOCAB)
-    actions = guards.guard_filters(proposed, tags, guards.value_domains(txn(spark, sf_dir)), "BUILDING")
-    required = guards.guard_required(tags, actions.where(F.col("action") != "remove"), "BUILDING")
-    return guards.guard_adjusted(actions, required, qr)
+_guard_queries("", "BUILDING")
+_guard_queries("_no_profile", None)

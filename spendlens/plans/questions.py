@@ -20,7 +20,7 @@ are then answered for all questions together:
 
 A hot slot key (many questions with the same slots) is one cell on the
 other side of the join; AQE's skew-join handling splits the question side.
-The tagged question slots are checkpointed (shared checkpoint folder) once.
+The tagged question slots are written (shared folder) once.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.money import MONEY
+from spendlens.functions.money import MONEY, float_sum, half_up_mean, money_sum
 from spendlens.functions.vocab import DEFAULT, Vocabulary
 from spendlens.operators.tagging import tag_questions
+from spendlens.sources.table import written
 
 DIMS = ["category", "bank", "profile", "year", "month"]
 ANSWERED = (10, 11, 12, 18)
+MEASURES = ("n", "s_abs", "s_amt", "f_abs", "f_amt")  # exact decimal sums, NULL where only doubles hold them
 
 
 def base_grain(transactions: DataFrame, with_merchant: bool = False) -> DataFrame:
@@ -49,8 +51,10 @@ def base_grain(transactions: DataFrame, with_merchant: bool = False) -> DataFram
         keys.append(F.lower("merchant").alias("merchant_l"))
     return transactions.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.abs("amount").cast(MONEY)).alias("s_abs"),
-        F.sum(F.col("amount").cast(MONEY)).alias("s_amt"),
+        money_sum(F.abs("amount")).alias("s_abs"),
+        money_sum("amount").alias("s_amt"),
+        float_sum(F.abs("amount")).alias("f_abs"),
+        float_sum("amount").alias("f_amt"),
     )
 
 
@@ -60,12 +64,10 @@ def question_slots(tagged: DataFrame, key_cols: list[str]) -> DataFrame:
         *key_cols,
         "intent",
         F.coalesce("is_income", F.lit(False)).alias("is_income"),
-        F.when(F.col("category") != "Income", F.col("category")).alias("category"),
-        "bank",
-        "profile",
-        "year",
-        "month",
-        F.col("merchant").alias("term"),
+        F.when(F.col("category") != "Income", F.col("category")).cast("string").alias("category"),
+        *[F.col(c).cast("string").alias(c) for c in ("bank", "profile")],
+        *[F.col(c).cast("int").alias(c) for c in ("year", "month")],
+        F.col("merchant").cast("string").alias("term"),
     )
 
 
@@ -79,10 +81,15 @@ def _patterns(questions: DataFrame) -> dict[bool, list[tuple[str, ...]]]:
     return out
 
 
+def _all_exact(c: str) -> Column:
+    """Aggregate: sum of exact sums, NULL if one of them is missing."""
+    return F.when(F.count(c) == F.count(F.lit(1)), F.try_sum(c)).alias(c)
+
+
 def _rollup(base: DataFrame, patterns, extra: list[str]) -> DataFrame:
     sets = [[*extra, *p, "sign"] for p in patterns]
     return base.groupingSets(sets, *extra, *DIMS, "sign").agg(
-        F.sum("n").alias("n"), F.sum("s_abs").alias("s_abs"), F.sum("s_amt").alias("s_amt")
+        F.sum("n").alias("n"), _all_exact("s_abs"), _all_exact("s_amt"), F.sum("f_abs").alias("f_abs"), F.sum("f_amt").alias("f_amt")
     )
 
 
@@ -143,17 +150,15 @@ def _figures(joined: DataFrame, key_cols: list[str]) -> DataFrame:
         F.sum(F.when(pos, F.col("n")).otherwise(0)).alias("n_pos"),
         F.sum(F.when(neg, F.col("n")).otherwise(0)).alias("n_neg"),
         F.sum(F.when(want, F.col("n")).otherwise(0)).alias("n_want"),
-        F.sum(F.when(pos, F.col("s_amt"))).alias("s_pos"),
-        F.sum(F.when(neg, F.col("s_abs"))).alias("s_neg_abs"),
-        F.sum(F.when(want, F.col("s_abs"))).alias("s_want_abs"),
-    )
-    avg = F.expr(
-        "cast((cast(s_want_abs * 10000 as decimal(38,0)) * 2 + n_want * 100) div (nullif(n_want, 0) * 200) as double) / 100.0D"
+        # One row per question and sign.
+        F.max(F.when(pos, F.struct("s_amt", "f_amt"))).alias("pos"),
+        F.max(F.when(neg, F.struct("s_abs", "f_abs"))).alias("neg"),
+        F.max(F.when(want, F.struct("s_abs", "f_abs"))).alias("want"),
     )
     value = (
-        F.when(F.col("intent") == 10, avg)
-        .when(F.col("intent") == 12, F.round(F.col("s_pos"), 2).cast("double"))
-        .when(F.col("intent") == 18, F.round(F.col("s_neg_abs"), 2).cast("double"))
+        F.when(F.col("intent") == 10, half_up_mean(F.col("want.s_abs"), F.col("want.f_abs"), F.col("n_want")))
+        .when(F.col("intent") == 12, F.coalesce(F.round("pos.s_amt", 2).cast("double"), F.round("pos.f_amt", 2)))
+        .when(F.col("intent") == 18, F.coalesce(F.round("neg.s_abs", 2).cast("double"), F.round("neg.f_abs", 2)))
     )
     count = (
         F.when(F.col("intent") == 11, F.col("n_all"))
@@ -169,10 +174,10 @@ def answer_batch(tagged: DataFrame, transactions: DataFrame, key_cols: list[str]
 
     value: average (10), NULL (11), income total (12), spending total (18).
     """
-    # The tagged slots are written once to the shared checkpoint folder: tagging
+    # The tagged slots are written once to the shared folder: tagging
     # (regex over whole texts) then runs once, for both the pattern list and the
     # join, and a lost executor does not re-tag the question table.
-    q = question_slots(tagged, key_cols).checkpoint(eager=True)
+    q = written(question_slots(tagged, key_cols), "slots")
     patterns = _patterns(q)
     plain_q = q.where(F.col("term").isNull())
     merch_q = q.where(F.col("term").isNotNull())
@@ -182,7 +187,7 @@ def answer_batch(tagged: DataFrame, transactions: DataFrame, key_cols: list[str]
     if patterns[False]:
         cells = _rollup(base_grain(transactions), patterns[False], [])
         j = plain_q.join(cells, _null_safe_on(plain_q, cells, DIMS), "left").select(
-            *[plain_q[c] for c in key_cols], plain_q["intent"], plain_q["is_income"], "sign", "n", "s_abs", "s_amt"
+            *[plain_q[c] for c in key_cols], plain_q["intent"], plain_q["is_income"], "sign", *MEASURES
         )
         parts.append(j)
     if patterns[True]:
@@ -196,12 +201,12 @@ def answer_batch(tagged: DataFrame, transactions: DataFrame, key_cols: list[str]
         per_term = _rollup(per_merchant, patterns[True], ["term"])
         on = _null_safe_on(merch_q, per_term, DIMS) & (merch_q["term"] == per_term["term"])
         j = merch_q.join(per_term, on, "left").select(
-            *[merch_q[c] for c in key_cols], merch_q["intent"], merch_q["is_income"], "sign", "n", "s_abs", "s_amt"
+            *[merch_q[c] for c in key_cols], merch_q["intent"], merch_q["is_income"], "sign", *MEASURES
         )
         parts.append(j)
     if not parts:
         return _figures(q.select(*key_cols, "intent", "is_income", *[F.lit(None).cast(t).alias(c) for c, t in
-                                 (("sign", "int"), ("n", "bigint"), ("s_abs", "decimal(28,4)"), ("s_amt", "decimal(28,4)"))]), key_cols)
+                                 (("sign", "int"), ("n", "bigint"), ("s_abs", MONEY), ("s_amt", MONEY), ("f_abs", "double"), ("f_amt", "double"))]), key_cols)
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.unionByName(p)

@@ -231,6 +231,13 @@ def tables_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spendlens-tables"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, with a short lineage."""
+    path = f"{tables_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _STORED: dict[tuple[int, str], DataFrame] = {}
 _SPANS: dict[tuple[int, str], tuple[int, int] | None] = {}
 

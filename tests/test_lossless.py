@@ -60,3 +60,24 @@ def test_report_has_classes_that_are_only_predicted(spark):
     got = {r["class"]: r for r in ml.report(spark.createDataFrame([("A", "A"), ("A", "Z")], "actual string, predicted string")).collect()}
     assert got["Z"]["support"] == 0 and got["Z"]["precision"] == 0.0
     assert got["macro avg"]["precision"] == 0.5 and got["A"]["recall"] == 0.5
+
+
+def test_sums_of_very_large_and_very_small_amounts(spark):
+    from spendlens.functions.money import avg_abs_2, exact_sum, round_sum_2
+
+    rows = [("large", 1e15), ("large", 0.25), ("huge", 1e30), ("huge", -2e30), *[("small", 0.00004)] * 1000, ("none", None)]
+    df = spark.createDataFrame(rows, "g string, amount double")
+    got = {r.g: r for r in df.groupBy("g").agg(exact_sum("amount").alias("s"), round_sum_2("amount").alias("r"), avg_abs_2("amount").alias("a")).collect()}
+    assert got["large"].s == 1e15 + 0.25 and got["large"].a == 500000000000000.13
+    assert got["huge"].s == got["huge"].r == -1e30
+    assert got["small"].s == 0.04 and got["small"].r == 0.04
+    assert got["none"].s is None and got["none"].a is None
+
+
+def test_rescale_of_amounts_outside_the_integers(spark):
+    from spendlens.operators.rescale import rescale_to_target
+
+    rows = [("a", 2024, -1e15), ("a", 2024, -3e15), ("b", 2024, -0.125), ("c", 2024, -7.0)]
+    df = spark.createDataFrame(rows, "profile string, year int, amount double")
+    targets = spark.createDataFrame([("a", 2024, 8.0), ("b", 2024, 2.0)], "profile string, year int, target double")
+    assert sorted(r.amount for r in rescale_to_target(df, targets).collect()) == [-7.0, -6.0, -2.0, -2.0]

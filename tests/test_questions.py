@@ -173,6 +173,14 @@ def test_guards(spark, txn):
          ("q2", "category", "Income"), ("q2", "bank", "TD")],
         "query_id string, field string, value string",
     )
+    sql = spark.createDataFrame([("q1", "SELECT 1 FROM t WHERE profile = 'Student' AND Amount <= 0")], "query_id string, sql string")
+    found = guards.proposed_filters_from_sql(sql)
+    assert [(r.field, r.value) for r in found.orderBy("pos").collect()] == [("profile", "Student"), ("amount", "<= 0")]
+    acts = guards.guard_filters(found, tags, guards.value_domains(txn).unionByName(
+        spark.createDataFrame([("profile", "student", "Student")], "field string, lookup string, canonical string")))
+    assert {(r.field, r.action) for r in acts.collect()} == {("profile", "keep"), ("amount", "remove")}
+    added = guards.guard_required(tags.where("query_id = 'q1'"), acts.where("action <> 'remove'"))
+    assert ("profile", "Family") in {(r.field, r.value) for r in added.collect()}
     domains = guards.value_domains(txn)
     acts = {(r.query_id, r.field): (r.action, r.new_value) for r in guards.guard_filters(proposed, tags, domains).collect()}
     assert acts == {
@@ -204,3 +212,27 @@ def test_month_filter_with_year_span_is_the_same_filter(txn):
     with_span = intents.slot_total(txn, Slots(month=1, years=(2024, 2026))).first()
     without = intents.slot_total(txn, Slots(month=1)).first()
     assert with_span == without
+
+
+def test_asked_questions_reach_every_rule(spark):
+    """What the registered tagging, reply and guard keys run on holds a case of everything they tell apart."""
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+
+    def values(key, column):
+        return {r[0] for r in E.queries()[key](spark, SF_SMALL).select(column).distinct().collect()}
+
+    assert values("q_intent", "intent") == set(range(1, 20))
+    for key, column in (("q_bank", "bank"), ("q_profile", "profile"), ("q_year", "year"), ("q_month", "month"), ("q_category", "category")):
+        assert len(values(key, column) - {None}) >= 3, key
+    for key in ("is_income", "is_income_detail", "is_spending", "is_listing"):
+        assert values(f"q_{key}", key) == {True, False}
+    assert values("sqllog_validate", "status") == {"ok", "empty", "not_select", "forbidden"}
+    for suffix in ("", "_no_profile"):
+        assert values(f"guard_filters{suffix}", "action") == {"keep", "replace", "remove"}
+        assert values(f"guard_required{suffix}", "field") == {"amount", "profile", "bank", "category"}
+        assert values(f"guard_adjusted{suffix}", "adjusted") == {True, False} or not suffix
+    answers = E.queries()["q_batch_totals"](spark, SF_SMALL).collect()
+    for intent in (10, 11, 12, 18):
+        mine = [r for r in answers if r.intent == intent]
+        assert any(r.transaction_count > 0 for r in mine) and (intent == 11 or any(r.value for r in mine)), intent
