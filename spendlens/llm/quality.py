@@ -6,7 +6,8 @@ fitted on labelled rows that trained no dictionary, turns it into the probabilit
 
 Only rows whose crc32(doc_id as text) mod 4 is not HELD_OUT are learned from: remainders 0 and 1 train the dictionaries,
 3 the curve. Learning is bounded: of each label the SAMPLE rows with the lowest hash of doc_id, from each PIECES pieces
-of PIECE characters spread evenly over the whole text. Scoring reads every text whole.
+of PIECE characters spread evenly over the whole text. The curve's rows are weighted by the number of all rows of their
+label over the sampled ones, so the bound doesn't change the mix of labels that it learns. Scoring reads every text whole.
 
 Cases: null counts as empty; an empty text gets the curve's value at 0; without labels of both kinds every score is the
 share of label 1 (0.5 without any). Labels with null or another value than 0 and 1 are ignored; a doc_id with
@@ -55,13 +56,14 @@ def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
     return (sizes[1] - sizes[0]) / np.maximum(*sizes) if texts else np.zeros(0)
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve of y on x, by Newton's method with a slight pull towards 0."""
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the weighted logistic curve of y on x, by Newton's method with a slight pull towards 0."""
     data, beta = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
+    weight = weight * len(x) / weight.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(data @ beta, -30, 30)))
-        hessian = (data * (p * (1 - p))[:, None]).T @ data + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, data.T @ (y - p) - 1e-3 * beta)
+        hessian = (data * (weight * p * (1 - p))[:, None]).T @ data + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, data.T @ (weight * (y - p)) - 1e-3 * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-9:
             break
@@ -84,6 +86,7 @@ def _difference_rows(batches: Iterator[pa.RecordBatch], good: bytes, bad: bytes)
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("long").alias("y"))
     known = known.where(remainder() != HELD_OUT).withColumn("curve", remainder() == 3)
+    count = {(r["y"], r["curve"]): r["count"] for r in known.groupBy("y", "curve").count().collect()}  # at most four
     chosen = None
     for y in (0, 1):
         for curve_ in (False, True):
@@ -95,11 +98,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     train = rows.where(~F.col("curve")).select("doc_id", "y", cut.alias("cut")).orderBy("doc_id").collect()
     good, bad = (_train([t for r in train if r["y"] == y for t in r["cut"]]) for y in (1, 0))
     got = rows.where("curve").select("y", "text").mapInArrow(partial(_difference_rows, good=good, bad=bad), "x double, y long").orderBy("x", "y").collect()
-    y = np.array([r["y"] for r in got] or [r["y"] for r in train], float)
+    y = np.array([r["y"] for r in got] or [r["y"] for r in train], int)
+    all_of = {v: count.get((v, False), 0) + count.get((v, True), 0) for v in (0, 1)}
+    weight = np.array([all_of[v] / min(sample, count[v, bool(got)]) for v in y])
     if not (good and bad) or len(set(y)) < 2:
-        share = float(np.clip(y.mean() if len(y) else 0.5, 0.001, 0.999))
+        share = float(np.clip(np.average(y, weights=weight) if len(y) else 0.5, 0.001, 0.999))
         return Model(b"", b"", 0.0, math.log(share / (1 - share)))
-    return Model(good, bad, *curve(np.array([r["x"] for r in got]), y))
+    return Model(good, bad, *curve(np.array([r["x"] for r in got]), y, weight))
 
 
 def scores(texts: list[str], model: Model) -> np.ndarray:

@@ -111,6 +111,15 @@ def test_quality_on_held_out_rows(spark):
     assert got.where("score < 0 or score > 1 or score is null").isEmpty() and got.count() == 1000
 
 
+def test_quality_is_alike_at_a_low_and_a_high_sample_bound(spark):
+    """The given labels are 6 to 1; a bound of 150 samples 1 to 1."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").where(quality.remainder() == quality.HELD_OUT)
+    low, high = ([r["score"] for r in quality.classify(clean, quality.learn(docs, labels, n)).orderBy("doc_id").collect()] for n in (150, quality.SAMPLE))
+    assert abs(np.mean(low) - np.mean(high)) < 0.03
+    assert abs(np.mean(np.array(low) < quality.THRESHOLD) - np.mean(np.array(high) < quality.THRESHOLD)) < 0.03
+
+
 def test_classifiers_without_labels_and_on_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.classify(odd(spark), quality.learn(odd(spark), none)).collect()} == {0.5}
