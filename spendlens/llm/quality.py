@@ -1,7 +1,8 @@
 """Quality by compression (operator 7).
 
-Two zstandard dictionaries are trained on labelled text, one on good and one on bad. A text is compressed whole with
-each; the difference of the two sizes, divided by the larger, says which kind of text it is made of. A logistic curve,
+Two zstandard dictionaries are trained on labelled text, one on good and one on bad. A text is compressed with each, in
+equal parts of at most PART bytes that know nothing of one another, else a long text's own history would replace both
+dictionaries; the difference of the two summed sizes, divided by the larger, says which kind of text it is made of. A logistic curve,
 fitted on labelled rows that trained no dictionary, turns it into the probability of label 1.
 
 Only rows whose crc32(doc_id as text) mod 4 is not HELD_OUT are learned from: remainders 0 and 1 train the dictionaries,
@@ -31,7 +32,7 @@ from spendlens.llm.common import table, text_of
 
 HELD_OUT, THRESHOLD = 2, 0.7
 SAMPLE, PIECES, PIECE = 4000, 4, 500
-DICTIONARY_BYTES, LEVEL = 131_072, 3
+DICTIONARY_BYTES, LEVEL, PART = 131_072, 3, 2000
 
 
 class Model(NamedTuple):
@@ -45,6 +46,12 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
+def parts(raw: bytes) -> list[bytes]:
+    """``raw`` in the fewest parts of at most PART bytes, of equal length but for one byte."""
+    n = -(-len(raw) // PART)
+    return [raw[k * len(raw) // n : (k + 1) * len(raw) // n] for k in range(n)]
+
+
 def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
     """(bad size - good size) / larger size of each text."""
     if not good or not bad:
@@ -52,7 +59,7 @@ def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
     sizes = []
     for raw in (good, bad):
         compress = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False).compress
-        sizes.append(np.array([len(compress(t.encode())) if t else 1 for t in texts], float))
+        sizes.append(np.array([sum(len(compress(p)) for p in parts(t.encode())) or 1 for t in texts], float))
     return (sizes[1] - sizes[0]) / np.maximum(*sizes) if texts else np.zeros(0)
 
 

@@ -120,6 +120,17 @@ def test_quality_is_alike_at_a_low_and_a_high_sample_bound(spark):
     assert abs(np.mean(np.array(low) < quality.THRESHOLD) - np.mean(np.array(high) < quality.THRESHOLD)) < 0.03
 
 
+def test_quality_judges_long_texts_as_short_ones(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    texts = [r["text"] for r in docs.join(labels.where("quality = 1"), "doc_id", "left_semi").where(quality.remainder() == quality.HELD_OUT).where("n_chars >= 5000").collect()]
+    assert np.mean(quality.scores(texts, model) >= quality.THRESHOLD) >= 0.97
+    assert quality.scores(["".join(texts)], model)[0] >= quality.THRESHOLD
+    whole = "é漢 text " * 3000
+    cut = quality.parts(whole.encode())
+    assert b"".join(cut) == whole.encode() and max(map(len, cut)) <= quality.PART and min(map(len, cut)) >= quality.PART // 2 and quality.parts(b"") == []
+
+
 def test_classifiers_without_labels_and_on_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.classify(odd(spark), quality.learn(odd(spark), none)).collect()} == {0.5}
