@@ -1,10 +1,14 @@
 """Personal data: patterns, and terms that give protected entities away (operator 4, DataFrame functions only).
 
-The patterns find emails, IP addresses, cards and phone numbers. Every value found is a protected entity c. For each
-term t beside it the corpus says how much t discloses: PMI(c; t) = log2(df(c, t) * N / (df(c) * df(t))) of the
-information IC(c) = log2(N / df(c)) that c holds. A term that holds at least REMOVE of it is removed, one that holds
-at least GENERALISE is generalised (to its first letter), in the texts with that entity. Only pairs seen in TEXTS
-different texts count, so copies of one text prove nothing; document counts cover all rows.
+The patterns find emails, IP addresses, cards and phone numbers. A protected entity c is every value found, and what
+values share, as most values occur once: the kind, an email's domain and its local part, the first three numbers of an
+IP address, the first six digits of a card, a phone number without its last four digits. For each term t beside c the
+corpus says how much t discloses: PMI(c; t) = log2(P(c | t) / P(c)) of the information IC(c) = -log2(P(c)) that c holds,
+P(c) = df(c) / N. P(c | t) = (d + PRIOR * P(c)) / (df(t) - df(c, t) / m + PRIOR), with m the different texts that have both
+and d = df(c, t) * (m - 1) / m, is smoothed and leaves the text itself (the mean of its copies) out: what t tells of c must
+be known from other texts, so copies of one text prove nothing. A term that holds at least REMOVE of IC(c) is removed, one
+that holds at least GENERALISE is generalised (to its first letter), in the texts with that entity. Document counts cover
+all rows.
 
 Kinds of spans: email, ip, card, phone (base), then remove, general. Spans are code points, end exclusive. Patterns use
 possessive repeats: what follows a repeat is never of its class, so nothing else could match, and no text makes them
@@ -26,7 +30,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TEXTS, REMOVE, GENERALISE = 2, 0.98, 0.9
+PRIOR, REMOVE, GENERALISE = 1 / 16, 0.98, 0.9
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 KEY = ["doc_id", "tkey"]
 
@@ -64,28 +68,40 @@ def found_table(scratch: Scratch, docs: DataFrame) -> DataFrame:
     return scratch.save(rows.withColumn("text", F.when(any_, F.col("text"))), "found")
 
 
-def _values(kind: str) -> Column:
-    plain = _digits if kind in ("card", "phone") else ascii_lower
-    return F.transform(F.col(kind), lambda x: F.concat(F.lit(kind + ":"), plain(x["m"])))
+def _entities(kind: str) -> Column:
+    """The kind where there is a value, the values, and what values share."""
+    plain = F.transform(F.col(kind), lambda x: (_digits if kind in ("card", "phone") else ascii_lower)(x["m"]))
+    parts = {
+        "email": [("@", lambda v: F.substring_index(v, "@", -1)), ("=", lambda v: F.substring_index(v, "@", 1))],
+        "ip": [("/", lambda v: F.substring_index(v, ".", 3))],
+        "card": [("/", lambda v: F.left(v, F.lit(6)))],
+        "phone": [("/", lambda v: F.left(v, F.char_length(v) - 4))],
+    }[kind]
+    own = F.when(F.size(kind) > 0, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+    tag = lambda sign, part: F.transform(plain, lambda v: F.concat(F.lit(kind + sign), part(v)))
+    return F.concat(own, tag(":", lambda v: v), *[tag(*p) for p in parts])
 
 
 def disclosing(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
     """KEY, terms (array<struct<term, level>>): what to remove (4) or generalise (5) in each text with entities."""
-    values = F.concat(*[_values(k) for k in KINDS[:4]])
-    rows = found.where("text is not null").select(*KEY, F.explode(F.array_distinct(values)).alias("entity"), F.array_distinct(words(F.col("text"))).alias("words"))
-    # One row for each entity and different text, with the number of its copies.
-    rows = rows.groupBy("entity", "tkey").agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
-    rows = scratch.save(rows, "beside")
-    entities = rows.groupBy("entity").agg(F.sum("copies").alias("df_c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= TEXTS)
-    beside = rows.join(entities, "entity").select("entity", "tkey", "copies", "df_c", F.explode("words").alias("term"))
-    beside = scratch.save(beside.where(~F.col("term").rlike("^[0-9]+$") & ~F.contains("entity", F.col("term"))), "pairs")
-    pairs = beside.groupBy("entity", "term", "df_c").agg(F.sum("copies").alias("df_ct"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= TEXTS)
-    terms = docs.select(F.explode(F.array_distinct(words(text_of()))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    own = F.struct(F.array_distinct(F.concat(*[_entities(k) for k in KINDS[:4]])).alias("entities"), F.array_distinct(words(F.col("text"))).alias("words"))
+    # One row for each different text, with the number of its copies.
+    texts = found.where("text is not null").select("tkey", own.alias("own")).groupBy("tkey").agg(F.count(F.lit(1)).alias("copies"), F.first("own").alias("own"))
+    texts = scratch.save(texts.select("tkey", "copies", "own.*"), "texts")
     total = docs.count()
-    pmi, ic = F.log2(F.col("df_ct") * F.lit(float(total)) / (F.col("df_c") * F.col("df_t"))), F.log2(F.lit(float(total)) / F.col("df_c"))
+    entities = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg((F.sum("copies") / F.lit(float(total))).alias("p"))
+    beside = texts.select("tkey", "copies", "words", F.explode("entities").alias("entity")).select("tkey", "copies", "entity", F.explode("words").alias("term"))
+    beside = beside.where(~F.col("term").rlike("^[0-9]+$") & ~F.contains("entity", F.col("term")))
+    pairs = beside.groupBy("entity", "term").agg(F.sum("copies").alias("df_ct"), F.count(F.lit(1)).alias("m")).where("m > 1")  # with m = 1, PMI <= 0
+    terms = docs.select(F.explode(F.array_distinct(words(text_of()))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    d, rest = F.col("df_ct") * (F.col("m") - 1) / F.col("m"), F.col("df_t") - F.col("df_ct") / F.col("m")
+    # PMI >= GENERALISE * IC means P(c | t) >= P(c) ** (1 - GENERALISE), and P(c) is at least 1 / N: what is below that for any P(c) goes before the next join.
+    pairs = pairs.join(terms, "term").where((d + PRIOR) / (rest + PRIOR) >= 0.999 * max(total, 1) ** (GENERALISE - 1))
+    pairs = pairs.join(entities, "entity")
+    pmi, ic = F.log2((d + PRIOR * F.col("p")) / (rest + PRIOR) / F.col("p")), -F.log2("p")
     level = F.when(pmi >= REMOVE * ic, 4).when(pmi >= GENERALISE * ic, 5)
     # An entity in every text holds no information (ic = 0), so nothing can disclose it.
-    flagged = scratch.save(pairs.join(terms, "term").where(ic > 0).withColumn("level", level).where("level is not null").select("entity", "term", "level"), "flagged")
+    flagged = scratch.save(pairs.where(ic > 0).withColumn("level", level).where("level is not null").select("entity", "term", "level"), "flagged")
     out = beside.join(flagged, ["entity", "term"]).groupBy("tkey", "term").agg(F.min("level").alias("level"))
     return scratch.save(out.groupBy("tkey").agg(F.collect_list(F.struct("term", "level")).alias("terms")), "terms")
 

@@ -85,6 +85,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert got[103]["spans"] == "email:11:28"  # copies of one text prove nothing
 
 
+def test_terms_that_give_away_what_values_share(spark):
+    """Every value occurs once; the domain and the number's beginning repeat."""
+    shared = "some common words that every text has"
+    rows = [(i, f"{shared} filler{i} more{i % 7}") for i in range(60)]
+    rows += [(100 + i, f"{shared} Zorbcorp desk{i} {name}@zorb.example.com") for i, name in enumerate(["ann", "bob", "cy", "di"])]
+    rows += [(200 + i, f"{shared} Quuxline hall{i} +49 30 555 0{i}11") for i in range(4)]
+    got = {r["doc_id"]: r["sanitized"] for r in P.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):
+        assert got[100 + i] == f"{shared}  desk{i} [email]" and got[200 + i] == f"{shared}  hall{i} [phone]"
+    assert got[5] is None
+
+
 def test_random_strings_beside_identifiers(spark):
     rnd = random.Random(2)
     key = lambda n=32: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
