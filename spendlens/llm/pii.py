@@ -7,8 +7,9 @@ corpus says how much t discloses: PMI(c; t) = log2(P(c | t) / P(c)) of the infor
 P(c) = df(c) / N. P(c | t) = (d + PRIOR * P(c)) / (df(t) - df(c, t) / m + PRIOR), with m the different texts that have both
 and d = df(c, t) * (m - 1) / m, is smoothed and leaves the text itself (the mean of its copies) out: what t tells of c must
 be known from other texts, so copies of one text prove nothing. A term that holds at least REMOVE of IC(c) is removed, one
-that holds at least GENERALISE is generalised (to its first letter), in the texts with that entity. Document counts cover
-all rows.
+that holds at least GENERALISE is generalised (to its first letter), in the texts with that entity. Any word may be a term,
+numbers and parts of the value as well: they are told from the value by their place. Only for the kinds, which all values
+share, the words inside values are no terms. Document counts cover all rows.
 
 Kinds of spans: email, ip, card, phone (base), then remove, general. Spans are code points, end exclusive. Patterns use
 possessive repeats: what follows a repeat is never of its class, so nothing else could match, and no text makes them
@@ -20,6 +21,8 @@ documents). Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,14 +87,20 @@ def _entities(kind: str) -> Column:
 
 def disclosing(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame:
     """KEY, terms (array<struct<term, level>>): what to remove (4) or generalise (5) in each text with entities."""
-    own = F.struct(F.array_distinct(F.concat(*[_entities(k) for k in KINDS[:4]])).alias("entities"), F.array_distinct(words(F.col("text"))).alias("words"))
+    base = F.array_sort(F.concat(*[tagged(F.col(k), i) for i, k in enumerate(KINDS[:4])]))
+    outside = words(_replaced(F.col("text"), base, lambda x: F.lit(" ")))
+    own = F.struct(
+        F.array_distinct(F.concat(*[_entities(k) for k in KINDS[:4]])).alias("entities"),
+        F.array_distinct(words(F.col("text"))).alias("words"), F.array_distinct(outside).alias("outside"),
+    )
     # One row for each different text, with the number of its copies.
     texts = found.where("text is not null").select("tkey", own.alias("own")).groupBy("tkey").agg(F.count(F.lit(1)).alias("copies"), F.first("own").alias("own"))
     texts = scratch.save(texts.select("tkey", "copies", "own.*"), "texts")
     total = docs.count()
     entities = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg((F.sum("copies") / F.lit(float(total))).alias("p"))
-    beside = texts.select("tkey", "copies", "words", F.explode("entities").alias("entity")).select("tkey", "copies", "entity", F.explode("words").alias("term"))
-    beside = beside.where(~F.col("term").rlike("^[0-9]+$") & ~F.contains("entity", F.col("term")))
+    beside = texts.select("tkey", "copies", "words", "outside", F.explode("entities").alias("entity"))
+    own_words = F.when(F.col("entity").isin(KINDS[:4]), F.col("outside")).otherwise(F.col("words"))
+    beside = beside.select("tkey", "copies", "entity", F.explode(own_words).alias("term"))
     pairs = beside.groupBy("entity", "term").agg(F.sum("copies").alias("df_ct"), F.count(F.lit(1)).alias("m")).where("m > 1")  # with m = 1, PMI <= 0
     terms = docs.select(F.explode(F.array_distinct(words(text_of()))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     d, rest = F.col("df_ct") * (F.col("m") - 1) / F.col("m"), F.col("df_t") - F.col("df_ct") / F.col("m")
@@ -130,17 +139,25 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _rewritten(text: Column, found: Column) -> Column:
-    """The text with base spans as [kind], removed terms gone and generalised ones as their first letter and a star.
+    """The text with base spans as [kind], removed terms gone and generalised ones as their first letter and a star."""
+
+    def shown(x: Column) -> Column:
+        own = F.concat(F.lit("["), F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"]), F.lit("]"))
+        return F.when(x["k"] < 4, own).when(x["k"] == 4, "").otherwise(F.concat(text.substr(x["s"] + 1, F.lit(1)), F.lit("*")))
+
+    return _replaced(text, found, shown)
+
+
+def _replaced(text: Column, found: Column, shown: Callable[[Column], Column]) -> Column:
+    """The text with ``shown`` of each span in its place.
 
     Base spans of different kinds may overlap; the part of a span that an earlier one covers is gone with that one.
     """
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        own = F.concat(F.lit("["), F.get(F.array(*[F.lit(k) for k in KINDS]), x["k"]), F.lit("]"))
-        shown = F.when(x["k"] < 4, own).when(x["k"] == 4, "").otherwise(F.concat(text.substr(x["s"] + 1, F.lit(1)), F.lit("*")))
         between = text.substr(acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], between, shown).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], between, shown(x)).alias("out"))
 
     return F.aggregate(found, start, add, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))))
 

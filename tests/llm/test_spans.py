@@ -97,6 +97,17 @@ def test_terms_that_give_away_what_values_share(spark):
     assert got[5] is None
 
 
+def test_names_and_numbers_beside_an_address(spark):
+    shared = "some common words that every text has"
+    rows = [(i, f"{shared} filler{i} more{i % 7} {i}") for i in range(60)]
+    rows += [(100 + i, f"{shared} John Smith note{i} account 90817263 john.smith@x.example.com") for i in range(2)]
+    got = {r["doc_id"]: r for r in P.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(2):
+        assert got[100 + i]["sanitized"] == f"{shared}   note{i}   [email]"
+        assert [x for x in got[100 + i]["spans"].split(",") if x.startswith("email")] == [f"email:{rows[60][1].index('john')}:{len(rows[60][1])}"]
+    assert got[5]["sanitized"] is None
+
+
 def test_random_strings_beside_identifiers(spark):
     rnd = random.Random(2)
     key = lambda n=32: "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
