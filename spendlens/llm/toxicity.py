@@ -8,7 +8,8 @@ as they will be on new text.
 
 Terms are words and the first PREFIXES bytes of words (compounds with another ending count). Of all terms of the sample
 the TERMS that part toxic from other texts best (chi squared) are kept. Learning is bounded: of either label the SAMPLE
-rows with the lowest hash of doc_id. Every text is scored whole.
+rows with the lowest hash of doc_id, weighted by the number of all rows of the label over the sampled ones, so the bound
+doesn't change the mix of labels that is learned. Every text is scored whole.
 
 Cases: null counts as empty; a text without chosen terms has the intercepts' probability; without rows of both labels all
 probabilities are the share of toxic rows (0 without any). Null labels are ignored; a doc_id with several labels is
@@ -87,18 +88,19 @@ def chosen(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[there], at[there], count[there], words
 
 
-def fit(doc: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray, size: int, steps: int = 150, pull: float = 1e-3) -> np.ndarray:
+def fit(doc: np.ndarray, at: np.ndarray, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, steps: int = 150, pull: float = 1e-3) -> np.ndarray:
     """Logistic regression (weights of ``size`` terms, the extra columns, the intercept) by accelerated gradient steps."""
     n, k = extra.shape
+    weight = weight * n / max(weight.sum(), 1e-9)
     w, before = np.zeros(size + k + 1), np.zeros(size + k + 1)
     # A step per coordinate, from how many rows have the term: rare terms learn as fast as common ones.
-    scale = np.concatenate([np.bincount(at, minlength=size), (extra**2).sum(axis=0) + 1, [n]])
+    scale = np.concatenate([np.bincount(at, weights=weight[doc], minlength=size), weight @ extra**2 + 1, [n]])
     widest = max(1, int(np.bincount(doc, minlength=n).max(initial=0)) + k + 1)
     rate = 4 / (np.sqrt(widest) * (scale / n + pull) + 1e-9)
     for step in range(steps):
         v = w + step / (step + 3) * (w - before)
         z = np.bincount(doc, weights=v[at], minlength=n) + extra @ v[size:-1] + v[-1]
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.concatenate([np.bincount(at, weights=e[doc], minlength=size), extra.T @ e, [e.sum()]]) / n + pull * v
         before, w = w, v - rate * g / 4
     return w
@@ -110,29 +112,29 @@ def predict(doc: np.ndarray, at: np.ndarray, extra: np.ndarray, w: np.ndarray) -
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_chain(doc: np.ndarray, at: np.ndarray, categories: list[np.ndarray], fold: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_chain(doc: np.ndarray, at: np.ndarray, categories: list[np.ndarray], weight: np.ndarray, fold: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """One model per category; each gets the out-of-fold probabilities of those before it. Also those of the last."""
     extra, out = np.zeros((len(fold), 0)), []
     for y in categories:
-        out.append(fit(doc, at, extra, y, size))
+        out.append(fit(doc, at, extra, y, weight, size))
         ahead = np.zeros(len(fold))
         for f in range(FOLDS):
             train, rest = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             new = np.full(len(fold), -1)
             new[train] = np.arange(len(train))
             own = new[doc] >= 0
-            w = fit(new[doc[own]], at[own], extra[train], y[train], size)
+            w = fit(new[doc[own]], at[own], extra[train], y[train], weight[train], size)
             new[rest] = np.arange(len(rest))
             ahead[rest] = predict(new[doc[~own]], at[~own], extra[rest], w)
         extra = np.column_stack([extra, ahead])
     return out, extra[:, -1]
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Half-way between the two neighbouring probabilities that part the texts with the best F1."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Half-way between the two neighbouring probabilities that part the weighted texts with the best F1."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(len(y)) + 1 + y.sum())
+    hits = np.cumsum((weight * y)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + (weight * y).sum())
     last = np.append(p[order][1:] < p[order][:-1], True)  # equal probabilities aren't parted
     cut = int(np.argmax(np.where(last, f1, -1)))
     return float((p[order][cut] + (p[order][cut + 1] if cut + 1 < len(p) else 0)) / 2)
@@ -140,6 +142,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("long")).alias("y"))
+    all_of = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    each = {v: n / min(sample, n) for v, n in all_of.items()}  # what a sampled row of the label stands for
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
     rows = scratch.save(rows.select("doc_id", "y", "text"), "sample")  # at most 2 * sample rows
@@ -150,10 +154,10 @@ def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
         base = np.log(share / (1 - share))
         return Model(np.zeros(0, np.uint64), [np.concatenate([np.zeros(k), [base]]) for k in range(len(CATEGORIES))], 0.5)
     counts = rows.select("y", "text").mapInArrow(_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    apart = F.col("pos") * (b - F.col("neg")) - F.col("neg") * (a - F.col("pos"))
-    df = F.col("pos") + F.col("neg")
-    chi = apart.cast("double") * apart / (df * (a + b - df) + 1)
-    best = counts.where(df >= LEAST).orderBy(chi.desc(), "term").limit(TERMS).select("term", "pos", "neg").collect()
+    pos, neg, all_pos, all_neg = F.col("pos") * each[1], F.col("neg") * each[0], a * each[1], b * each[0]
+    apart = pos * (all_neg - neg) - neg * (all_pos - pos)
+    chi = apart * apart / ((pos + neg) * (all_pos + all_neg - pos - neg) + 1)
+    best = counts.where(F.col("pos") + F.col("neg") >= LEAST).orderBy(chi.desc(), "term").limit(TERMS).select("term", "pos", "neg").collect()
     best = sorted((int(r["term"]) % 2**64, r["pos"] / a > 4 * r["neg"] / b) for r in best)
     terms, marks = np.array([t for t, _ in best], np.uint64), np.array([m for _, m in best], bool)
     got = rows.mapInArrow(partial(_rows, terms=terms), "doc_id long, y long, words long, at array<int>, n array<int>").orderBy("doc_id").collect()
@@ -165,8 +169,9 @@ def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
     np.maximum.at(most, doc, n * marks[at] if len(at) else n)
     categories = [y * (most >= 2), y * (toxic_n * DENSE >= words), y]
     fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) // 4 % FOLDS for r in got])
-    weights, ahead = fit_chain(doc, at, categories, fold, len(terms))
-    return Model(terms, weights, best_threshold(ahead, y))
+    weight = np.where(y > 0, each[1], each[0])
+    weights, ahead = fit_chain(doc, at, categories, weight, fold, len(terms))
+    return Model(terms, weights, best_threshold(ahead, y, weight))
 
 
 def probabilities(texts: pa.Array, model: Model) -> np.ndarray:

@@ -146,6 +146,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.85 * all_ and hit >= 0.95 * found
 
 
+def test_toxicity_is_alike_at_a_low_and_a_high_sample_bound(spark):
+    """The given labels are 8 to 1; a bound of 400 samples 1 to 1."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    models = [toxicity.learn(Scratch(spark, "test"), docs, labels, n) for n in (400, toxicity.SAMPLE)]
+    low, high = ([r["toxic"] for r in toxicity.classify(docs, m).orderBy("doc_id").collect()] for m in models)
+    assert np.mean(np.array(low) != np.array(high)) < 0.012
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule"), [
     ("http://www.example.com/en/1?a=b", "www.example.com", "/en/1", "www.example.com/en/"), ("https://A.example.COM/en/", "a.example.com", "/en/", "example.com/en/"),
     ("x://b.com/z#t", "b.com", "/z", "com/"), ("http://com", "com", "", None), ("http://m.q.net/fr/?x", "m.q.net", "/fr/", "net/fr/"), ("no scheme", "", "", None), (None, "", "", None),
