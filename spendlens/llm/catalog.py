@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendlens.llm import decontaminate, exactdedup, minhash, packing, pii, quality, secrets, tokenfiles, toxicity, urls
+from spendlens.llm import decontaminate, exactdedup, infill, minhash, packing, pii, quality, secrets, spelling, tokenfiles, toxicity, urls, vectors
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_exactdedup": exactdedup.op9_exactdedup,
     "op10_urls": urls.op10_urls,
+    "op11_infill": infill.op11_infill,
+    "op12_vectors": vectors.op12_vectors,
+    "op13_spelling": spelling.op13_spelling,
 }
-ORACLE_SQL = {"op9_exactdedup": exactdedup.OP9_SQL}
+ORACLE_SQL = {"op9_exactdedup": exactdedup.OP9_SQL, "op11_infill": infill.OP11_SQL, "op12_vectors": vectors.OP12_SQL}
