@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.money import exact_sum
@@ -12,17 +14,18 @@ def _total_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower().startswith(("total_", "sum"))]
 
 
+def zero_like_row(totals: list[Column]) -> Column:
+    """Whether all these totals of a row are 0, NULL or non-numeric."""
+    return reduce(lambda a, b: a & b, [F.coalesce(t.cast("string").try_cast("double"), F.lit(0.0)) == 0 for t in totals])
+
+
 def result_zero_like(result: DataFrame) -> DataFrame:
     """One row, ``zero_like``: True if the result is empty, or every total_* / sum*
     value is 0, NULL or non-numeric; False if there is no such column."""
     cols = _total_columns(result)
     if not cols:
         return result.agg((F.count(F.lit(1)) == 0).alias("zero_like"))
-    nonzero = [F.coalesce(F.col(f"`{c}`").cast("string").try_cast("double"), F.lit(0.0)) == 0 for c in cols]
-    all_zero = nonzero[0]
-    for cond in nonzero[1:]:
-        all_zero = all_zero & cond
-    return result.agg(F.coalesce(F.bool_and(all_zero), F.lit(True)).alias("zero_like"))
+    return result.agg(F.coalesce(F.bool_and(zero_like_row([F.col(f"`{c}`") for c in cols])), F.lit(True)).alias("zero_like"))
 
 
 def result_rollup(result: DataFrame, order_by: list[str], key: str) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spendlens.functions.text import sql_str
-from spendlens.functions.vocab import DEFAULT, binding_vocabulary
-from spendlens.operators import guards, sqllog, tagging
-from spendlens.plans import questions
-from spendlens.plans.catalog import register, txn
+from spendlens.functions.vocab import DEFAULT, TOP_THREE_PHRASES, binding_vocabulary
+from spendlens.operators import filters, guards, sqllog, tagging
+from spendlens.plans import answers, questions
+from spendlens.plans.catalog import AS_OF, AVG_ABS, TOTAL_SPENT, register, txn
 from spendlens.sources.asked import talk, with_talk
 from spendlens.sources.binding import with_transactions
 
@@ -55,57 +55,94 @@ def q_intent(spark, sf_dir):
     return tagging.tag_questions(talk(spark, sf_dir), "text", DEFAULT).select(*KEYS, "intent")
 
 
-def _batch_sql(vocab, report: bool = False) -> str:
-    tags = tagging.tag_sql("text", vocab)
-    intent = tagging.intent_sql("text", tags, vocab)
+# --- 2.8 batch answers ----------------------------------------------------------------------------
+
+
+def _batch_sql(vocab, select: str, selected: str | None = None, questions_from: str = "talk", keys: str = "conv_id, turn", text: str = "text") -> str:
+    """``select`` over q (questions with the number ``rid`` of what they ask for) and res (rid, rank, result columns)."""
+    tags = tagging.tag_sql(text, vocab)
+    intent = tagging.intent_sql(text, tags, vocab)
     tag_cols = ", ".join(f"{v} AS {k}" for k, v in tags.items())
+    top3 = " OR ".join(f"contains(lower({text}), {sql_str(w)})" for w in TOP_THREE_PHRASES)
+    fixed, sel = "(1, 4, 5, 6, 7, 13, 14, 19)", "NULL" if selected is None else sql_str(selected)
+    slot = lambda c: f"CASE WHEN intent NOT IN (1, 4, 5, 6, 7, 13, 14, 17, 19) THEN {c} END AS {c}"
     q = (
-        f"SELECT conv_id, turn, intent, is_income, CASE WHEN category <> 'Income' THEN category END AS category, bank, profile,"
-        f" year, month, merchant FROM (SELECT conv_id, turn, {tag_cols}, {intent} AS intent FROM talk) t"
-        " WHERE intent IN (10, 11, 12, 18)"
+        f"SELECT {keys}, intent, CASE WHEN intent IN {fixed} OR intent = 17 THEN false ELSE is_income END AS is_income, intent = 2 AND ({top3}) AS top3,"
+        " CASE WHEN intent = 17 THEN category WHEN intent NOT IN (1, 4, 5, 6, 7, 13, 14, 19) AND category <> 'Income' THEN category END AS category,"
+        f" {slot('bank')}, COALESCE(CASE WHEN intent NOT IN {fixed} AND intent <> 17 THEN profile END, {sel}) AS profile, {slot('year')}, {slot('month')}, {slot('merchant')}"
+        f" FROM (SELECT {keys}, {text}, {tag_cols}, {intent} AS intent FROM {questions_from}) t"
     )
-    if report:
-        return with_talk(with_transactions(f"SELECT conv_id, turn, intent, CAST(1 AS BIGINT) AS rows_returned FROM ({q}) q"))
-    # Questions with the same slots share one look at the transactions.
-    slots = "is_income, category, bank, profile, year, month, merchant"
-    want = "(CASE WHEN s.is_income THEN t.amount > 0 ELSE t.amount < 0 END)"
-    join = (
-        "LEFT JOIN transactions t ON (s.category IS NULL OR t.category = s.category) AND (s.bank IS NULL OR t.bank = s.bank)"
-        " AND (s.profile IS NULL OR t.profile = s.profile) AND (s.year IS NULL OR year(t.date) = s.year)"
+    slots = "intent, is_income, top3, category, bank, profile, year, month, merchant"
+    low, high = filters.month_bounds(AS_OF, "last month")
+    m = (
+        "SELECT s.rid, s.intent, s.is_income, s.top3, t.* FROM s JOIN transactions t ON (s.category IS NULL OR t.category = s.category)"
+        " AND (s.bank IS NULL OR t.bank = s.bank) AND (s.profile IS NULL OR t.profile = s.profile) AND (s.year IS NULL OR year(t.date) = s.year)"
         " AND (s.month IS NULL OR month(t.date) = s.month) AND (s.merchant IS NULL OR contains(lower(t.merchant), s.merchant))"
+        " AND CASE WHEN s.intent = 11 THEN true WHEN s.is_income THEN t.amount > 0 ELSE t.amount < 0 END"
+        " AND (s.intent <> 4 OR month(t.date) IN (1, 2))"
+        f" AND (s.intent <> 17 OR (t.date >= DATE '{low}' AND t.date < DATE '{high}'))"
     )
-    avg = (
-        f"CAST((CAST(SUM(CAST(ABS(t.amount) AS DECIMAL(18,4))) FILTER (WHERE {want}) * 10000 AS HUGEINT) * 2"
-        f" + COUNT(t.amount) FILTER (WHERE {want}) * 100) // (NULLIF(COUNT(t.amount) FILTER (WHERE {want}), 0) * 200) AS DOUBLE) / 100"
+    keyed = (
+        "SELECT rid, intent, any_value(top3) AS top3, CASE WHEN intent IN (4, 15) THEN strftime(date, '%Y-%m') END AS month, CASE WHEN intent = 16 THEN strftime(date, '%Y') END AS year,"
+        " CASE WHEN intent IN (1, 2, 8) THEN merchant END AS merchant, CASE WHEN intent IN (1, 2, 4, 5, 8, 9, 19) THEN category END AS category,"
+        " CASE WHEN intent IN (6, 7, 14) THEN profile END AS profile, CASE WHEN intent = 13 THEN bank END AS bank,"
+        f" {TOTAL_SPENT} AS spent, {AVG_ABS} AS average, COUNT(*) AS n FROM m WHERE intent <> 3 GROUP BY ALL HAVING intent <> 1 OR COUNT(*) >= 6"
     )
-    found = (
-        f"SELECT {', '.join('s.' + c for c in slots.split(', '))}, {avg} AS v10,"
-        " CAST(ROUND(SUM(CAST(t.amount AS DECIMAL(18,4))) FILTER (WHERE t.amount > 0), 2) AS DOUBLE) AS v12,"
-        " CAST(ROUND(SUM(CAST(ABS(t.amount) AS DECIMAL(18,4))) FILTER (WHERE t.amount < 0), 2) AS DOUBLE) AS v18,"
-        f" COUNT(t.amount) FILTER (WHERE {want}) AS n10, COUNT(t.amount) AS n11, COUNT(t.amount) FILTER (WHERE t.amount > 0) AS n12,"
-        f" COUNT(t.amount) FILTER (WHERE t.amount < 0) AS n18 FROM (SELECT DISTINCT {slots} FROM q) s {join} GROUP BY ALL"
+    ranked = (
+        "SELECT *, row_number() OVER (PARTITION BY rid ORDER BY COALESCE(month, year), CASE WHEN intent IN (1, 2) THEN n END DESC,"
+        " CASE WHEN intent = 1 THEN average ELSE spent END DESC, merchant, category, profile, bank) AS rank FROM keyed"
     )
-    same = " AND ".join(f"q.{c} IS NOT DISTINCT FROM r.{c}" for c in slots.split(", "))
-    return with_talk(with_transactions(
-        f"WITH q AS ({q}), r AS ({found}) SELECT q.conv_id, q.turn, q.intent,"
-        " CASE q.intent WHEN 10 THEN v10 WHEN 12 THEN v12 WHEN 18 THEN v18 END AS value,"
-        f" CASE q.intent WHEN 10 THEN n10 WHEN 11 THEN n11 WHEN 12 THEN n12 ELSE n18 END AS transaction_count FROM q JOIN r ON {same}"
-    ))
+    newest = "date DESC, merchant, description, amount, category, profile, bank"
+    res = (
+        "SELECT rid, CAST(rank AS INTEGER) AS rank, CAST(NULL AS DATE) AS date, month, year, merchant, CAST(NULL AS VARCHAR) AS description, category, profile, bank, CAST(NULL AS DOUBLE) AS amount,"
+        " CASE WHEN intent NOT IN (1, 10, 11) THEN spent END AS total, CASE WHEN intent IN (1, 10) THEN average END AS average,"
+        " CASE WHEN intent NOT IN (4, 5) THEN n END AS transaction_count FROM ranked"
+        " WHERE rank <= CASE WHEN intent = 1 THEN 20 WHEN top3 THEN 3 WHEN intent IN (2, 5, 6) THEN 1 WHEN intent IN (8, 9, 19) THEN 10 ELSE 1000000 END"
+        " UNION ALL SELECT rid, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0 FROM s"
+        " WHERE intent IN (10, 11, 12, 17, 18) AND rid NOT IN (SELECT rid FROM keyed)"
+        " UNION ALL SELECT rid, CAST(row_number() OVER (PARTITION BY rid ORDER BY " + newest + ") AS INTEGER) AS r, date, NULL, NULL, merchant, description, category, profile, bank, amount, NULL, NULL, NULL"
+        " FROM m WHERE intent = 3 QUALIFY r <= 50"
+    )
+    return (
+        f"q AS (SELECT *, dense_rank() OVER (ORDER BY {slots}) AS rid FROM ({q}) a), s AS (SELECT DISTINCT rid, {slots} FROM q), m AS ({m}), keyed AS ({keyed}),"
+        f" ranked AS ({ranked}), res AS ({res}) {select}"
+    )
+
+
+def _batch(vocab, select: str) -> str:
+    return with_talk(with_transactions("WITH " + _batch_sql(vocab, select)))
+
+
+_FIGURES_SQL = (
+    "SELECT conv_id, turn, intent, value, transaction_count, rows_returned FROM q JOIN (SELECT s.rid,"
+    " COALESCE(CAST(SUM(CAST(total AS DECIMAL(18,2))) AS DOUBLE), CASE WHEN any_value(s.intent) = 10 THEN any_value(average) END) AS value,"
+    " CAST(SUM(transaction_count) AS BIGINT) AS transaction_count, COUNT(res.rid) AS rows_returned FROM s LEFT JOIN res ON res.rid = s.rid GROUP BY s.rid) f USING (rid)"
+)
+_ROWS_SQL = (
+    "SELECT conv_id, turn, intent, rank, date, res.month, res.year, res.merchant, description, res.category, res.profile, res.bank, amount, total, average, transaction_count"
+    " FROM q JOIN res USING (rid)"
+)
 
 
-@register("q_batch_totals", _batch_sql(BIND_VOCAB), raw_sql=True)
+@register("q_batch_totals", _batch(BIND_VOCAB, _FIGURES_SQL), raw_sql=True)
 def q_batch_totals(spark, sf_dir):
-    return questions.q_batch_totals(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB)
+    return questions.q_batch_totals(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB, as_of=AS_OF)
 
 
-@register("q_batch_totals_default_vocab", _batch_sql(DEFAULT), raw_sql=True)
+@register("q_batch_totals_default_vocab", _batch(DEFAULT, _FIGURES_SQL), raw_sql=True)
 def q_batch_totals_default(spark, sf_dir):
-    return questions.q_batch_totals(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, DEFAULT)
+    return questions.q_batch_totals(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, DEFAULT, as_of=AS_OF)
 
 
-@register("batch_report", _batch_sql(BIND_VOCAB, report=True), raw_sql=True)
+@register("q_batch_rows", _batch(BIND_VOCAB, _ROWS_SQL), raw_sql=True)
+def q_batch_rows(spark, sf_dir):
+    tagged = tagging.tag_questions(talk(spark, sf_dir), "text", BIND_VOCAB)
+    return questions.answer_rows(tagged, txn(spark, sf_dir), KEYS, as_of=AS_OF)
+
+
+@register("batch_report", _batch(BIND_VOCAB, f"SELECT conv_id, turn, intent, rows_returned FROM ({_FIGURES_SQL}) f"), raw_sql=True)
 def q_batch_report(spark, sf_dir):
-    return questions.batch_report(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB)
+    return questions.batch_report(talk(spark, sf_dir), txn(spark, sf_dir), "text", KEYS, BIND_VOCAB, as_of=AS_OF)
 
 
 # --- 2.9 logged replies ------------------------------------------------------------------------
@@ -226,5 +263,45 @@ def _guard_queries(suffix: str, selected: str | None):
         return guards.guard_adjusted(actions, required_, qr)
 
 
+# --- question in, result out -------------------------------------------------------------------------
+
+
+def _answer_sql(selected: str | None) -> str:
+    same = " AND ".join(f"(gs.{f} IS NULL OR t.{f} = gs.{f})" for f in guards.GUARDED)
+    one = ", ".join(f"min(value) FILTER (WHERE field = '{f}') AS {f}, max(value) FILTER (WHERE field = '{f}') AS {f}2" for f in guards.GUARDED)
+    signs = ", ".join(
+        f"COALESCE(bool_and(op IN ({', '.join(map(sql_str, ops))})) FILTER (WHERE field = 'amount'), true) AS {s}" for s, (_, ops) in answers.SIGNS.items()
+    )
+    select = (
+        "SELECT o.query_id, o.intent, CASE WHEN o.guarded THEN 'guarded' ELSE 'rules' END AS branch, o.replied AND (o.adjusted OR NOT o.guarded) AS adjusted,"
+        " CASE WHEN o.guarded THEN o.value ELSE f.value END AS value, CASE WHEN o.guarded THEN o.n ELSE f.transaction_count END AS transaction_count,"
+        " CASE WHEN o.guarded THEN 1 ELSE f.rows_returned END AS rows_returned FROM o JOIN f USING (query_id)"
+    )
+    figures = _FIGURES_SQL.replace("conv_id, turn", "query_id")
+    return _guard_sql(
+        f", st AS (SELECT query_id, {_V['status']} = 'ok' AS usable FROM lg), adj AS ({_ADJUSTED}),"
+        " flt AS (SELECT query_id, field, COALESCE(new_value, value) AS value, regexp_extract(value, '^[<>]=?') AS op FROM act WHERE action <> 'remove'"
+        " UNION ALL SELECT query_id, field, value, op FROM req),"
+        f" g AS (SELECT qr.query_id, {one}, {signs} FROM qr LEFT JOIN flt ON flt.query_id = qr.query_id GROUP BY 1),"
+        " gk AS (SELECT *, dense_rank() OVER (ORDER BY profile, bank, category, neg, zero, pos) AS gid FROM g"
+        " WHERE profile IS NOT DISTINCT FROM profile2 AND bank IS NOT DISTINCT FROM bank2 AND category IS NOT DISTINCT FROM category2),"
+        f" gf AS (SELECT gs.gid, {TOTAL_SPENT} AS value, COUNT(*) AS n FROM (SELECT DISTINCT gid, profile, bank, category, neg, zero, pos FROM gk) gs JOIN transactions t"
+        f" ON {same} AND ((gs.neg AND t.amount < 0) OR (gs.zero AND t.amount = 0) OR (gs.pos AND t.amount > 0)) GROUP BY 1), "
+        + _batch_sql(BIND_VOCAB, "", selected, "qr", "query_id", "question")
+        + f", f AS ({figures}), o AS (SELECT q.query_id, q.intent, qr.reply IS NOT NULL AS replied, adj.adjusted, gf.value, gf.n,"
+        " st.usable AND COALESCE(gf.value, 0) <> 0 AS guarded FROM q JOIN qr USING (query_id) JOIN st USING (query_id) JOIN adj USING (query_id)"
+        f" LEFT JOIN gk USING (query_id) LEFT JOIN gf USING (gid)) {select}",
+        selected,
+    )
+
+
+def _answer_query(suffix: str, selected: str | None):
+    @register(f"answer{suffix}", _answer_sql(selected), raw_sql=True)
+    def q(spark, sf_dir):
+        return answers.answer(_question_reply(spark, sf_dir), txn(spark, sf_dir), BIND_VOCAB, selected, AS_OF)
+
+
+_answer_query("", None)
+_answer_query("_selected", "BUILDING")
 _guard_queries("", "BUILDING")
 _guard_queries("_no_profile", None)

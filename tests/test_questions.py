@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators import intents, sqllog, tagging
 from spendlens.operators.filters import Slots
-from spendlens.plans import questions
+from spendlens.plans import answers, questions
 
 # (question, intent, selected slots) - FIXTURES.md section 4.
 ROUTING = [
@@ -109,33 +109,82 @@ def test_half_up_average(spark):
     assert got == {1: 2.01, 2: 1.01}
 
 
-def test_batch_totals_equal_per_question(spark, txn):
-    qs = [
-        "How much did I spend on groceries in 2025?",
-        "What is my average spending at starbucks?",
-        "How many transactions do I have with TD?",
-        "How much income did I receive in 2024?",
-        "How much did I spend with RBC in march?",
-        "What did the Family profile spend on groceries?",
-        "How much did I spend at metro?",
-        "How much did I spend at nowhere shop?",
-    ]
-    qdf = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "qid int, text string")
-    tagged = tagging.tag_questions(qdf, "text")
-    got = {r.qid: (r.intent, r.value, r.transaction_count) for r in questions.answer_batch(tagged, txn, ["qid"]).collect()}
+BATCH = [q for q, _, _ in ROUTING] + [
+    "What is my average spending at starbucks?",
+    "How many transactions do I have with TD?",
+    "How much income did I receive in 2024?",
+    "How much did I spend with RBC in march?",
+    "How much did I spend at metro?",
+    "How much did I spend at nowhere shop?",
+    "Show my metro transactions",
+    "Show my nowhere transactions",
+    "Show my e transactions in 2026",
+    "What are my top 3 frequent subscription charges?",
+    "What is my most frequent subscription in 2024?",
+    "What are the top merchants for income deposits?",
+    "Top merchants of Family in january 2025?",
+    "Top categories with RBC",
+    "Expenses by year for groceries",
+    "Spending by month at metro",
+    "How is my monthly spend with Scotiabank?",
+    "How much went to coffee last month?",
+    "What is my average salary?",
+]
+NAMES = {"total_spent": "total", "total_income": "total", "average_amount": "average", "average_transaction_amount": "average", "income_transactions": "transaction_count"}
+
+
+@pytest.mark.parametrize("selected", [None, "Family"])
+def test_batch_answers_equal_single_ones(spark, txn, selected):
+    """Each question's rows are those of its intent, run by itself; the figures are the sums of these rows."""
+    as_of = dt.date(2025, 2, 10)
+    tagged = tagging.tag_questions(spark.createDataFrame(list(enumerate(BATCH)), "qid int, text string"), "text")
+    rows = {}
+    for r in questions.answer_rows(tagged, txn, ["qid"], selected, as_of).collect():
+        rows.setdefault(r.qid, []).append(r)
+    figures = {r.qid: r for r in questions.answer_batch(tagged, txn, ["qid"], selected, as_of).collect()}
+    assert set(figures) == set(range(len(BATCH))) and len({r.intent for r in figures.values()}) >= 18
     for r in tagged.collect():
-        slots = Slots(category=r.category, bank=r.bank, profile=r.profile, year=r.year, month=r.month, merchant=r.merchant,
-                      income=r.is_income)
-        res = intents.run_intent(txn, r.intent, slots).first()
+        slots = Slots(category=r.category, bank=r.bank, profile=r.profile, year=r.year, month=r.month, merchant=r.merchant, income=r.is_income, top3=r.top3)
+        result = intents.run_intent(txn, r.intent, slots, selected, as_of)
+        columns = [NAMES.get(c, c) for c in result.columns]
+        want = [tuple(x) for x in result.collect()]
+        got = [tuple(x[c] for c in columns) for x in sorted(rows.get(r.qid, []), key=lambda x: x["rank"])]
+        assert got == want, (r.text, got, want)
+        f = figures[r.qid]
+        sums = [sum(x[columns.index(c)] or 0 for x in want) if c in columns and want else None for c in ("total", "transaction_count")]
+        assert f.rows_returned == len(want) and f.transaction_count == sums[1], r.text
         if r.intent == 10:
-            want = (10, res.average_transaction_amount, res.transaction_count)
-        elif r.intent == 11:
-            want = (11, None, res.transaction_count)
-        elif r.intent == 12:
-            want = (12, res.total_income, res.income_transactions)
+            assert f.value == want[0][0]
+        elif sums[0] is not None and any(x[columns.index("total")] is not None for x in want):
+            assert f.value == pytest.approx(sums[0])
         else:
-            want = (r.intent, res.total_spent, res.transaction_count)
-        assert got[r.qid] == want, (qs[r.qid], got[r.qid], want)
+            assert f.value is None
+
+
+def test_batch_answers_without_questions(spark, txn):
+    tagged = tagging.tag_questions(spark.createDataFrame([], "qid int, text string"), "text")
+    assert questions.answer_rows(tagged, txn, ["qid"]).collect() == [] == questions.answer_batch(tagged, txn, ["qid"]).collect()
+
+
+def test_answer_takes_the_guarded_statement_or_the_rules(spark, txn):
+    replies = [
+        ("How much did the Family profile spend with TD?", "SELECT SUM(amount) FROM transactions WHERE bank = 'td'", "guarded", True, 50.0, 1),  # corrected and completed
+        ("How much did the Family profile spend with TD?", "SELECT 1 FROM transactions WHERE bank = 'TD' AND profile = 'Family' AND amount < 0", "guarded", True, 50.0, 1),  # the sign is always set anew
+        ("Totals of TD", "SELECT 1 FROM transactions WHERE bank = 'TD'", "guarded", False, 2057.56, 6),
+        ("Totals of TD", "SELECT 1 FROM transactions WHERE bank = 'TD' AND amount >= 0", "guarded", False, 2000.0, 2),
+        ("Totals of TD", "DROP TABLE transactions", "rules", True, 57.56, 4),
+        ("Totals of TD", None, "rules", False, 57.56, 4),
+        ("Totals of TD", "SELECT 1 FROM transactions WHERE bank = 'TD' AND amount > 0 AND amount < 0", "rules", True, 57.56, 4),  # nothing left
+        ("How much income did I receive in 2024?", "SELECT 1 FROM transactions WHERE bank = 'RBC'", "guarded", True, 2900.0, 2),  # an income question drops a bank it doesn't name
+        ("What are my top merchants?", "no idea", "rules", True, 112.25, 7),
+    ]
+    frame = spark.createDataFrame([(f"q{i}", q, r) for i, (q, r, *_) in enumerate(replies)], "query_id string, question string, reply string")
+    got = {r.query_id: r for r in answers.answer(frame, txn).collect()}
+    for i, (question, reply, branch, adjusted, value, n) in enumerate(replies):
+        r = got[f"q{i}"]
+        assert (r.branch, r.adjusted, r.transaction_count) == (branch, adjusted, n), (question, reply, r)
+        assert r.value == pytest.approx(value), (question, reply, r)
+    assert len(got) == len(replies)
 
 
 def test_sqllog(spark):
@@ -232,7 +281,9 @@ def test_asked_questions_reach_every_rule(spark):
         assert values(f"guard_filters{suffix}", "action") == {"keep", "replace", "remove"}
         assert values(f"guard_required{suffix}", "field") == {"amount", "profile", "bank", "category"}
         assert values(f"guard_adjusted{suffix}", "adjusted") == {True, False} or not suffix
-    answers = E.queries()["q_batch_totals"](spark, SF_SMALL).collect()
-    for intent in (10, 11, 12, 18):
-        mine = [r for r in answers if r.intent == intent]
-        assert any(r.transaction_count > 0 for r in mine) and (intent == 11 or any(r.value for r in mine)), intent
+    answered = E.queries()["q_batch_totals"](spark, SF_SMALL).collect()
+    for intent in range(1, 20):
+        mine = [r for r in answered if r.intent == intent]
+        assert any(r.rows_returned > 0 for r in mine) and (intent in (3, 4, 5) or any(r.transaction_count for r in mine)) and (intent in (1, 3, 11) or any(r.value for r in mine)), intent
+    for suffix in ("", "_selected"):
+        assert values(f"answer{suffix}", "branch") == {"guarded", "rules"}
