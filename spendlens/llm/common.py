@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,31 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once per application: they need not find it where the driver does."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(n for n in names if n.endswith(".py")):
+                z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    path = f"{shared_dir(spark)}/llm/package-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +56,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -62,6 +90,12 @@ def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def one_text(rows: DataFrame, *names: str) -> DataFrame:
+    """One row for each ``names`` (and of its texts the one with the lowest hash): a repeated id stays one sampled row."""
+    lowest = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    return rows.groupBy(*names).agg(lowest.alias("text"))
+
+
 def word_pieces(c: Column) -> Column:
     """The lower-cased words in order; the first and the last piece may be empty."""
     return F.split(ascii_lower(c), SEPARATOR, -1)

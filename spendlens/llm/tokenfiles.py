@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Scratch, table, text_of
+from spendlens.llm.common import Scratch, one_text, table, text_of
 from spendlens.llm.tokens import encoder
 
 END_ID = 2
@@ -38,8 +38,11 @@ NAMES = [c.split()[0] for c in SHARD.split(", ")]
 
 
 def serialized(ids: bytes) -> bytes:
-    """Two bytes an id: those of the vocabulary are below 65536."""
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    """Two bytes an id; those of the vocabulary are below 65536."""
+    got = np.frombuffer(ids, "<u4")
+    if len(got) and got.max() > 65535:
+        raise ValueError(f"id {got.max()} doesn't fit in two bytes")
+    return got.astype("<u2").tobytes()
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
@@ -51,7 +54,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
 def train_dictionary(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> bytes:
     """The shared dictionary; made of plain content where there is too little to train on."""
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(text_of().alias("text"))  # at most ``sample`` ids
+    texts = one_text(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id"), "doc_id").select("text")
     samples = sorted(bytes(r[0]) for r in texts.mapInArrow(partial(_sampled, path=path), "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -98,7 +101,8 @@ def _shards(batches: Iterator[pa.RecordBatch], raw: bytes, path: str | None) ->
 def write_files(scratch: Scratch, docs: DataFrame, dictionary: bytes, path: str | None = None) -> DataFrame:
     """The files of ``docs``, ordered by doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The text's hash parts rows of equal (or null) ids.
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return scratch.save(rows.mapInArrow(partial(_shards, raw=dictionary, path=path), SHARD), "tokens", compression="none")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Scratch, table, text_of
+from spendlens.llm.common import Scratch, one_text, table, text_of
 from spendlens.llm.shingles import chunks, mix, multisets, word_hashes
 
 SAMPLE, TERMS, FOLDS, PREFIXES, DENSE, LEAST = 6000, 3000, 3, (5, 7), 60, 4
@@ -146,7 +146,7 @@ def learn(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
     each = {v: n / min(sample, n) for v, n in all_of.items()}  # what a sampled row of the label stands for
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
-    rows = scratch.save(rows.select("doc_id", "y", "text"), "sample")  # at most 2 * sample rows
+    rows = scratch.save(one_text(rows, "doc_id", "y"), "sample")  # at most 2 * sample rows
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     a, b = sizes.get(1, 0), sizes.get(0, 0)
     if not a or not b:
