@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Scratch, ascii_lower, same, sha_of, span_strings, spans, table, tagged, text_of, words
+from spendlens.llm.common import Scratch, ascii_lower, same, sha_of, small, span_strings, spans, table, tagged, text_of, words
 
 KINDS = ["email", "ip", "card", "phone", "remove", "general"]
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,6 +34,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PRIOR, REMOVE, GENERALISE = 1 / 16, 0.98, 0.9
+COMMON = 0.001  # share of the rows from which on an entity counts as common
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 KEY = ["doc_id", "tkey"]
 
@@ -96,17 +97,28 @@ def disclosing(scratch: Scratch, docs: DataFrame, found: DataFrame) -> DataFrame
     # One row for each different text, with the number of its copies.
     texts = found.where("text is not null").select("tkey", own.alias("own")).groupBy("tkey").agg(F.count(F.lit(1)).alias("copies"), F.first("own").alias("own"))
     texts = scratch.save(texts.select("tkey", "copies", "own.*"), "texts")
-    total = docs.count()
+    total = max(docs.count(), 1)
     entities = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg((F.sum("copies") / F.lit(float(total))).alias("p"))
-    beside = texts.select("tkey", "copies", "words", "outside", F.explode("entities").alias("entity"))
+    terms = docs.select(F.explode(F.array_distinct(words(text_of()))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    # PMI >= GENERALISE * IC means P(c | t) >= P(c) ** (1 - GENERALISE), and P(c) is at least 1 / N.
+    least = 0.999 * total ** (GENERALISE - 1)
+    # With e rows beside any entity, d <= e, and as m = 1 gives PMI <= 0, df(t) - df(c, t) / m >= df(t) - e / 2. So a term
+    # that is below the least with these bounds discloses nothing, and is left out before any pair is made.
+    own = texts.select("copies", F.explode(F.array_union("words", "outside")).alias("term")).groupBy("term").agg(F.sum("copies").alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    open_ = own.join(terms, "term").where((F.col("e") + PRIOR) / (F.col("df_t") - F.col("e") / 2 + PRIOR) >= least)
+    open_ = scratch.save(open_.select("term", "df_t"), "open")
+    held = texts.select("tkey", F.explode(F.array_union("words", "outside")).alias("term")).join(open_.select("term"), "term")
+    held = held.groupBy("tkey").agg(F.collect_set("term").alias("open"))
+    cut = scratch.save(texts.join(held, "tkey").select("tkey", "copies", "entities", F.array_intersect("words", "open").alias("words"), F.array_intersect("outside", "open").alias("outside")), "cut")
+    beside = cut.select("tkey", "copies", "words", "outside", F.explode("entities").alias("entity"))
     own_words = F.when(F.col("entity").isin(KINDS[:4]), F.col("outside")).otherwise(F.col("words"))
     beside = beside.select("tkey", "copies", "entity", F.explode(own_words).alias("term"))
-    pairs = beside.groupBy("entity", "term").agg(F.sum("copies").alias("df_ct"), F.count(F.lit(1)).alias("m")).where("m > 1")  # with m = 1, PMI <= 0
-    terms = docs.select(F.explode(F.array_distinct(words(text_of()))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    pairs = beside.groupBy("entity", "term").agg(F.sum("copies").alias("df_ct"), F.count(F.lit(1)).alias("m")).where("m > 1")
     d, rest = F.col("df_ct") * (F.col("m") - 1) / F.col("m"), F.col("df_t") - F.col("df_ct") / F.col("m")
-    # PMI >= GENERALISE * IC means P(c | t) >= P(c) ** (1 - GENERALISE), and P(c) is at least 1 / N: what is below that for any P(c) goes before the next join.
-    pairs = pairs.join(terms, "term").where((d + PRIOR) / (rest + PRIOR) >= 0.999 * max(total, 1) ** (GENERALISE - 1))
-    pairs = pairs.join(entities, "entity")
+    pairs = scratch.save(pairs.join(open_, "term").where((d + PRIOR) / (rest + PRIOR) >= least), "pairs")
+    # Entities of many rows have many terms; they are few, and are joined apart.
+    common = F.col("p") >= COMMON
+    pairs = pairs.join(small(entities.where(common)), "entity").unionByName(pairs.join(entities.where(~common), "entity"))
     pmi, ic = F.log2((d + PRIOR * F.col("p")) / (rest + PRIOR) / F.col("p")), -F.log2("p")
     level = F.when(pmi >= REMOVE * ic, 4).when(pmi >= GENERALISE * ic, 5)
     # An entity in every text holds no information (ic = 0), so nothing can disclose it.
