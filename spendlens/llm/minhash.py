@@ -34,6 +34,7 @@ from spendlens.llm.shingles import chunks, digests, mix, multisets, shingled, wo
 WIDTH, SIMILARITY = 5, (4, 5)  # words of a shingle; 4/5 as a ratio of integers
 BANDS, ROWS = 20, 5
 HUBS = 16  # of a class in the second round
+DRAWN = 100_000  # items whose points are drawn together
 KEY = ["doc_id", "tkey"]
 _U = np.uint64
 SIGNED = "doc_id long, tkey long, n_words long, node binary, bands array<long>"
@@ -42,6 +43,13 @@ SIGNED = "doc_id long, tkey long, n_words long, node binary, bands array<long>"
 def signatures(doc: np.ndarray, items: np.ndarray, counts: np.ndarray, n: int, size: int) -> np.ndarray:
     """n x size BagMinHash signatures of multisets given as (doc, item, count); inf for empty ones."""
     out = np.full(n * size, np.inf)
+    for i in range(0, len(doc), DRAWN):  # a signature is a minimum over its items, in whatever parts they come
+        _draw(out, doc[i : i + DRAWN], items[i : i + DRAWN], counts[i : i + DRAWN], n, size)
+    return out.reshape(n, size)
+
+
+def _draw(out: np.ndarray, doc: np.ndarray, items: np.ndarray, counts: np.ndarray, n: int, size: int) -> None:
+    """Lowers ``out`` by the points of these items."""
     top = np.ceil(np.log2(counts)).astype(np.int64)  # the highest interval that begins below the count
     rep = np.repeat(np.arange(len(doc)), top + 1)
     level = np.arange(len(rep)) - np.repeat(np.cumsum(top + 1) - (top + 1), top + 1)
@@ -62,7 +70,6 @@ def signatures(doc: np.ndarray, items: np.ndarray, counts: np.ndarray, n: int, s
             np.minimum.at(out, (doc * size + part)[ok], at[ok])
         left = at < out.reshape(n, size).max(axis=1)[doc]
         state, at, doc, weight, length, low = (x[left] for x in (state, at, doc, weight, length, low))
-    return out.reshape(n, size)
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,8 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _CODE = np.arange(256, dtype=np.uint64)
 _CODE[0x41:0x5B] += _U(32)
-#: Bytes that are taken at once; a longer text is taken alone.
-CHUNK = 4_000_000
+#: Bytes that are taken at once; a longer text is taken alone, its words in parts of about so many bytes.
+CHUNK = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,17 +26,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _CODE = mix(_CODE + _STEP)
-_POWERS: dict[str, np.ndarray] = {}
+_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK - 1, x)])) for x in (_STEP, _BACK))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_STEP ** i and _STEP ** -i mod 2**64 for i below n; those for up to CHUNK are kept."""
-    if "up" in _POWERS and len(_POWERS["up"]) >= n:
-        return _POWERS["up"][:n], _POWERS["down"][:n]
-    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, CHUNK) - 1, s)])) for s in (_STEP, _BACK))
+    """_STEP ** i and _STEP ** -i mod 2**64 for i below n."""
     if n <= CHUNK:
-        _POWERS.update(up=up, down=down)
-    return up[:n], down[:n]
+        return _UP[:n], _DOWN[:n]
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x)])) for x in (_STEP, _BACK))
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -61,8 +58,33 @@ def word_hashes(texts: pa.Array, first: int = 0) -> tuple[np.ndarray, np.ndarray
     if low == high:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[low:high]
+    offsets = offsets - low
+    docs, hashes, start = [], [], 0
+    while start < len(data):
+        stop = _part_end(data, start)
+        here = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, side="right")]
+        starts, own = _hashed(data[start:stop], here - start, first)
+        docs.append(np.searchsorted(offsets, starts + start, side="right") - 1)
+        hashes.append(own)
+        start = stop
+    return (docs[0], hashes[0]) if len(docs) == 1 else (np.concatenate(docs), np.concatenate(hashes))
+
+
+def _part_end(data: np.ndarray, start: int) -> int:
+    """The end of a part of CHUNK bytes, or of the word that goes on there."""
+    stop = start + CHUNK
+    while stop < len(data):
+        ends = np.flatnonzero(~_WORD[data[stop - 1 : stop - 1 + CHUNK]])
+        if len(ends):
+            return stop + int(ends[0])
+        stop += CHUNK
+    return len(data)
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of ``data``; texts begin at ``offsets``."""
     begins = np.zeros(len(data) + 1, bool)
-    begins[offsets - low] = True
+    begins[offsets] = True
     is_word = _WORD[data]
     before, after = np.concatenate([[False], is_word[:-1]]), np.concatenate([is_word[1:], [False]])
     starts, ends = np.flatnonzero(is_word & (~before | begins[:-1])), np.flatnonzero(is_word & (~after | begins[1:])) + 1
@@ -71,9 +93,9 @@ def word_hashes(texts: pa.Array, first: int = 0) -> tuple[np.ndarray, np.ndarray
         starts = starts[longer]
         ends = starts + first
     up, down = _powers(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * up)])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return np.searchsorted(offsets - low, starts, side="right") - 1, hashes
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODE[data] * up, out=sums[1:])
+    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingled(doc: np.ndarray, hashes: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +124,10 @@ def shingled(doc: np.ndarray, hashes: np.ndarray, width: int, n: int) -> tuple[n
 
 def multisets(doc: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, item, count): how often each row has each item."""
+    if len(doc) and doc.min() == doc.max():  # one text: nothing else to keep apart
+        items = np.sort(items)
+        new = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
+        return np.full(len(new), doc[0]), items[new], np.diff(np.append(new, len(items)))
     key = mix(items + doc.astype(np.uint64) * _STEP)
     order = np.argsort(key)
     key, doc, items = key[order], doc[order], items[order]

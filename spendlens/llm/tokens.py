@@ -16,7 +16,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 250_000  # pieces, and words, of each of two generations
+KEPT = 8_000_000  # bytes of pieces, and of words, in each of two generations
+ENTRY = 160  # bytes that an entry takes beside the signs and ids
 _PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f]*")
 _LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: The vocabulary file's own rule for words, spelled out for the plain signs.
@@ -29,18 +30,23 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 class Kept(dict):
-    """What ``make`` gives for a key, kept for the keys met lately."""
+    """What ``make`` gives for a key, kept for the keys met lately: two generations of about KEPT bytes each."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.room = make, {}, KEPT
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= KEPT:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self.room -= len(key) + len(got) + ENTRY
+        if self.room < 0:
             self.older = dict(self)
             self.clear()
-        got = self.older.get(key)
-        got = self[key] = self.make(key) if got is None else got
+            self.room = KEPT
+        if len(key) + len(got) < KEPT // 16:  # longer ones hardly come again
+            self[key] = got
         return got
 
 
