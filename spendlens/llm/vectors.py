@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Scratch, table
+from spendlens.llm.common import Scratch, small, table
 from spendlens.llm.minhash import components
 
 SIMILARITY = 0.9
@@ -99,7 +99,13 @@ def in_grid_order(scratch: Scratch, nodes: DataFrame, size: int, eps: float, lea
     rows = nodes.select(*names).mapInArrow(placed, f"copies long, low long, k1 long, k2 long, vector {kind}, place array<double>, cells array<int>")
     order = ["cells", "place", "k1", "k2"]
     rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    return scratch.save(rows.select(F.monotonically_increasing_id().alias("node"), *names, "place", F.spark_partition_id().alias("part")), "sequence")
+    rows = scratch.save(rows.select(F.monotonically_increasing_id().alias("node"), *names, "place", F.spark_partition_id().alias("dealt")), "sequence")
+    # Ranges of equal length, however many partitions the sort had: a node's number in its partition, and what comes before (a row a partition).
+    counts = rows.groupBy("dealt").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    before = counts.select("dealt", "first", (F.sum("n").over(Window.orderBy("dealt")) - F.col("n")).alias("before"))
+    number = F.col("node") - F.col("first") + F.col("before")
+    total = max(rows.count(), 1)
+    return rows.join(small(before), "dealt").withColumn("part", F.floor(number * ranges / total).cast("int")).drop("dealt", "first", "before")
 
 
 def near_ranges(scratch: Scratch, sequence: DataFrame, eps: float, lead: int) -> DataFrame:
