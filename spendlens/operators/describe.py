@@ -4,83 +4,25 @@ Numeric columns: count, mean, std (sample), min, 25 % / 50 % / 75 % (exact,
 linear interpolation), max. Text columns: count, unique, top, freq (ties in
 ``top`` go to the smallest value).
 
-Exact quantiles without holding a column in one task: the column is reduced
-to (value, count) pairs, then the rank of each wanted order statistic is
-located by bucketing the value range (bucket counts are a few hundred rows),
-narrowing to the bucket that holds the rank, and repeating until the slice
-left is small enough to read in order. Each round is one distributed pass
-over the (value, count) pairs of the current range.
+Exact quantiles without holding a column in one place: the column is reduced
+to (value, count) pairs, which a range sort puts in order over many tasks.
+The counts of the ranges (one row each) tell in which range a rank lies and how
+many rows come before it; inside those few ranges a running count picks the
+values. Nothing but the statistics comes to the driver.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BINS = 512
-LEAF = 50_000
-
-
-def _rank_values(vc: DataFrame, ranks: list[int]) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the multiset given by (v, c) rows."""
-    out: dict[int, float] = {}
-    first = vc.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    pending = {r: (first["lo"], first["hi"], 0) for r in ranks}  # rank -> (lo, hi, rows below lo)
-    while pending:
-        groups: dict[tuple, list[int]] = {}
-        for r, key in pending.items():
-            groups.setdefault(key, []).append(r)
-        pending = {}
-        for (lo, hi, below), rs in groups.items():
-            if lo == hi:
-                for r in rs:
-                    out[r] = lo
-                continue
-            sub = vc.where((F.col("v") >= lo) & (F.col("v") <= hi))
-            if sub.count() <= LEAF:
-                acc = below
-                rows = sub.orderBy("v").collect()
-                for row in rows:
-                    for r in rs:
-                        if acc <= r < acc + row["c"]:
-                            out[r] = row["v"]
-                    acc += row["c"]
-                continue
-            width = (hi - lo) / BINS
-            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(BINS - 1)).cast("int")
-            buckets = sub.groupBy(b.alias("b")).agg(
-                F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-            ).orderBy("b").collect()  # at most BINS rows
-            acc = below
-            for bk in buckets:
-                for r in rs:
-                    if acc <= r < acc + bk["n"]:
-                        pending[r] = (bk["lo"], bk["hi"], acc)
-                acc += bk["n"]
-    return out
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> tuple[int, dict[float, float | None]]:
-    vc = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)  # reused by each narrowing round
-    try:
-        n = vc.agg(F.sum("c")).first()[0] or 0
-        if n == 0:
-            return 0, {p: None for p in probs}
-        wanted = {}
-        for p in probs:
-            h = (n - 1) * p
-            wanted[p] = (h, math.floor(h), math.ceil(h))
-        vals = _rank_values(vc, sorted({x for _, lo, hi in wanted.values() for x in (lo, hi)}))
-        return n, {p: vals[lo] + (h - lo) * (vals[hi] - vals[lo]) for p, (h, lo, hi) in wanted.items()}
-    finally:
-        vc.unpersist()
-
+from spendlens.functions.sizes import small
+from spendlens.sources.table import dropped, written
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 SCHEMA = T.StructType(
     [
         T.StructField("column", T.StringType()),
@@ -99,36 +41,67 @@ SCHEMA = T.StructType(
 )
 
 
-def _r(x, digits=6):
-    return None if x is None else round(float(x), digits)
+def sorted_counts(df: DataFrame, col: str, ranges: int | None = None) -> DataFrame:
+    """(v, c, part): the different values with their counts, stored in sorted order; ``part`` numbers the ranges."""
+    pairs = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.repartitionByRange(ranges, "v") if ranges else pairs.repartitionByRange("v")
+    return written(pairs.select("v", "c", F.spark_partition_id().alias("part")), "values")
+
+
+def exact_quantiles(pairs: DataFrame, probs: list[float]) -> DataFrame:
+    """(p, value) over the multiset of ``sorted_counts``: none for an empty one."""
+    sums = pairs.groupBy("part").agg(F.sum("c").alias("s"))
+    order = Window.orderBy("part")  # one row per range
+    sums = sums.select("part", "s", (F.sum("s").over(order) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("n"))
+
+    def rank(p: float, side: str) -> Column:
+        h = (F.col("n") - 1) * F.lit(float(p))
+        at = F.floor(h) if side == "lo" else F.ceil(h)
+        return F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), at.cast("long").alias("rank"), (h - F.floor(h)).alias("rest"))
+
+    ranks = F.array(*[rank(p, side) for p in probs for side in ("lo", "hi")])
+    here = F.filter(ranks, lambda r: (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("s")))
+    wanted = sums.select("part", "before", F.explode(here).alias("r")).select("part", "before", "r.*")  # two rows per probability
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = pairs.join(small(wanted.select("part").distinct()), "part", "left_semi").withColumn("upto", F.sum("c").over(inside))
+    place = F.col("rank") - F.col("before")
+    found = run.join(small(wanted), "part").where((place < F.col("upto")) & (place >= F.col("upto") - F.col("c")))
+    low, high = (F.max(F.when(F.col("side") == side, F.col("v"))) for side in ("lo", "hi"))
+    return found.groupBy("p", "rest").agg(low.alias("low"), high.alias("high")).select("p", (F.col("low") + F.col("rest") * (F.col("high") - F.col("low"))).alias("value"))
+
+
+def _row(df: DataFrame, column: Column, given: dict[str, Column]) -> DataFrame:
+    columns = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields if f.name != "column"]
+    return df.select(column.alias("column"), *columns)
+
+
+def _numeric(df: DataFrame, c: str) -> DataFrame:
+    stats = df.agg(F.count(c).alias("count"), *[F.round(f(F.col(c).cast("double")), 6).alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    rows = _row(stats, F.lit(c), {k: F.col(k) for k in ("count", "mean", "std", "min", "max")})
+    pairs = sorted_counts(df, c)
+    quartiles = exact_quantiles(pairs, list(QUARTILES.values()))
+    quartiles = quartiles.agg(*[F.max(F.when(F.col("p") == p, F.round("value", 6))).alias(q) for q, p in QUARTILES.items()])
+    rows = rows.unionByName(_row(quartiles, F.lit(c), {q: F.col(q) for q in QUARTILES}))
+    one = written(rows.groupBy("column").agg(*[F.max(f.name).alias(f.name) for f in SCHEMA.fields if f.name != "column"]), "described")
+    dropped(pairs)
+    return one
+
+
+def _text(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """All text columns in one pass: (column, value) pairs, counted per pair (partial aggregation before the shuffle),
+    then one summary row per column. The top value is the most frequent, ties to the smallest."""
+    pairs = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])).alias("p")
+    ).select("p.*")
+    counts = pairs.groupBy("column", "value").agg(F.count("value").alias("k"))
+    there = F.col("value").isNotNull()
+    summary = counts.groupBy("column").agg(
+        F.sum("k").alias("count"), F.count_if(there).alias("unique"), F.max(F.when(there, F.col("k"))).alias("freq"),
+        F.min_by("value", F.when(there, F.struct((-F.col("k")).alias("less"), F.col("value")))).alias("top"),
+    )
+    return _row(summary, F.col("column"), {k: F.col(k) for k in ("count", "unique", "top", "freq")})
 
 
 def describe_all(df: DataFrame, numeric=("amount",), text=("merchant", "description", "category", "profile", "bank", "currency")) -> DataFrame:
-    rows = []
-    for c in numeric:
-        st = df.agg(
-            F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("mn"), F.max(c).alias("mx")
-        ).first()
-        _, q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        rows.append((c, st["n"], None, None, None, _r(st["mean"]), _r(st["std"]), _r(st["mn"]), _r(q[0.25]), _r(q[0.5]),
-                     _r(q[0.75]), _r(st["mx"])))
-    if text:
-        # All text columns in one pass: (column, value) pairs, counted per pair (partial
-        # aggregation before the shuffle), then one summary row per column. The top value
-        # is the most frequent, ties to the smallest: max over (count, -value) ordering.
-        pairs = df.select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in text])).alias("p")
-        ).select("p.*").where(F.col("value").isNotNull())
-        counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
-        summary = counts.groupBy("column").agg(
-            F.sum("k").alias("n"),
-            F.count(F.lit(1)).alias("u"),
-            F.max("k").alias("freq"),
-            F.min_by("value", F.struct(-F.col("k"), F.col("value"))).alias("top"),
-        )
-        by_col = {r["column"]: r for r in summary.collect()}  # one row per text column
-        for c in text:
-            r = by_col.get(c)
-            rows.append((c, r["n"] if r else 0, r["u"] if r else 0, r["top"] if r else None, r["freq"] if r else None,
-                         None, None, None, None, None, None, None))
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+    parts = [_numeric(df, c) for c in numeric] + ([_text(df, tuple(text))] if text else [])
+    return reduce(DataFrame.unionByName, parts).select(*SCHEMA.names)

@@ -4,48 +4,36 @@ Relational parts (each checked against DuckDB):
 
 * ``row_keys`` - md5 of the bound columns; identical rows share a key.
 * ``stratified_split`` - exact 80/20 split per label: the test part of a
-  label is its ceil(0.2 * n) rows with the smallest keys. Found without a
-  window over a whole label: rows are grouped by key (duplicates become a
-  multiplicity), counted per (label, key bucket) with about sqrt(n) buckets
-  per label, the boundary bucket per label is located on that small table, and
-  only the boundary bucket is ranked. A label holding a third of the rows is
-  therefore never one task.
+  label is its ceil(0.2 * n) rows with the smallest keys. Only each label's
+  boundary is looked for (``split_bounds``), by counts; rows are compared with
+  it where they are. A label holding a third of the rows is never one task.
 * ``tfidf`` - word 1-2-grams, terms in >= 2 fitting documents, sklearn's
   smooth idf ln((1+n)/(1+df)) + 1, l2 norm. Documents are deduplicated by
   text first (a multiplicity column), so repeated texts cost one row.
 * ``zscore`` (population std, zero std -> 1), ``encoder_vocab`` (sorted
   categories -> index), ``class_weights`` (n / (k * n_c)), ``report``.
 
-The forest is ``pyspark.ml.classification.RandomForestClassifier`` in a
-``Pipeline``; its trees differ from sklearn's, so it is checked by rows.
+The forest is ``pyspark.ml.classification.RandomForestClassifier`` on sparse
+vectors built from the relational tf-idf; its trees differ from sklearn's, so
+its predictions are checked by their report.
 """
 
 from __future__ import annotations
 
-import math
+import json
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    ElementwiseProduct,
-    IndexToString,
-    Normalizer,
-    NGram,
-    OneHotEncoder,
-    RegexTokenizer,
-    SQLTransformer,
-    StandardScaler,
-    StringIndexer,
-    VectorAssembler,
-)
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spendlens.operators.clean import feature_view
+from spendlens.functions.sizes import is_small, small
+from spendlens.operators.clean import feature_view, normalize
 
 # The model's feature lists, as in the reference.
 TEXT_FEATURE = "text"
@@ -53,75 +41,96 @@ NUMERIC_FEATURES = ["amount", "abs_amount", "month", "day_of_week", "is_income"]
 CATEGORICAL_FEATURES = ["profile", "bank", "currency"]
 KEY_COLUMNS = ["date", "merchant", "description", "amount", "category", "profile", "bank", "currency"]
 TOKEN = r"[\pL\pN_]{2,}"
-BUCKET_HEX = 6  # the split's boundary search uses up to 24 key bits
+HEX = 3  # hex digits of the key in each counting round of the split
+BLOCK = 1_000_000  # copies of a row that are numbered together
+FREQUENT = 0.001  # of the most frequent term's documents: terms from there on are joined by broadcast
 
 
 def row_keys(df: DataFrame) -> DataFrame:
     parts = []
     for c in KEY_COLUMNS:
-        v = F.col(c).cast("decimal(18,2)") if c == "amount" else F.col(c)
-        parts.append(F.coalesce(v.cast("string"), F.lit("")))
+        v = F.col(c).cast("string")
+        if c == "amount":  # to the cent where the type holds it
+            v = F.coalesce(F.col(c).try_cast("decimal(18,2)").cast("string"), v)
+        parts.append(F.coalesce(v, F.lit("")))
     return df.withColumn("row_key", F.md5(F.concat_ws("|", *parts)))
 
 
 # --- split -----------------------------------------------------------------------------------
 
 
-def stratified_split(df: DataFrame, label: str = "category", test_fraction: float = 0.2) -> DataFrame:
-    """Adds ``split`` in ('train', 'test'); stratified when every label has >= 2 rows."""
+class Split:
+    """An exact split per label, known by one boundary row per label: ``bounds`` has the last key of the test part and how
+    many of its ``copies`` belong there (``taken``), beside the label's rows ``n`` and test rows ``t``. A row's part is a
+    comparison with its label's boundary, so the rows themselves are never shuffled or stored."""
+
+    def __init__(self, label: str, by_label: bool, bounds: DataFrame):
+        self.label, self.by_label, self.bounds = label, by_label, bounds
+        facts = bounds.agg(F.coalesce(F.sum(F.col("n") - F.col("t")), F.lit(0)), F.count_if(F.col("taken") < F.col("copies"))).first()
+        self.n_train, self.shared = int(facts[0]), int(facts[1])
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """``df`` with row_key and split."""
+        keyed = row_keys(df)
+        own = self.bounds.select("_g", *[F.col(c).alias(f"_{c}") for c in ("key", "taken", "copies")])
+        rows = keyed.withColumn("_g", _group(self.label, self.by_label)).join(small(own), "_g", "left")
+        shared = F.coalesce((F.col("row_key") == F.col("_key")) & (F.col("_taken") < F.col("_copies")), F.lit(False))
+        side = F.when(F.col("row_key") <= F.col("_key"), "test").otherwise("train")  # of a label that had no rows: train
+        out = rows.where(~shared).select(*keyed.columns, side.alias("split")) if self.shared else rows.select(*keyed.columns, side.alias("split"))
+        if not self.shared:
+            return out
+        # The copies of a boundary key belong to both parts: each different row with its number of copies, numbered.
+        same = rows.where(shared).groupBy(*keyed.columns, "_g", "_taken").agg(F.count(F.lit(1)).alias("_c"))
+        before = Window.partitionBy("_g").orderBy(*keyed.columns).rowsBetween(Window.unboundedPreceding, -1)
+        same = same.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        same = same.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / BLOCK))))
+        last = F.least(F.col("_c"), (F.col("_block") + 1) * BLOCK)
+        same = same.withColumn("_copy", F.explode(F.sequence(F.col("_block") * BLOCK + 1, last)))
+        side = F.when(F.col("_before") + F.col("_copy") <= F.col("_taken"), "test").otherwise("train")
+        return out.unionByName(same.select(*keyed.columns, side.alias("split")))
+
+
+def _group(label: str, by_label: bool) -> Column:
+    return F.concat(F.lit("="), F.coalesce(F.col(label).cast("string"), F.lit(""))) if by_label else F.lit("*")
+
+
+def _boundary(counts: DataFrame, part: str, carry: list[str]) -> DataFrame:
+    """Per group the first ``part`` (in order) at which the running count reaches ``t``: _g, carry, part, before, cnt."""
+    order = Window.partitionBy("_g").orderBy(part)
+    run = counts.withColumn("upto", F.col("before") + F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = run.where(F.col("upto") >= F.col("t")).groupBy("_g", *carry).agg(F.min_by(F.struct(part, "cnt", "upto"), F.col(part)).alias("b"))
+    return at.select("_g", *carry, F.col(f"b.{part}").alias(part), (F.col("b.upto") - F.col("b.cnt")).alias("before"), F.col("b.cnt").alias("cnt"))
+
+
+def split_bounds(df: DataFrame, label: str = "category", test_fraction: float = 0.2) -> Split:
+    """The boundary of each label, found without moving rows: two rounds count rows by HEX hex digits of their key (partial
+    aggregates; at most 16 ** HEX rows a label), each time only in the part that holds the boundary; what is left then, about
+    one row in 16 ** (2 HEX) of a label, is ranked by key, equal keys counted together."""
+    from spendlens.sources.table import written
+
     keyed = row_keys(df)
-    cols = keyed.columns
-    uniq = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("mult"))
-
-    # Stratify when every label has >= 2 rows; decided inside the plan on the
-    # per-label counts (one row per label), joined back to the rows. Each group
-    # uses about sqrt(n) key buckets, so both the bucket-count table of a group
-    # and its one boundary bucket hold about sqrt(n) rows.
-    per_label = uniq.groupBy(label).agg(F.sum("mult").alias("n"))
-    everyone = Window.partitionBy()
-    stratify = F.min("n").over(everyone) >= 2
-    group_key = F.concat(F.lit("="), F.coalesce(F.col(label).cast("string"), F.lit("")))
-    group_n = F.when(stratify, F.col("n")).otherwise(F.sum("n").over(everyone))
-    strat = per_label.select(
-        F.col(label).alias("_label"),
-        F.when(stratify, group_key).otherwise(F.lit("*")).alias("_g"),
-        F.least(F.lit(4 * BUCKET_HEX), F.greatest(F.lit(1), F.ceil(F.log2(group_n) / 2))).cast("int").alias("_bits"),
-    )
-    uniq = uniq.join(strat, uniq[label].eqNullSafe(strat["_label"])).drop("_label")
-    uniq = uniq.withColumn("_kb", F.conv(F.substring("row_key", 1, BUCKET_HEX), 16, 10).cast("long"))
-    uniq = uniq.withColumn("bucket", F.expr(f"shiftright(_kb, {4 * BUCKET_HEX} - _bits)")).drop("_kb", "_bits")
-    gcols = ["_g"]
-    counts = uniq.groupBy(*gcols, "bucket").agg(F.sum("mult").alias("cnt"))
-    w = Window.partitionBy(*gcols).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = Window.partitionBy(*gcols)
-    cum = (
-        counts.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-        .withColumn("n", F.sum("cnt").over(totals))
-        .withColumn("t", F.ceil(F.col("n") * F.lit(Decimal(str(test_fraction)))).cast("bigint"))
-    )
-    # Per group: buckets fully in test, and the one bucket split in two.
-    bounds = cum.select(
-        *gcols,
-        "bucket",
-        F.when(F.col("before") + F.col("cnt") <= F.col("t"), F.lit("all"))
-        .when(F.col("before") < F.col("t"), F.lit("part"))
-        .otherwise(F.lit("none"))
-        .alias("state"),
-        (F.col("t") - F.col("before")).alias("need"),
-    )
-    tagged = uniq.join(bounds, [*gcols, "bucket"])
-    inner = Window.partitionBy(*gcols, "bucket").orderBy("row_key").rowsBetween(Window.unboundedPreceding, -1)
-    part = tagged.where(F.col("state") == "part").withColumn("prev", F.coalesce(F.sum("mult").over(inner), F.lit(0)))
-    part = part.withColumn("test_mult", F.least(F.col("mult"), F.greatest(F.col("need") - F.col("prev"), F.lit(0)))).drop("prev")
-    whole = tagged.where(F.col("state") != "part").withColumn(
-        "test_mult", F.when(F.col("state") == "all", F.col("mult")).otherwise(F.lit(0)).cast("bigint")
-    )
-    both = whole.unionByName(part)
-    splits = F.concat(
-        F.array_repeat(F.lit("test"), F.col("test_mult").cast("int")),
-        F.array_repeat(F.lit("train"), (F.col("mult") - F.col("test_mult")).cast("int")),
-    )
-    return both.select(*cols, F.explode(splits).alias("split")).drop("_g")
+    digits = lambda k: F.substring("row_key", HEX * k + 1, HEX)
+    counts = written(keyed.groupBy(_group(label, True).alias("_g"), digits(0).alias("p0")).agg(F.count(F.lit(1)).alias("cnt")), "split-counts")
+    least = counts.groupBy("_g").agg(F.sum("cnt").alias("n")).agg(F.min("n")).first()[0]
+    by_label = least is not None and least >= 2  # else no label can be kept apart
+    if not by_label:
+        counts = counts.groupBy(F.lit("*").alias("_g"), "p0").agg(F.sum("cnt").alias("cnt"))
+    sizes = Window.partitionBy("_g")
+    counts = counts.withColumn("n", F.sum("cnt").over(sizes)).withColumn("t", F.ceil(F.col("n") * F.lit(Decimal(str(test_fraction)))).cast("bigint"))
+    facts = ["n", "t"]
+    at = _boundary(counts.withColumn("before", F.lit(0).cast("bigint")), "p0", facts)
+    keyed = keyed.select(_group(label, by_label).alias("_g"), "row_key", digits(0).alias("p0"), digits(1).alias("p1"))
+    inner = keyed.join(small(at.select("_g", "p0", "before", *facts)), ["_g", "p0"]).groupBy("_g", "p0", "p1", "before", *facts).agg(F.count(F.lit(1)).alias("cnt"))
+    at = written(_boundary(inner, "p1", [*facts, "p0"]), "split-parts")
+    last = keyed.join(small(at.select("_g", "p0", "p1", "before", *facts)), ["_g", "p0", "p1"]).groupBy("_g", "row_key", "before", *facts).agg(F.count(F.lit(1)).alias("cnt"))
+    at = _boundary(last, "row_key", facts)
+    bounds = at.select("_g", F.col("row_key").alias("key"), (F.col("t") - F.col("before")).alias("taken"), F.col("cnt").alias("copies"), *facts)
+    return Split(label, by_label, written(bounds, "split-bounds"))
+
+
+def stratified_split(df: DataFrame, label: str = "category", test_fraction: float = 0.2) -> DataFrame:
+    """Adds ``row_key`` and ``split`` in ('train', 'test'); stratified when every label has >= 2 rows."""
+    return split_bounds(df, label, test_fraction).apply(df)
 
 
 # --- tf-idf (relational) --------------------------------------------------------------------------
@@ -140,15 +149,14 @@ def with_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Each distinct text with its number of documents. Fit and transform use this same
-    aggregate, so Spark reuses its shuffle when both run in one plan."""
+    """Each distinct text with its number of documents."""
     return docs.groupBy(text_col).agg(F.count(F.lit(1)).alias("mult"))
 
 
-def tfidf_fit(docs: DataFrame, text_col: str = "text", min_df: int = 2) -> DataFrame:
-    """Vocabulary with idf: (term, df, idf) over the fitting documents."""
+def tfidf_fit(docs: DataFrame, text_col: str = "text", min_df: int = 2, n_docs: int | None = None) -> DataFrame:
+    """Vocabulary with idf: (term, df, idf) over the fitting documents; ``n_docs`` spares the count where it is known."""
     texts = with_terms(_distinct_texts(docs, text_col), text_col)
-    n_docs = docs.count()
+    n_docs = docs.count() if n_docs is None else n_docs
     df_terms = (
         texts.select("mult", F.explode(F.array_distinct("terms")).alias("term"))
         .groupBy("term")
@@ -158,28 +166,80 @@ def tfidf_fit(docs: DataFrame, text_col: str = "text", min_df: int = 2) -> DataF
     return df_terms.select("term", "df", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_transform(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text, term, weight) for each distinct text: l2-normalised tf * idf.
+def indexed(vocab: DataFrame) -> DataFrame:
+    """``vocab`` with ``index``: the place of each term in sorted order, from 0.
 
-    Term counts come from the document's own term array (no shuffle); the one
-    shuffle groups each document's weighted terms to normalise them. A
-    document's term list is bounded by its length.
+    A range sort puts the terms in order over many tasks; a term's place is its number in its range after the terms of
+    the ranges before (one row per range). The vocabulary is never in one place.
     """
-    texts = with_terms(_distinct_texts(docs, text_col).select(text_col), text_col)
+    from spendlens.sources.table import written
+
+    names = vocab.columns
+    rows = vocab.repartitionByRange("term").sortWithinPartitions("term")
+    rows = written(rows.select(*names, F.monotonically_increasing_id().alias("_id"), F.spark_partition_id().alias("_part")), "terms")
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = counts.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(small(before), "_part").select(*names, (F.col("_id") - F.col("_first") + F.col("_before")).alias("index"))
+
+
+def _weighted(texts: DataFrame, text_col: str, vocab: DataFrame, keep: list[str]) -> DataFrame:
+    """(text, items, squares): each text's terms in ``vocab`` with tf * idf, and the sum of squares."""
     counted = F.transform(
         F.array_distinct("terms"),
         lambda x: F.struct(x.alias("term"), F.size(F.filter("terms", lambda y: y == x)).alias("tf")),
     )
     tf = texts.select(text_col, F.explode(counted).alias("p")).select(text_col, "p.term", "p.tf")
-    w = tf.join(vocab, "term").select(text_col, F.struct("term", (F.col("tf") * F.col("idf")).alias("raw")).alias("tr"))
-    per_doc = w.groupBy(text_col).agg(
-        F.collect_list("tr").alias("items"), F.sqrt(F.sum(F.col("tr.raw") * F.col("tr.raw"))).alias("norm")
-    )
-    return per_doc.select(text_col, "norm", F.explode("items").alias("tr")).select(
+    w = tf.join(vocab, "term").select(text_col, F.struct(*keep, (F.col("tf") * F.col("idf")).alias("raw")).alias("tr"))
+    return w.groupBy(text_col).agg(F.collect_list("tr").alias("items"), F.sum(F.col("tr.raw") * F.col("tr.raw")).alias("squares"))
+
+
+def tfidf_items(docs: DataFrame, vocab: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("term",), frequent: float = FREQUENT) -> DataFrame:
+    """(text, items (array of keep..., raw), norm) for each distinct text that has terms.
+
+    Texts are shuffled once, to find the different ones; their terms stay where they are and meet the vocabulary there,
+    if a count shows that it may be broadcast. Of a larger one only the terms in at least ``frequent`` of the most
+    frequent term's documents are (few: a text has only so many terms); the rows of the other terms, of which none is
+    hot, are shuffled by term and then by text.
+    """
+    texts = with_terms(_distinct_texts(docs, text_col).select(text_col), text_col)
+    keep = list(keep)
+    if is_small(vocab):
+        items = _weighted(texts, text_col, F.broadcast(vocab), keep)
+    else:
+        most = vocab.agg(F.max("df")).first()[0]
+        common = small(vocab.where(F.col("df") >= frequent * most))
+        rare = vocab.where(F.col("df") < frequent * most)
+        lists = [_weighted(texts, text_col, common, keep), _weighted(_without(texts, common), text_col, rare, keep)]
+        a, b = (x.select(text_col, F.col("items").alias(f"i{k}"), F.col("squares").alias(f"s{k}")) for k, x in enumerate(lists))
+        none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
+        kind = a.schema["i0"].dataType
+        items = a.join(b, text_col, "full").select(
+            text_col, F.concat(none("i0", kind), none("i1", kind)).alias("items"), (F.coalesce("s0", F.lit(0.0)) + F.coalesce("s1", F.lit(0.0))).alias("squares")
+        )
+    return items.select(text_col, "items", F.sqrt("squares").alias("norm"))
+
+
+def _without(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """``texts`` with only the terms that aren't common. The others leave before the shuffle by term."""
+    names = [c for c in texts.columns if c != "terms"]
+    rows = texts.select(*names, F.explode("terms").alias("term")).join(common.select("term"), "term", "left_anti")
+    return rows.groupBy(*names).agg(F.collect_list("term").alias("terms"))
+
+
+def tfidf_transform(docs: DataFrame, vocab: DataFrame, text_col: str = "text", frequent: float = FREQUENT) -> DataFrame:
+    """(text, term, weight) for each distinct text: l2-normalised tf * idf."""
+    items = tfidf_items(docs, vocab, text_col, frequent=frequent)
+    return items.select(text_col, "norm", F.explode("items").alias("tr")).select(
         text_col, F.col("tr.term").alias("term"), (F.col("tr.raw") / F.col("norm")).alias("weight")
     )
 
 
+def tfidf_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, indices, values) for each distinct text with terms: its tf-idf vector by the places of ``indexed`` terms."""
+    items = tfidf_items(docs, vocab, text_col, ("index",)).withColumn("items", F.array_sort("items"))
+    return items.select(text_col, F.transform("items", lambda x: x["index"].cast("int")).alias("indices"), F.transform("items", lambda x: x["raw"] / F.col("norm")).alias("values"))
+
+
 # --- numeric / categorical --------------------------------------------------------------------------
 
 
@@ -211,6 +271,14 @@ def encoder_vocab(train: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
     return vals.withColumn("index", (F.row_number().over(w) - 1).cast("int"))
 
 
+def one_hot(df: DataFrame, vocab: DataFrame, cols=CATEGORICAL_FEATURES) -> DataFrame:
+    """``df`` with ``<feature>_index``: where the feature's one stands; NULL (all zeros) for a value not in ``vocab``."""
+    for c in cols:
+        own = vocab.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("index").alias(f"{c}_index"))
+        df = df.join(small(own), F.col(c).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
+    return df
+
+
 def label_index(df: DataFrame, label: str = "category") -> DataFrame:
     """(label, index) in sorted label order."""
     w = Window.orderBy(label)  # over the distinct labels only
@@ -268,88 +336,124 @@ def report(pairs: DataFrame, actual: str = "actual", predicted: str = "predicted
     return per.unionByName(overall)
 
 
-# --- pyspark.ml pipeline ---------------------------------------------------------------------------
+# --- the forest -------------------------------------------------------------------------------------
 
 
-def _text_stages():
-    return [
-        RegexTokenizer(inputCol=TEXT_FEATURE, outputCol="_tok", pattern=TOKEN, gaps=False, toLowercase=True, minTokenLength=2),
-        NGram(n=2, inputCol="_tok", outputCol="_bi"),
-        SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-    ]
+VERSION = 1
 
 
-def _smooth_idf(cv_model, idf_model) -> list[float]:
-    n = idf_model.numDocs
-    return [math.log((1 + n) / (1 + d)) + 1 for d in idf_model.docFreq]
+@dataclass
+class Model:
+    """A trained classifier with all it needs: ``vocabulary`` (term, df, idf, index) stays a table, however many terms
+    there are; ``pipeline`` holds scaling, encoders, the forest and the labels; ``report`` is that of the test part."""
 
+    vocabulary: DataFrame
+    pipeline: PipelineModel
+    terms: int
+    labels: list[str]
+    report: DataFrame
 
-def train_model(df: DataFrame, num_trees: int = 250, max_depth: int = 30, seed: int = 42,
-                test_fraction: float = 0.2, vocab_size: int = 1 << 22):
-    """Fit on the training part; returns (PipelineModel, predictions on the test part)."""
-    from spendlens.sources.table import written
+    def features(self, df: DataFrame) -> DataFrame:
+        """The feature view of ``df`` with ``_tfidf``."""
+        feats = feature_view(df)
+        size = max(self.terms, 1)
+        vectors = tfidf_vectors(feats.select(TEXT_FEATURE), self.vocabulary)
+        vectors = vectors.select(TEXT_FEATURE, sparse_vector(F.col("indices"), F.col("values"), size).alias("_tfidf"))
+        empty = sparse_vector(F.array().cast("array<int>"), F.array().cast("array<double>"), size)
+        return feats.join(vectors, TEXT_FEATURE, "left").select(*feats.columns, F.coalesce("_tfidf", empty).alias("_tfidf"))
 
-    feats = feature_view(df)
-    split = written(stratified_split(feats, "category", test_fraction), "split")  # each fit reads it
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
-
-    weights = class_weights(train)
-    train_w = train.join(weights, "category")  # one row per label; AQE broadcasts it by measured size
-
-    text_prep = Pipeline(stages=_text_stages()).fit(train_w)
-    prepped = text_prep.transform(train_w)
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=2.0, vocabSize=vocab_size).fit(prepped)
-    idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(cv.transform(prepped))
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(_smooth_idf(cv, idf)), inputCol="_tf", outputCol="_tfidf_raw")
-    norm = Normalizer(p=2.0, inputCol="_tfidf_raw", outputCol="_tfidf")
-
-    rest = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="_num_raw"),
-            StandardScaler(inputCol="_num_raw", outputCol="_num", withMean=True, withStd=True),
-            StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=[f"_{c}_idx" for c in CATEGORICAL_FEATURES],
-                          handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=[f"_{c}_idx" for c in CATEGORICAL_FEATURES],
-                          outputCols=[f"_{c}_oh" for c in CATEGORICAL_FEATURES], dropLast=True, handleInvalid="keep"),
-            VectorAssembler(inputCols=["_tfidf", "_num"] + [f"_{c}_oh" for c in CATEGORICAL_FEATURES], outputCol="features"),
-            StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc"),
-        ]
-    )
-    text_model = PipelineModel(stages=[*text_prep.stages, cv, scale, norm])
-    staged = text_model.transform(train_w)
-    rest_model = rest.fit(staged)
-    labelled = rest_model.transform(staged)
-    rf = RandomForestClassifier(
+
+def sparse_vector(indices: Column, values: Column, size: int) -> Column:
+    """A sparse ml vector from its sorted indices and values, made by the JVM: read from its JSON form, as no SQL
+    function builds one."""
+    kind = T.StructType([T.StructField("v", VectorUDT())])
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), kind)["v"]
+
+
+def feature_stages() -> list:
+    """What turns the feature view with ``_tfidf`` into ``features``."""
+    encoded = [f"_{c}_oh" for c in CATEGORICAL_FEATURES]
+    indexes = [f"_{c}_idx" for c in CATEGORICAL_FEATURES]
+    return [
+        VectorAssembler(inputCols=NUMERIC_FEATURES, outputCol="_num_raw"),
+        StandardScaler(inputCol="_num_raw", outputCol="_num", withMean=True, withStd=True),
+        StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=indexes, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=indexes, outputCols=encoded, dropLast=True, handleInvalid="keep"),
+        VectorAssembler(inputCols=["_tfidf", "_num", *encoded], outputCol="features"),
+    ]
+
+
+def train_model(df: DataFrame, num_trees: int = 250, max_depth: int = 30, seed: int = 42, test_fraction: float = 0.2) -> tuple[Model, DataFrame]:
+    """Fit on the training part; returns the model and its predictions on the test part."""
+    from spendlens.sources.table import dropped, written
+
+    split = split_bounds(df, "category", test_fraction)
+    rows = split.apply(df).drop("row_key")
+    train = rows.where("split = 'train'").drop("split")
+    vocabulary = written(indexed(tfidf_fit(feature_view(train).select(TEXT_FEATURE), n_docs=split.n_train)), "vocabulary")
+    terms = vocabulary.count()
+    if terms >= 2**31:
+        raise ValueError(f"{terms} terms: a vector has at most {2**31 - 1} places")
+    model = Model(vocabulary, PipelineModel(stages=[]), terms, [], df.sparkSession.createDataFrame([], "class string"))
+    labels = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    weighted = train.join(small(class_weights(train)), "category")
+    # The forest passes over the training vectors once a level: they are written for the time of the fit.
+    staged = written(model.features(weighted).select("category", "weight", "_tfidf", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES), "train")
+    stages = Pipeline(stages=feature_stages()).fit(staged)
+    forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=num_trees, maxDepth=max_depth, seed=seed
-    ).fit(labelled)
-    labels = rest_model.stages[-1].labels
-    to_text = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=labels)
-    model = PipelineModel(stages=[*text_model.stages, *rest_model.stages[:-1], rf, to_text])
-    return model, predict(model, test)
+    ).fit(labels.transform(stages.transform(staged)))
+    dropped(staged)
+    to_text = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=labels.labels)
+    model.pipeline, model.labels = PipelineModel(stages=[*stages.stages, forest, to_text]), list(labels.labels)
+    test = rows.where("split = 'test'").drop("split")
+    predicted = written(predict(model, test), "test-predictions")
+    model.report = report(predicted, "category", "predicted_category")
+    return model, predicted
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: Model, df: DataFrame) -> DataFrame:
     """Adds ``predicted_category``; the input keeps its columns."""
-    feats = df if "text" in df.columns else feature_view(df)
-    out = model.transform(feats)
+    out = model.pipeline.transform(model.features(df))
     return out.select(*df.columns, "predicted_category")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    """Vocabulary, pipeline, report, labels and feature lists as one folder; the file with the lists is written last, so
+    a folder that has it is whole."""
+    from spendlens.sources.table import delete, write_text
+
+    spark = model.vocabulary.sparkSession
+    delete(spark, f"{path}/package.json")
+    model.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    model.report.write.mode("overwrite").parquet(f"{path}/report")
+    package = {
+        "version": VERSION, "terms": model.terms, "labels": model.labels, "text_feature": TEXT_FEATURE,
+        "numeric_features": NUMERIC_FEATURES, "categorical_features": CATEGORICAL_FEATURES,
+    }
+    write_text(spark, f"{path}/package.json", json.dumps(package))
 
 
-def load_model(spark, path: str) -> PipelineModel | None:
-    from spendlens.sources.table import path_exists
+def load_model(spark, path: str) -> Model | None:
+    """The saved model, or None where there is none; one with other features or of another version is an error."""
+    from spendlens.sources.table import read_text
 
-    return PipelineModel.load(path) if path_exists(spark, path) else None
+    text = read_text(spark, f"{path}/package.json")
+    if text is None:
+        return None
+    package = json.loads(text)
+    features = (package.get("text_feature"), package.get("numeric_features"), package.get("categorical_features"))
+    if package.get("version") != VERSION or features != (TEXT_FEATURE, NUMERIC_FEATURES, CATEGORICAL_FEATURES):
+        raise ValueError(f"the model at {path} was saved with other features or by another version")
+    return Model(spark.read.parquet(f"{path}/vocabulary"), PipelineModel.load(f"{path}/pipeline"), package["terms"], package["labels"], spark.read.parquet(f"{path}/report"))
 
 
 def recategorize(spark, df: DataFrame, model_path: str) -> DataFrame:
-    """Replace ``category`` by the model's prediction; unchanged when there is no model."""
+    """The cleaned rows of ``df`` with ``category`` as the model predicts it; only cleaned when there is no model."""
+    data = normalize(df)
     model = load_model(spark, model_path)
     if model is None:
-        return df
-    pred = predict(model, df)
-    return pred.withColumn("category", F.col("predicted_category")).select(*df.columns)
+        return data
+    return predict(model, data).withColumn("category", F.col("predicted_category")).select(*data.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.operators import clean, describe, detail, filters, intents, results, setops, summaries
+from spendlens.functions.text import sql_str
 from spendlens.operators.detail import DetailSpec
 from spendlens.operators.filters import Slots
 from spendlens.sources import table as tbl
@@ -137,51 +138,99 @@ def q_src_preview(spark, sf_dir):
 # --- 2.2 cleaning ---------------------------------------------------------------------------
 
 
+#: Raw text rows as a CSV holds them, with what goes wrong there; which row gets what follows from its amount. One text
+#: for both engines.
+DIRTY_SQL = (
+    "SELECT CASE k % 13 WHEN 0 THEN 'garbage' WHEN 1 THEN d || 'T10:00:00' WHEN 2 THEN '  ' || d || ' 08:30 ' WHEN 3 THEN d || 'T23:59:59+05:00'"
+    " WHEN 4 THEN '2024-02-30' WHEN 5 THEN NULL WHEN 6 THEN '  ' WHEN 7 THEN d || 'T01:02:03.5Z' WHEN 8 THEN d || ' 9' ELSE d END AS date,"
+    " CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN '   ' WHEN 2 THEN '  ' || merchant || chr(9) WHEN 3 THEN chr(10) || merchant ELSE merchant END AS merchant, description,"
+    " CASE k % 11 WHEN 0 THEN '1,000' WHEN 1 THEN '$5' WHEN 2 THEN NULL WHEN 3 THEN '1d' WHEN 4 THEN 'nan' WHEN 5 THEN ' ' || a || ' ' WHEN 6 THEN '-inf'"
+    " WHEN 7 THEN '+1.5e2' WHEN 8 THEN '' ELSE a END AS amount,"
+    " CASE k % 5 WHEN 0 THEN NULL ELSE category END AS category, CASE k % 3 WHEN 0 THEN ' ' || profile ELSE profile END AS profile, bank,"
+    " CASE k % 17 WHEN 0 THEN NULL ELSE currency END AS currency, 'x' AS spare_column"
+    " FROM (SELECT *, CAST(round(abs(amount) * 100) AS BIGINT) AS k, CAST(date AS STRING) AS d, CAST(amount AS STRING) AS a FROM {transactions}) t"
+)
+_DIRTY = f"r AS ({DIRTY_SQL.format(transactions='transactions')})"
+_DATE = f"TRY_CAST(NULLIF(regexp_extract(date, {sql_str(clean.ISO_DATE)}, 1), '') AS DATE)"
+_AMOUNT = f"CASE WHEN regexp_matches(amount, {sql_str(clean.NUMBER)}) THEN TRY_CAST(trim(amount) AS DOUBLE) END"
+_TEXT = {c: f"trim(COALESCE({c}, 'Unknown'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))" for c in ("merchant", "description", "category", "profile", "bank", "currency")}
+_PARSED = (
+    f"p AS (SELECT {_DATE} AS date, {_TEXT['merchant']} AS merchant, {_TEXT['description']} AS description, {_AMOUNT} AS amount, "
+    + ", ".join(f"{_TEXT[c]} AS {c}" for c in ("category", "profile", "bank", "currency"))
+    + ", date IS NULL OR trim(date) = '' AS no_date, amount IS NULL OR trim(amount) = '' AS no_amount FROM r)"
+)
+_REASON = (
+    "CASE WHEN date IS NULL AND no_date THEN 'no date' WHEN date IS NULL THEN 'bad date' WHEN amount IS NULL AND no_amount THEN 'no amount'"
+    " WHEN amount IS NULL THEN 'bad amount' END"
+)
+_CLEAN = f"WITH {_DIRTY}, {_PARSED}"
+
+
 def raw_view(spark, sf_dir) -> DataFrame:
-    return clean.raw_text_view(txn(spark, sf_dir), RAW_HEADERS).withColumn("Spare Column", F.lit("x"))
+    """The dirty rows under raw headers."""
+    raw = spark.sql(DIRTY_SQL, transactions=txn(spark, sf_dir))
+    return raw.withColumnsRenamed(RAW_HEADERS | {"spare_column": "Spare Column"})
 
 
-@register("norm_headers", "SELECT strftime(date, '%Y-%m-%d') AS date, merchant, description, amount, category, profile, bank, currency, 'x' AS spare_column FROM transactions")
+@register("norm_headers", f"WITH {_DIRTY} SELECT date, merchant, description, {_AMOUNT} AS amount, category, profile, bank, currency, spare_column FROM r")
 def q_norm_headers(spark, sf_dir):
     out = clean.norm_headers(raw_view(spark, sf_dir))
-    return out.withColumn("amount", F.col("amount").cast("double"))
+    return out.withColumn("amount", clean.amount_expr(out, "amount"))
 
 
-@register("norm_required", "SELECT strftime(date, '%Y-%m-%d') AS date, merchant, description, amount, category, profile, bank, currency FROM transactions")
+@register("norm_required", f"WITH {_DIRTY} SELECT date, merchant, description, {_AMOUNT} AS amount, category, profile, bank, currency FROM r")
 def q_norm_required(spark, sf_dir):
     out = clean.norm_required(clean.norm_headers(raw_view(spark, sf_dir)))
-    return out.withColumn("amount", F.col("amount").cast("double"))
+    return out.withColumn("amount", clean.amount_expr(out, "amount"))
 
 
-@register("norm_date", "SELECT date FROM transactions")
+@register("norm_date", f"{_CLEAN} SELECT date FROM p")
 def q_norm_date(spark, sf_dir):
     raw = clean.norm_headers(raw_view(spark, sf_dir))
     return raw.select(clean.date_expr(raw, "date").alias("date"))
 
 
-@register("norm_amount", "SELECT amount FROM transactions")
+@register("norm_amount", f"{_CLEAN} SELECT amount FROM p")
 def q_norm_amount(spark, sf_dir):
     raw = clean.norm_headers(raw_view(spark, sf_dir))
     return raw.select(clean.amount_expr(raw, "amount").alias("amount"))
 
 
-@register("norm_text", "SELECT merchant, description, category, profile, bank, currency FROM transactions")
+@register("norm_text", f"{_CLEAN} SELECT merchant, description, category, profile, bank, currency FROM p")
 def q_norm_text(spark, sf_dir):
     raw = clean.norm_headers(raw_view(spark, sf_dir))
     return raw.select(*[clean.text_expr(c).alias(c) for c in ("merchant", "description", "category", "profile", "bank", "currency")])
 
 
-@register("norm_dropna", f"SELECT {COLS} FROM transactions WHERE date IS NOT NULL AND amount IS NOT NULL")
+_KEPT = f"{_CLEAN} SELECT {COLS} FROM p WHERE date IS NOT NULL AND amount IS NOT NULL"
+
+
+@register("norm_dropna", _KEPT)
 def q_norm_dropna(spark, sf_dir):
-    return clean.normalize(raw_view(spark, sf_dir))
+    return clean.normalize_with_rejects(raw_view(spark, sf_dir)).kept
+
+
+@register("norm_rejects", f"{_CLEAN} SELECT {COLS}, {_REASON} AS reason FROM p WHERE date IS NULL OR amount IS NULL")
+def q_norm_rejects(spark, sf_dir):
+    return clean.normalize_with_rejects(raw_view(spark, sf_dir)).rejected
+
+
+@register("norm_counts", f"{_CLEAN} SELECT COALESCE({_REASON}, 'kept') AS result, COUNT(*) AS rows, true AS observed FROM p GROUP BY 1")
+def q_norm_counts(spark, sf_dir):
+    """The rows of either output by result; ``observed`` where the parse has counted as many."""
+    got = clean.normalize_with_rejects(raw_view(spark, sf_dir))
+    rows = got.rejected.groupBy(F.col("reason").alias("result")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = rows.unionByName(got.kept.groupBy(F.lit("kept").alias("result")).agg(F.count(F.lit(1)).alias("rows")))
+    counted = F.create_map(*[x for k, n in got.counts.items() for x in (F.lit(k), F.lit(n))])
+    return rows.withColumn("observed", F.coalesce(F.try_element_at(counted, F.col("result")) == F.col("rows"), F.lit(False)))
 
 
-@register("norm_iso_date", "SELECT strftime(date, '%Y-%m-%d') AS date FROM transactions")
+@register("norm_iso_date", f"{_CLEAN} SELECT strftime(date, '%Y-%m-%d') AS date FROM p WHERE date IS NOT NULL AND amount IS NOT NULL")
 def q_norm_iso_date(spark, sf_dir):
     return clean.normalize(raw_view(spark, sf_dir)).select(F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
-@register("normalize", f"SELECT {COLS} FROM transactions")
+@register("normalize", _KEPT)
 def q_normalize(spark, sf_dir):
     return clean.normalize(raw_view(spark, sf_dir))
 

@@ -50,7 +50,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small marker file atomically: temp file, then rename over."""
     fs, p = _fs(spark, path)
     jvm = spark._jvm
@@ -63,7 +63,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(tmp, p)
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
@@ -74,6 +74,11 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return None if line is None else str(line).strip()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Digest of file names, sizes and modification times under ``paths``."""
     parts = []
@@ -90,7 +95,7 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    name = _read_text(spark, f"{root}/_CURRENT")
+    name = read_text(spark, f"{root}/_CURRENT")
     return None if not name else f"{root}/{name}"
 
 
@@ -111,7 +116,7 @@ def _write_version(df: DataFrame, path: str, mode: str) -> int:
     observed.sortWithinPartitions("date").write.mode(mode).parquet(path)
     got = obs.get
     if got["y0"] is not None and mode != "append":
-        _write_text(df.sparkSession, f"{path}/_YEARS", f"{got['y0']},{got['y1']}")
+        write_text(df.sparkSession, f"{path}/_YEARS", f"{got['y0']},{got['y1']}")
     elif mode == "append":
         _widen_years(df.sparkSession, path, got["y0"], got["y1"])
     return int(got["rows"])
@@ -121,12 +126,12 @@ def _widen_years(spark: SparkSession, path: str, y0, y1) -> None:
     span = year_span(spark, path)
     if span is None or y0 is None:
         return
-    _write_text(spark, f"{path}/_YEARS", f"{min(span[0], y0)},{max(span[1], y1)}")
+    write_text(spark, f"{path}/_YEARS", f"{min(span[0], y0)},{max(span[1], y1)}")
 
 
 def year_span(spark: SparkSession, version_path: str) -> tuple[int, int] | None:
     """(first year, last year) of the rows in a table version, as recorded at write time."""
-    text = _read_text(spark, f"{version_path}/_YEARS")
+    text = read_text(spark, f"{version_path}/_YEARS")
     if not text:
         return None
     a, b = text.split(",")
@@ -134,7 +139,7 @@ def year_span(spark: SparkSession, version_path: str) -> tuple[int, int] | None:
 
 
 def _rows_marker(spark: SparkSession, version_path: str) -> int | None:
-    text = _read_text(spark, f"{version_path}/_ROWS")
+    text = read_text(spark, f"{version_path}/_ROWS")
     return None if text is None else int(text)
 
 
@@ -152,12 +157,12 @@ def save_transactions(spark: SparkSession, df: DataFrame, root: str, mode: str =
         before = _rows_marker(spark, current)
         written = _write_version(data, current, "append")
         if before is not None:
-            _write_text(spark, f"{current}/_ROWS", str(before + written))
+            write_text(spark, f"{current}/_ROWS", str(before + written))
         return written
     version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
     written = _write_version(data, f"{root}/{version}", "errorifexists")
-    _write_text(spark, f"{root}/{version}/_ROWS", str(written))
-    _write_text(spark, f"{root}/_CURRENT", version)
+    write_text(spark, f"{root}/{version}/_ROWS", str(written))
+    write_text(spark, f"{root}/_CURRENT", version)
     _drop_old_versions(spark, root, keep=2)
     return written
 
@@ -231,11 +236,20 @@ def tables_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spendlens-tables"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, with a short lineage."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder (in one folder for each value of ``by``) and read back: computed once, with a
+    short lineage."""
     path = f"{tables_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_path"] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``written`` wrote, where no later step reads it."""
+    for df in tables:
+        delete(df.sparkSession, df.__dict__["_written_path"])
 
 
 _STORED: dict[tuple[int, str], DataFrame] = {}
@@ -259,7 +273,7 @@ def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         if span is None:  # written before spans were recorded: one pass over the date column
             got = _STORED[key].agg(F.min(F.year("date")), F.max(F.year("date"))).first()
             if got[0] is not None:
-                _write_text(spark, f"{version}/_YEARS", f"{got[0]},{got[1]}")
+                write_text(spark, f"{version}/_YEARS", f"{got[0]},{got[1]}")
                 span = (int(got[0]), int(got[1]))
         _SPANS[key] = span
     return _STORED[key]
