@@ -100,9 +100,11 @@ def q_src_csv(spark, sf_dir):
 
 
 def _scratch_table(spark: SparkSession, name: str, sf_dir: str) -> str:
-    """A fixed table root per query and input: each run replaces its content."""
+    """A fixed table root per query and input. Each run begins without a table; files of the one before go."""
     fp = tbl.fingerprint(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders")])
-    return f"{tbl.tables_root(spark)}/{name}-{fp}"
+    root = f"{tbl.tables_root(spark)}/{name}-{fp}"
+    tbl.delete(spark, root)
+    return root
 
 
 @register("sink_replace", "SELECT COUNT(*) AS rows_written, COUNT(*) AS rows_read FROM transactions")

@@ -1,20 +1,26 @@
 """Stored transaction table: sources and sinks.
 
-A table is a folder of parquet versions plus a ``_CURRENT`` pointer file:
+A table is a folder of parquet folders and a log of its states:
 
     <root>/v-<id>/part-*.parquet
-    <root>/_CURRENT            -> "v-<id>"
-
-``replace`` writes a new version and then moves the pointer, so a replace never
-overwrites files a running query is reading, and a failed write leaves the
-previous version in place. ``append`` adds files to the current version.
-Rows are sorted by date inside each written file so that parquet row-group
-statistics skip whole groups for date-range filters.
+    <root>/_log/<number>.json      folders, rows and year span of that state
+
+A write puts its rows into a folder of its own, which no reader sees yet, and
+then adds a state to the log: it reserves the next number by creating a claim
+file that must not exist, so of two writers one waits, reads the state that the
+other has added, and goes on from there. The state itself appears by a rename, whole.
+The newest state is the table: a write that fails before leaves the table as it
+was, a replace never takes files away from a running query, and no state is
+ever missing in between. A claim left by a writer that died is taken over after a while.
+
+Rows are range-partitioned by date and sorted, so a date question finds its rows
+in few files and skips row groups in these.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -29,11 +35,11 @@ from spendlens.sources.binding import DRIVER_TABLES, bind_transactions, table_pa
 
 # Fixed values that must equal the reference's: the markers its CSV reader takes for missing. These become NULL.
 NA_VALUES = [
-    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
     "n/a", "nan", "null",
 ]
-# Doubled quotes inside quoted values, quoted line breaks, and an error where a file's header differs from the first one's.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "enforceSchema": "false"}
+# Doubled quotes inside quoted values, and an error where a file's header differs from the first one's.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
 
 
 # --- file-system helpers (Hadoop FS, so any cluster file system works) -----------------
@@ -91,56 +97,132 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
-# --- versioned table ------------------------------------------------------------------
+# --- table states -----------------------------------------------------------------------
+
+STALE_SECONDS = 60.0  # a claim without a state is taken over after this time
+KEPT_STATES = 2  # the newest and the one before, which a running query may still read
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    name = read_text(spark, f"{root}/_CURRENT")
-    return None if not name else f"{root}/{name}"
+def _create_new(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; False where it exists. Of two callers only one gets True."""
+    fs, p = _fs(spark, path)
+    if str(fs.getScheme()) == "file":  # the local file system checks and creates in two steps
+        import os
+
+        local = str(fs.makeQualified(p).toUri().getPath())
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(p, False).close()
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _fs(spark, folder)
+    return sorted(str(st.getPath().getName()) for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _state_number(spark: SparkSession, root: str) -> int:
+    return max((int(n[:-5]) for n in _names(spark, f"{root}/_log") if n.endswith(".json")), default=0)
+
+
+def current_state(spark: SparkSession, root: str) -> dict | None:
+    """number, folders, rows, years of the newest state, or None where there is no table."""
+    for _ in range(5):
+        number = _state_number(spark, root)
+        if not number:
+            return None
+        text = read_text(spark, f"{root}/_log/{number:012d}.json")
+        if text is not None:  # else a later writer has cleaned it away meanwhile
+            return json.loads(text) | {"number": number}
+    raise RuntimeError(f"the states of {root} change too fast to read one")
+
+
+def _commit(spark: SparkSession, root: str, change: Callable[[dict | None], dict]) -> dict:
+    """Adds the state that ``change`` makes of the newest one."""
+    while True:
+        number = _state_number(spark, root) + 1
+        claim = f"{root}/_log/{number:012d}.claim"
+        if not _create_new(spark, claim):
+            _await_claim(spark, root, number, claim)
+            continue
+        if _state_number(spark, root) >= number:  # it was committed between the look and the claim
+            delete(spark, claim)
+            continue
+        state = change(current_state(spark, root))
+        if not _publish(spark, f"{root}/_log/{number:012d}.json", json.dumps({k: state[k] for k in ("folders", "rows", "years")})):
+            continue  # the claim was taken for dead and taken over
+        _clean(spark, root, number)
+        return state
+
+
+def _publish(spark: SparkSession, path: str, text: str) -> bool:
+    """A new file with its whole content at once; False where it exists."""
+    tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    write_text(spark, tmp, text)
+    fs, p = _fs(spark, path)
+    source = spark._jvm.org.apache.hadoop.fs.Path(tmp)
+    if fs.exists(p) or not fs.rename(source, p):
+        fs.delete(source, False)
+        return False
+    return True
+
+
+def _await_claim(spark: SparkSession, root: str, number: int, claim: str) -> None:
+    """Until the claim's writer has committed or is taken for dead; then its claim is dropped."""
+    fs, p = _fs(spark, claim)
+    start = time.time()
+    while _state_number(spark, root) < number and fs.exists(p):
+        if time.time() - start > STALE_SECONDS:
+            fs.delete(p, False)
+            return
+        time.sleep(0.05)
+
+
+def _clean(spark: SparkSession, root: str, number: int) -> None:
+    """Drops old states with the folders that only they had. Folders that no state has known are left: a writer may be at them."""
+    log = f"{root}/_log"
+    numbers = sorted(int(n[:-5]) for n in _names(spark, log) if n.endswith(".json"))
+    folders = {n: set(json.loads(read_text(spark, f"{log}/{n:012d}.json") or '{"folders": []}')["folders"]) for n in numbers}
+    kept = numbers[-KEPT_STATES:]
+    held = set().union(*(folders[n] for n in kept))
+    for n in numbers[:-KEPT_STATES]:
+        for folder in folders[n] - held:
+            delete(spark, f"{root}/{folder}")
+        delete(spark, f"{log}/{n:012d}.json")
+    for name in _names(spark, log):
+        if name.endswith(".claim") and int(name[:-6]) < number:
+            delete(spark, f"{log}/{name}")
 
 
 def src_table(spark: SparkSession, root: str) -> DataFrame:
     """Full-table read (``SELECT *``)."""
-    path = current_version(spark, root)
-    if path is None:
+    state = current_state(spark, root)
+    if state is None:
         raise FileNotFoundError(f"No stored table at {root}")
-    return spark.read.schema(TRANSACTIONS).parquet(path)
+    return spark.read.schema(TRANSACTIONS).parquet(*[f"{root}/{f}" for f in state["folders"]])
 
 
-def _write_version(df: DataFrame, path: str, mode: str) -> int:
-    """Write rows sorted by date within each file; record row count and year span."""
+def _write_folder(df: DataFrame, path: str) -> tuple[int, tuple[int, int] | None]:
+    """Writes rows by date; returns their number and (first, last) year."""
     obs = Observation("rows_written")
-    observed = df.observe(
+    # A hash of the row as second key, so that a date of many rows is spread over files as well.
+    spread = F.xxhash64("merchant", "description", "amount", "category", "profile", "bank")
+    laid = df.repartitionByRange("date", spread).sortWithinPartitions("date")
+    observed = laid.observe(
         obs, F.count(F.lit(1)).alias("rows"), F.min(F.year("date")).alias("y0"), F.max(F.year("date")).alias("y1")
     )
-    observed.sortWithinPartitions("date").write.mode(mode).parquet(path)
+    observed.write.parquet(path)
     got = obs.get
-    if got["y0"] is not None and mode != "append":
-        write_text(df.sparkSession, f"{path}/_YEARS", f"{got['y0']},{got['y1']}")
-    elif mode == "append":
-        _widen_years(df.sparkSession, path, got["y0"], got["y1"])
-    return int(got["rows"])
-
-
-def _widen_years(spark: SparkSession, path: str, y0, y1) -> None:
-    span = year_span(spark, path)
-    if span is None or y0 is None:
-        return
-    write_text(spark, f"{path}/_YEARS", f"{min(span[0], y0)},{max(span[1], y1)}")
-
-
-def year_span(spark: SparkSession, version_path: str) -> tuple[int, int] | None:
-    """(first year, last year) of the rows in a table version, as recorded at write time."""
-    text = read_text(spark, f"{version_path}/_YEARS")
-    if not text:
-        return None
-    a, b = text.split(",")
-    return int(a), int(b)
-
-
-def _rows_marker(spark: SparkSession, version_path: str) -> int | None:
-    text = read_text(spark, f"{version_path}/_ROWS")
-    return None if text is None else int(text)
+    return int(got["rows"]), None if got["y0"] is None else (int(got["y0"]), int(got["y1"]))
 
 
 def save_transactions(spark: SparkSession, df: DataFrame, root: str, mode: str = "replace") -> int:
@@ -152,28 +234,18 @@ def save_transactions(spark: SparkSession, df: DataFrame, root: str, mode: str =
     data = normalize(df)
     if mode not in {"replace", "append"}:
         raise ValueError(f"unknown write mode {mode!r}: use replace or append")
-    current = current_version(spark, root)
-    if mode == "append" and current is not None:
-        before = _rows_marker(spark, current)
-        written = _write_version(data, current, "append")
-        if before is not None:
-            write_text(spark, f"{current}/_ROWS", str(before + written))
-        return written
-    version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
-    written = _write_version(data, f"{root}/{version}", "errorifexists")
-    write_text(spark, f"{root}/{version}/_ROWS", str(written))
-    write_text(spark, f"{root}/_CURRENT", version)
-    _drop_old_versions(spark, root, keep=2)
-    return written
-
-
-def _drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Delete versions older than the newest ``keep`` (the current one and the one before,
-    which a query started before the switch may still be reading)."""
-    fs, p = _fs(spark, root)
-    names = sorted(str(st.getPath().getName()) for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("v-"))
-    for name in names[:-keep]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+    folder = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
+    rows, years = _write_folder(data, f"{root}/{folder}")
+
+    def change(state: dict | None) -> dict:
+        if mode == "replace" or state is None:
+            return {"folders": [folder], "rows": rows, "years": years}
+        span = [y for y in (state["years"], years) if y]
+        both = (min(y[0] for y in span), max(y[1] for y in span)) if span else None
+        return {"folders": [*state["folders"], folder], "rows": state["rows"] + rows, "years": both}
+
+    _commit(spark, root, change)
+    return rows
 
 
 def sink_replace(spark: SparkSession, df: DataFrame, root: str) -> int:
@@ -186,11 +258,8 @@ def sink_append(spark: SparkSession, df: DataFrame, root: str) -> int:
 
 def src_seed_fallback(spark: SparkSession, root: str, default: Callable[[], DataFrame]) -> DataFrame:
     """If the stored table is absent or empty, load the default dataset into it."""
-    path = current_version(spark, root)
-    if path is not None:
-        rows = _rows_marker(spark, path)
-        empty = spark.read.parquet(path).isEmpty() if rows is None else rows == 0
-    if path is None or empty:
+    state = current_state(spark, root)
+    if state is None or state["rows"] == 0:
         save_transactions(spark, default(), root, "replace")
     return src_table(spark, root)
 
@@ -210,16 +279,38 @@ def src_preview(df: DataFrame, n: int = 50) -> DataFrame:
 # --- CSV ------------------------------------------------------------------------------
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may hold a line break: some line has an odd number of quotes. One pass over the lines, in splits."""
+    lines = spark.read.text(path)
+    return not lines.where(F.length(F.regexp_replace("value", '[^"]+', "")) % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file or folder as text. Only where a record spans lines is a file read by a single task."""
+    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).option("multiLine", spans_lines(spark, path)).csv(path)
+    return na_to_null(raw)
+
+
+def na_to_null(raw: DataFrame) -> DataFrame:
+    nulls = F.array(*[F.lit(v) for v in NA_VALUES])
+    return raw.select(*[F.when(F.array_contains(nulls, F.col(f"`{c}`")), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
 def src_csv(spark: SparkSession, path: str, date_formats: tuple[str, ...] = ()) -> DataFrame:
     """Read a transaction CSV with header as text, map NA markers to NULL, clean."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
-    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", False).csv(path)
-    nulls = F.array(*[F.lit(v) for v in NA_VALUES])
-    raw = raw.select(
-        *[F.when(F.array_contains(nulls, F.trim(F.col(f"`{c}`"))), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    )
-    return normalize(raw, date_formats)
+    return normalize(read_csv(spark, path), date_formats)
+
+
+def upload(spark: SparkSession, path: str, root: str, mode: str = "replace", model_path: str | None = None) -> int:
+    """The upload of a CSV: read, clean, predict categories where a model is named and exists, save; returns the rows saved."""
+    from spendlens.operators.ml import recategorize
+
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"Dataset not found: {path}")
+    raw = read_csv(spark, path)
+    return save_transactions(spark, normalize(raw) if model_path is None else recategorize(spark, raw, model_path), root, mode)
 
 
 def sink_csv_export(df: DataFrame, path: str) -> None:
@@ -268,14 +359,8 @@ def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
         root = f"{tables_root(spark)}/transactions-{fp}"
         _STORED[key] = src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir)).select(*REQUIRED_COLUMNS)
-        version = current_version(spark, root)
-        span = year_span(spark, version)
-        if span is None:  # written before spans were recorded: one pass over the date column
-            got = _STORED[key].agg(F.min(F.year("date")), F.max(F.year("date"))).first()
-            if got[0] is not None:
-                write_text(spark, f"{version}/_YEARS", f"{got[0]},{got[1]}")
-                span = (int(got[0]), int(got[1]))
-        _SPANS[key] = span
+        years = current_state(spark, root)["years"]
+        _SPANS[key] = None if years is None else (int(years[0]), int(years[1]))
     return _STORED[key]
 
 

@@ -12,12 +12,11 @@ there and stops; a continuous job uses a processing-time trigger instead.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.operators.clean import normalize
-from spendlens.sources.table import CSV_OPTIONS, NA_VALUES
+from spendlens.sources.table import CSV_OPTIONS, na_to_null, spans_lines
 
 
 def _text_schema(spark: SparkSession, source_dir: str) -> T.StructType:
@@ -26,18 +25,17 @@ def _text_schema(spark: SparkSession, source_dir: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def cleaned_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 2) -> DataFrame:
+def cleaned_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 2, multi_line: bool | None = None) -> DataFrame:
+    """``multi_line``: whether files may hold records that span lines; by default as the files that are there do."""
+    multi_line = spans_lines(spark, source_dir) if multi_line is None else multi_line
     raw = (
         spark.readStream.options(**CSV_OPTIONS)
+        .option("multiLine", multi_line)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .schema(_text_schema(spark, source_dir))
         .csv(source_dir)
     )
-    nulls = F.array(*[F.lit(v) for v in NA_VALUES])
-    raw = raw.select(
-        *[F.when(F.array_contains(nulls, F.trim(F.col(f"`{c}`"))), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    )
-    return normalize(raw)
+    return normalize(na_to_null(raw))
 
 
 def ingest(spark: SparkSession, source_dir: str, table_root: str, available_now: bool = True) -> StreamingQuery:
@@ -46,7 +44,9 @@ def ingest(spark: SparkSession, source_dir: str, table_root: str, available_now:
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.sortWithinPartitions("date").write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    writer = cleaned_stream(spark, source_dir).writeStream.foreachBatch(write_batch).option(
+    # A job that goes on will meet files that nobody has looked at.
+    stream = cleaned_stream(spark, source_dir, multi_line=None if available_now else True)
+    writer = stream.writeStream.foreachBatch(write_batch).option(
         "checkpointLocation", f"{table_root}/_checkpoint"
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
