@@ -1,7 +1,16 @@
 """From documents to packed training sequences: five stages, each written as Parquet and reread by the next.
 
-All but the last return rows of ``documents`` with their columns. Of rows with equal doc_id and text that a stage
-judges together, the judgement holds for all of them.
+All but the last return rows of ``documents`` with their columns, whatever other columns there are. Of rows with equal
+doc_id and text that a stage judges together, the judgement holds for all of them.
+
+In every stage null text counts as empty, texts are read whole however long, null and repeated ids are rows like others,
+and an empty table gives an empty result. What the stages make of such rows:
+
+* quality classifier: an empty text is scored by its length alone; without labels of both kinds nothing is dropped.
+* exact dedup: all empty and null texts are one group; of rows equal in id and text one stays.
+* MinHash near-dedup: a text without words is a class of its own and stays; the lowest id of a class stays.
+* benchmark decontamination: a text without words is clean; an empty benchmark drops nothing.
+* best-fit packing: an empty text is one piece, the separator.
 """
 
 from __future__ import annotations
@@ -67,5 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Compression and signatures can't be expressed in SQL; tests/llm holds the rows against a brute-force version.
+#: Compression and signatures can't be expressed in SQL; tests/llm holds what each stage keeps against plain Python.
 ORACLE_SQL = None
