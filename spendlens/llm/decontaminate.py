@@ -4,7 +4,8 @@ The index is a table of postings (term, document, position), one row per token o
 where the documents are read (no shuffle) and read back by column. A test item is looked up from its rarest
 terms: in each window of 13 words the two terms with the shortest posting lists are its anchors. A posting
 minus its anchor's place in the item is the offset-adjusted start; documents where both anchor lists of a
-window agree on the start are candidates. Every candidate is then compared word by word with its item.
+window agree on the start are candidates. Every candidate is then compared word by word with its item. Beside these
+exact matches, documents where the three rarest terms of a window stand within SLOP words of their places are proximity matches.
 
 Cases: null text has no words; a document without words has n_words 0 and is clean; items without words or with
 a null id have no windows; repeated rows each get their result; repeated items count once. Other columns are not read.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import Scratch, same, sha_of, small, table, text_of, word_pieces, words
 
 WINDOW = 13
+SLOP, RAREST = 8, 3  # of proximity matches: words, terms
 KEY = ["doc_id", "tkey"]  # a document: its id and a hash of its text, so that a repeated id does no harm
 
 
@@ -67,7 +69,7 @@ def phrase_candidates(scratch: Scratch, postings: DataFrame, items: DataFrame) -
     return met.join(small(sets), "ikey").where(whole).select(*KEY, "ikey", "start", "n")
 
 
-def proximity_matches(scratch: Scratch, postings: DataFrame, items: DataFrame, slop: int = 8, rarest: int = 3) -> DataFrame:
+def proximity_matches(scratch: Scratch, postings: DataFrame, items: DataFrame, slop: int = SLOP, rarest: int = RAREST) -> DataFrame:
     """KEY, item_id: the ``rarest`` rarest terms of a window stand in the document, in any order, no more than
     ``slop`` words from where the phrase has them. Starts are put in overlapping ranges, so no pair is formed."""
     anchors = anchored(scratch, postings, items, rarest).withColumn("win", F.xxhash64("ikey", "anchors"))
@@ -106,23 +108,31 @@ def phrase_matches(scratch: Scratch, docs: DataFrame, postings: DataFrame, items
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``."""
+    """doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated, n_near: one row per row of ``docs``.
+
+    n_near: items of which some window has its rarest terms near to each other in the document (``proximity_matches``); a
+    whole window has them so, and one with words put in, left out or moved may.
+    """
     scratch = Scratch(spark, "decontaminate")
     postings, items = build_index(scratch, docs), test_items(scratch, benchmark)
     hits = phrase_matches(scratch, docs, postings, items).groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.collect_set("item_id")).alias("items"))
     hits = scratch.save(hits.select(*KEY, F.size("places").cast("long").alias("n_hit"), "items"), "hits")
     # Positions run without a gap, so the span is the number of words even where a row is repeated.
     sizes = scratch.save(postings.groupBy(*KEY).agg((F.max("pos") - F.min("pos") + 1).cast("long").alias("n_words")), "sizes")
+    near = proximity_matches(scratch, postings, items).groupBy(*KEY).agg(F.count_distinct("item_id").alias("n_near"))
+    near = scratch.save(near, "near")
     scratch.drop(postings)
     own = keyed(docs).select(*KEY)
     out = own.join(sizes, same(own, sizes, KEY), "left").select(own["doc_id"], own["tkey"], "n_words")
     out = out.join(hits, same(out, hits, KEY), "left").select(out["doc_id"], out["tkey"], "n_words", "n_hit", "items")
+    out = out.join(near, same(out, near, KEY), "left").select(out["doc_id"], out["tkey"], "n_words", "n_hit", "items", "n_near")
     n_words, n_hit = F.coalesce("n_words", F.lit(0).cast("long")), F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         *KEY, n_words.alias("n_words"), n_hit.alias("n_hit"),
         F.coalesce(F.array_size("items"), F.lit(0)).cast("long").alias("n_items"),
         sha_of(F.coalesce(F.array_join("items", ","), F.lit(""))).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
 

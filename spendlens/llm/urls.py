@@ -1,6 +1,7 @@
 """URL filter: rules, and gradient-boosted trees on lexical features for what no rule fits (operator 10, DataFrame functions only).
 
-The trees are trained on the URLs that a rule judges (at most SAMPLE rows, those with the lowest hash of the URL).
+The trees are trained on the different URLs that a rule judges: of each verdict at most SAMPLE, those with the lowest hash,
+weighted by the number of all rows of that verdict over the sampled URLs.
 Features: lengths, depth, share of digits, entropy, numbers of parameters, labels and hyphens, and statistics of the
 host's last two labels and of its last one: how many URLs have it, and the share of blocked ones among those a rule
 judges, pulled towards the overall share.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from spendlens.llm.common import Scratch, ascii_lower, small, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-SAMPLE, TREES, DEPTH, PULL = 20_000, 20, 4, 20
+SAMPLE, TREES, DEPTH, PULL = 10_000, 20, 4, 20
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "host_digits", "entropy", "parameters", "has_fragment",
     "site_urls", "site_blocked", "suffix_urls", "suffix_blocked",
@@ -80,13 +81,19 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str]] =
     """page_id, host, path, rule, verdict, p_block: one row per row of ``pages``."""
     scratch = Scratch(spark, "urls")
     rows = featured(scratch, judged(pages, rules))
-    train = rows.where("by_rule is not null").orderBy(F.xxhash64("url"), "url").limit(sample)
-    train = scratch.save(train.select(*FEATURES, (F.col("by_rule") == "block").cast("double").alias("label")), "train")
-    kinds = sorted(r["label"] for r in train.select("label").distinct().collect())  # at most two
-    if len(kinds) < 2:
-        rows = rows.withColumn("p_block", F.lit(kinds[0] if kinds else 0.0))
+    counts = {r["by_rule"]: r["count"] for r in rows.where("by_rule is not null").groupBy("by_rule").count().collect()}  # at most two
+    if len(counts) < 2:
+        rows = rows.withColumn("p_block", F.lit(float("block" in counts)))
     else:
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7)
+        parts = []
+        for verdict in counts:
+            urls = rows.where(F.col("by_rule") == verdict).select("url", *FEATURES).dropDuplicates(["url"])
+            parts.append(urls.orderBy(F.xxhash64("url"), "url").limit(sample).withColumn("label", F.lit(float(verdict == "block"))))
+        train = scratch.save(parts[0].unionByName(parts[1]), "train")
+        taken = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+        each = {v: counts[v] / taken[float(v == "block")] for v in counts}
+        train = train.withColumn("weight", F.when(F.col("label") == 1, each["block"]).otherwise(each["allow"]))
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, weightCol="weight")
         model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(train)
         rows = model.transform(rows).withColumn("p_block", vector_to_array(F.col("probability"))[1])
     method = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")

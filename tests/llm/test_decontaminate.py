@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -40,7 +41,33 @@ def brute(docs, items):
 def run(spark, docs, items):
     d = spark.createDataFrame([(i, t, "x", i) for i, t in docs], "doc_id long, text string, item_id string, term long")
     b = spark.createDataFrame(items, "item_id long, text string")
-    return sorted(map(tuple, D.decontaminate(spark, d, b).drop("tkey").collect()), key=str)
+    return sorted(map(tuple, D.decontaminate(spark, d, b).drop("tkey", "n_near").collect()), key=str)
+
+
+def near(docs, items, slop=8, rarest=3):
+    """{doc_id: items with a proximity match}, by trying all starts of all windows."""
+    words_of = [(i, words(t)) for i, t in docs]
+    df = Counter(w for _, ws in words_of for w in ws)
+    windows = set()
+    for item, text in items:
+        w = words(text)
+        k = min(13, len(w))
+        for s in range(len(w) - k + 1 if k and item is not None else 0):
+            if all(x in df for x in w[s : s + k]):
+                rare = sorted(range(s, s + k), key=lambda q: (df[w[q]], q))[:rarest]
+                windows.add((item, tuple((q, w[q]) for q in sorted(rare))))
+    out = Counter()
+    for i, ws in words_of:
+        places = {}
+        for p, w in enumerate(ws):
+            places.setdefault(w, []).append(p)
+        found = set()
+        for item, terms in windows:
+            starts = [[p - q for p in places.get(w, [])] for q, w in terms]
+            if all(starts) and any(all(any(a <= b <= a + slop for b in other) for other in starts) for a in {x for one in starts for x in one}):
+                found.add(item)
+        out[i] = len(found)
+    return out
 
 
 def test_small_cases(spark):
@@ -64,9 +91,12 @@ def test_given_tables(spark, sf):
     d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()
     b = spark.read.parquet(f"/root/testdata/{sf}/benchmark.parquet").select("item_id", "text").collect()
     got = D.op1_decontaminate(spark, f"/root/testdata/{sf}")
-    assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
     want = brute([tuple(r) for r in d], [tuple(r) for r in b])
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    rows = got.collect()
+    assert sorted(tuple(r)[:6] for r in rows) == sorted(want)
+    assert {r["doc_id"]: r["n_near"] for r in rows} == near([tuple(r) for r in d], [tuple(r) for r in b])
+    assert any(r["n_near"] for r in rows) and all(r["n_near"] >= r["n_items"] for r in rows)
     assert any(r[5] for r in want)
 
 
@@ -76,3 +106,14 @@ def test_proximity(spark):
     items = D.test_items(scratch, spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
     got = D.proximity_matches(scratch, D.build_index(scratch, docs), items, slop=6)
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+
+
+def test_proximity_beside_exact_matches(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    moved = "one two three four five SIX seven x eight nine ten eleven y twelve thirteen z"
+    docs = [(1, item), (2, moved), (3, " far away ".join(item.split())), (4, "nothing like it"), (5, None), (None, moved)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.decontaminate(spark, d, spark.createDataFrame([(7, item), (8, item), (9, "unknown words")], "item_id long, text string"))
+    want = near(docs, [(7, item), (8, item), (9, "unknown words")])
+    assert {r["doc_id"]: (r["n_items"], r["n_near"]) for r in got.collect()} == {i: (2 if i == 1 else 0, want[i]) for i, _ in docs}
+    assert want[1] == want[2] == 2 and want[4] == 0
