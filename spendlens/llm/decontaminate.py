@@ -107,10 +107,10 @@ def phrase_matches(scratch: Scratch, docs: DataFrame, postings: DataFrame, items
     return rows.select(*KEY, "item_id", "places")
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated, n_near: one row per row of ``docs``.
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
+    """doc_id, tkey, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``.
 
-    n_near: items of which some window has its rarest terms near to each other in the document (``proximity_matches``); a
+    With ``proximity`` also n_near: items of which some window has its rarest terms near to each other in the document (``proximity_matches``); a
     whole window has them so, and one with words put in, left out or moved may.
     """
     scratch = Scratch(spark, "decontaminate")
@@ -119,22 +119,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     hits = scratch.save(hits.select(*KEY, F.size("places").cast("long").alias("n_hit"), "items"), "hits")
     # Positions run without a gap, so the span is the number of words even where a row is repeated.
     sizes = scratch.save(postings.groupBy(*KEY).agg((F.max("pos") - F.min("pos") + 1).cast("long").alias("n_words")), "sizes")
-    near = proximity_matches(scratch, postings, items).groupBy(*KEY).agg(F.count_distinct("item_id").alias("n_near"))
-    near = scratch.save(near, "near")
+    near = None
+    if proximity:
+        near = proximity_matches(scratch, postings, items).groupBy(*KEY).agg(F.count_distinct("item_id").alias("n_near"))
+        near = scratch.save(near, "near")
     scratch.drop(postings)
     own = keyed(docs).select(*KEY)
     out = own.join(sizes, same(own, sizes, KEY), "left").select(own["doc_id"], own["tkey"], "n_words")
     out = out.join(hits, same(out, hits, KEY), "left").select(out["doc_id"], out["tkey"], "n_words", "n_hit", "items")
-    out = out.join(near, same(out, near, KEY), "left").select(out["doc_id"], out["tkey"], "n_words", "n_hit", "items", "n_near")
+    if near is not None:
+        out = out.join(near, same(out, near, KEY), "left").select(out["doc_id"], out["tkey"], "n_words", "n_hit", "items", "n_near")
     n_words, n_hit = F.coalesce("n_words", F.lit(0).cast("long")), F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         *KEY, n_words.alias("n_words"), n_hit.alias("n_hit"),
         F.coalesce(F.array_size("items"), F.lit(0)).cast("long").alias("n_items"),
         sha_of(F.coalesce(F.array_join("items", ","), F.lit(""))).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
-        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
+        *([] if near is None else [F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near")]),
     )
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tkey")
+    return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=True).drop("tkey")

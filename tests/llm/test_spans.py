@@ -101,11 +101,11 @@ def test_terms_that_mostly_give_an_entity_away_are_generalised(spark):
     """Beside the entity in every one of its texts, and now and then elsewhere."""
     shared = "some common words that every text has"
     rows = [(i, f"{shared} filler{i} more{i % 7}" + (" Brontide" if i < 2 else "")) for i in range(3000)]
-    rows += [(9000 + i, f"{shared} Brontide wrote{i} to jo@mail.example.com") for i in range(12)]
+    rows += [(9000 + i, f"{shared} Brontide wrote{i} jo@mail.example.com") for i in range(12)]
     got = {r["doc_id"]: r for r in P.sanitise(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     start = rows[-1][1].index("Brontide")
     assert all(f"general:{start}:{start + 8}" in got[9000 + i]["spans"] for i in range(12))
-    assert "B* wrote3 to [email]" in got[9003]["sanitized"] and "Brontide" not in got[9003]["sanitized"]
+    assert "B* wrote3 [email]" in got[9003]["sanitized"] and "Brontide" not in got[9003]["sanitized"]
     assert got[0]["spans"] == ""
 
 
