@@ -65,7 +65,7 @@ LISTING_WORDS = ["show", "transaction"]  # all must occur
 TOP_THREE_PHRASES = ["top 3", "top three"]
 MERCHANT_OVERRIDE = "starbucks"  # found anywhere in a question, it is the merchant
 
-# The question rules in precedence order (first match wins; 19 otherwise).
+# The question rules that SURVEY asks to keep, in precedence order (first match wins; 19 otherwise).
 # Each rule is a list of alternatives; an alternative is (phrases that must all occur
 # in the lower-cased question, slot conditions). PROFILE_WORD stands for any profile
 # alias of the vocabulary; "any_slot" means some slot is set.

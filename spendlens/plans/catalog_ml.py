@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.functions.money import exact_sum
 from spendlens.operators import clean, ml, rescale
 from spendlens.plans.catalog import RAW_HEADERS, register, txn
 from spendlens.sources import table as tbl
@@ -53,9 +54,7 @@ def q_ml_label_index(spark, sf_dir):
 )
 def q_ml_split(spark, sf_dir):
     s = ml.stratified_split(txn(spark, sf_dir))
-    return s.groupBy("category", "split").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col("amount").cast("decimal(18,4)")).cast("double").alias("amount_total")
-    )
+    return s.groupBy("category", "split").agg(F.count(F.lit(1)).alias("rows"), exact_sum("amount").alias("amount_total"))
 
 
 @register(

@@ -198,6 +198,7 @@ class Batch:
 
     def __init__(self, tagged: DataFrame, transactions: DataFrame, key_cols: list[str], selected_profile: str | None = None, as_of: dt.date | None = None):
         self.key_cols, self.selected, self.as_of, self.tx = key_cols, selected_profile, as_of or dt.date.today(), transactions
+        self._matches: DataFrame | None = None
         # Tagging (regex over whole texts) runs once, and a lost executor does not re-tag the question table.
         slots = written(question_slots(tagged, key_cols, selected_profile), "slots")
         fixed = F.col("kind").isin(*FIXED)
@@ -220,19 +221,23 @@ class Batch:
         terms = self.cells.where(F.col("term").isNotNull() & (F.col("kind") != LATEST))
         if any(with_term and kind != LATEST for kind, _, with_term in self.sets):
             rows = base_grain(self._matching(terms), F.col("merchant")).withColumn("merchant_l", F.lower("merchant"))
-            rows = _grouped(rows).join(self._matches(terms), "merchant_l")
+            rows = _grouped(rows).join(self._of_terms(terms), "merchant_l")
             parts.append(_labelled(_to_cells(rows, terms, None, ["g_month", "g_category", "g_sign", "merchant", *MEASURES]), True))
         if sets := self._of(LAST_MONTH):
             parts.append(_labelled(_to_cells(_grouped(base_grain(self.tx.where(flt_last_month(self.as_of)))), self.cells, sets, ["g_month", "g_category", "g_sign", *MEASURES]), False))
         found = _union(parts)
         return None if found is None else _summed(found)
 
-    def _matches(self, terms: DataFrame) -> DataFrame:
-        return gram_matches(terms.select("term"), self.tx.select(F.lower("merchant").alias("merchant_l")).distinct())
+    def _of_terms(self, terms: DataFrame) -> DataFrame:
+        """(term, merchant_l) for these cells' terms; the matches of all terms are found once."""
+        if self._matches is None:
+            every = self.cells.where("term is not null").select("term")
+            self._matches = written(gram_matches(every, self.tx.select(F.lower("merchant").alias("merchant_l")).distinct()), "matches")
+        return self._matches.join(terms.select("term").distinct(), "term", "left_semi")
 
     def _matching(self, terms: DataFrame) -> DataFrame:
         """The transactions of merchants that some term matches."""
-        matched = self._matches(terms).select("merchant_l").distinct()
+        matched = self._of_terms(terms).select("merchant_l").distinct()
         return self.tx.join(matched, F.lower(self.tx["merchant"]) == matched["merchant_l"], "left_semi")
 
     def totals(self, sums: DataFrame) -> DataFrame:
@@ -264,7 +269,7 @@ class Batch:
         if any(k == LATEST for k, _, _ in self.sets):
             terms = self.cells.where(F.col("kind") == LATEST)
             rows = self._matching(terms).withColumns({"merchant_l": F.lower("merchant"), "year": F.year("date"), "month": F.month("date"), "sign": F.signum("amount").cast("int")})
-            rows = _to_cells(rows.join(self._matches(terms), "merchant_l"), terms, None, TX)
+            rows = _to_cells(rows.join(self._of_terms(terms), "merchant_l"), terms, None, TX)
             newest = Window.partitionBy("cell").orderBy(F.desc("date"), *TX[1:])
             rows = rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= MOST_ROWS)
             parts.append(_row_columns(rows, ["cell", "kind"], rank=F.col("rank"), **{c: F.col(c) for c in TX}))

@@ -343,8 +343,19 @@ def dropped(*tables: DataFrame) -> None:
         delete(df.sparkSession, df.__dict__["_written_path"])
 
 
-_STORED: dict[tuple[int, str], DataFrame] = {}
-_SPANS: dict[tuple[int, str], tuple[int, int] | None] = {}
+_STORED: dict[tuple[int, str], tuple[DataFrame, tuple[int, int] | None]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[int, int] | None]:
+    """(the bound driver tables as a stored table, its year span), loaded once for these inputs."""
+    fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
+    key = (id(spark), fp)
+    if key not in _STORED:
+        root = f"{tables_root(spark)}/transactions-{fp}"
+        rows = src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir)).select(*REQUIRED_COLUMNS)
+        years = current_state(spark, root)["years"]
+        _STORED[key] = rows, None if years is None else (int(years[0]), int(years[1]))
+    return _STORED[key]
 
 
 def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,20 +365,12 @@ def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     every question against the table): the 7-way binding join runs when the
     inputs change, not per query.
     """
-    key = (id(spark), sf_dir)
-    if key not in _STORED:  # resolved once per session and input folder
-        fp = fingerprint(spark, [table_path(sf_dir, t) for t in DRIVER_TABLES])
-        root = f"{tables_root(spark)}/transactions-{fp}"
-        _STORED[key] = src_seed_fallback(spark, root, lambda: bind_transactions(spark, sf_dir)).select(*REQUIRED_COLUMNS)
-        years = current_state(spark, root)["years"]
-        _SPANS[key] = None if years is None else (int(years[0]), int(years[1]))
-    return _STORED[key]
+    return _stored(spark, sf_dir)[0]
 
 
 def stored_year_span(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
     """Year span of the stored transaction table (lets month filters become date ranges)."""
-    stored_transactions(spark, sf_dir)
-    return _SPANS.get((id(spark), sf_dir))
+    return _stored(spark, sf_dir)[1]
 
 
 def csv_roundtrip_path(spark: SparkSession, sf_dir: str) -> str:
