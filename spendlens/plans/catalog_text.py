@@ -110,7 +110,7 @@ def _batch_sql(vocab, select: str, selected: str | None = None, questions_from:
 
 
 def _batch(vocab, select: str) -> str:
-    return with_talk(with_transactions("WITH " + _batch_sql(vocab, select)))
+    return with_talk(with_transactions("WITH " + _batch_sql(vocab, select), stored=True))
 
 
 _FIGURES_SQL = (
@@ -205,7 +205,7 @@ _PROPOSED_SQL = f"lg AS (SELECT query_id, {sqllog.clean_sql_sql('reply')} AS sql
 _BT = tagging.tag_sql("question", BIND_VOCAB)
 
 
-def _guard_sql(select: str, selected: str | None) -> str:
+def _guard_sql(select: str, selected: str | None, stored: bool = False) -> str:
     sel = None if selected is None else sql_str(selected)
     valid = "canonical" if sel is None else f"CASE WHEN field = 'profile' THEN {sel} ELSE canonical END"
     allow = "mentioned IS NOT NULL" if sel is None else "(mentioned IS NOT NULL OR field = 'profile')"
@@ -231,7 +231,8 @@ def _guard_sql(select: str, selected: str | None) -> str:
         " UNION ALL SELECT query_id, 'bank', '=', bank FROM t WHERE bank IS NOT NULL"
         " UNION ALL SELECT query_id, 'category', '=', category FROM t WHERE category IS NOT NULL AND category <> 'Income' AND NOT is_income),"
         " req AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM act k WHERE k.action <> 'remove' AND k.query_id = c.query_id"
-        f" AND k.field = c.field{only})) {select}"
+        f" AND k.field = c.field{only})) {select}",
+        stored,
     ))
 
 
@@ -292,6 +293,7 @@ def _answer_sql(selected: str | None) -> str:
         " st.usable AND COALESCE(gf.value, 0) <> 0 AS guarded FROM q JOIN qr USING (query_id) JOIN st USING (query_id) JOIN adj USING (query_id)"
         f" LEFT JOIN gk USING (query_id) LEFT JOIN gf USING (gid)) {select}",
         selected,
+        stored=True,
     )
 
 

@@ -91,9 +91,10 @@ JOIN supplier s ON l.l_suppkey = s.s_suppkey
 """
 
 
-def with_transactions(sql: str) -> str:
-    """Prefix a query over ``transactions`` with the binding CTE."""
-    body = sql.strip()
+def with_transactions(sql: str, stored: bool = False) -> str:
+    """Prefix a query over ``transactions`` with the binding CTE; ``stored`` makes DuckDB compute it once (it fails
+    internally on some joins with the parquet tables' dictionaries)."""
+    body, kind = sql.strip(), "MATERIALIZED " if stored else ""
     if body.upper().startswith("WITH "):
-        return f"WITH transactions AS ({BINDING_SQL}),\n{body[5:]}"
-    return f"WITH transactions AS ({BINDING_SQL})\n{body}"
+        return f"WITH transactions AS {kind}({BINDING_SQL}),\n{body[5:]}"
+    return f"WITH transactions AS {kind}({BINDING_SQL})\n{body}"
