@@ -16,7 +16,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 8_000_000  # bytes of pieces, and of words, in each of two generations
+KEPT = 24_000_000  # bytes of pieces, and of words, in each of two generations
 ENTRY = 160  # bytes that an entry takes beside the signs and ids
 _PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f]*")
 _LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
