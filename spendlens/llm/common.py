@@ -6,7 +6,8 @@ import io
 import os
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -76,6 +79,26 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def end(self) -> None:
+        """Frees all tables; nothing that reads them may come after."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Ends every Scratch made inside, for a caller that has stored the result by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for scratch in _SCOPES.pop():
+            scratch.end()
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``most`` rows, else ``df`` itself."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

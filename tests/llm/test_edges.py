@@ -87,6 +87,17 @@ def test_pipeline_on_empty_and_odd_tables(spark, written):
     assert corpus_pipeline.STAGES[0][1](spark, docs_of(spark, ROWS), f"{written}/empty").count() == len(ROWS)
 
 
+def test_pipeline_leaves_only_its_result(spark):
+    from spendlens.session import shared_dir
+
+    held = lambda: {(d, x) for d, _, names in os.walk(f"{shared_dir(spark).removeprefix('file:')}/llm") for x in names if x.endswith(".parquet")}
+    before = held()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = held() - before
+    assert left and all("best-fit-packing" in d for d, _ in left)
+    assert out.count() > 0
+
+
 def test_stages_keep_what_plain_python_keeps(spark):
     docs = table(spark, SF, "documents")
     rows = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
