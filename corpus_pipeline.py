@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from spendlens.llm import decontaminate, exactdedup, minhash, packing, quality  # noqa: E402
-from spendlens.llm.common import Scratch, table, text_of  # noqa: E402
+from spendlens.llm.common import Scratch, released, table, text_of  # noqa: E402
 
 
 def _where(docs: DataFrame, judged: DataFrame, keep: bool) -> DataFrame:
@@ -69,10 +69,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    """All stages on the documents of ``sf_dir``; what a stage has read and written on its way goes when its result is stored."""
+    scratch, given = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    docs = given
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released():
+            kept = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if docs is not given:
+            scratch.drop(docs)
+        docs = kept
     return docs
 
 
