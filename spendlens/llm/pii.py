@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Scratch, ascii_lower, same, sha_of, small, span_strings, spans, table, tagged, text_of, words
+from spendlens.llm.common import Scratch, ascii_lower, sha_of, small, span_strings, spans, table, tagged, text_of, words
 
 KINDS = ["email", "ip", "card", "phone", "remove", "general"]
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
