@@ -16,7 +16,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 24_000_000  # bytes of pieces, and of words, in each of two generations
+KEPT = 40_000_000  # bytes of pieces and words in each of two generations
 ENTRY = 160  # bytes that an entry takes beside the signs and ids
 _PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f]*")
 _LETTER, _NUMBER = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -54,14 +54,16 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words, self.pieces, self.others = Kept(self._word), Kept(self._piece), Kept(self._whole)
+        self.pieces, self.others = Kept(self._piece), Kept(self._whole)
 
     def _word(self, word: str) -> bytes:
         signs = word if word.isascii() else "".join([_SIGNS[b] for b in word.encode()])
         return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words[w] for w in _WORDS.findall(piece)])
+        words = _WORDS.findall(piece)
+        # A word is a piece of its own, kept with the others.
+        return self._word(piece) if len(words) == 1 and words[0] == piece else b"".join([self.pieces[w] for w in words])
 
     def _whole(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
