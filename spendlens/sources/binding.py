@@ -8,10 +8,9 @@ Scale notes: customers are enriched with their region first (nation and
 region are fixed-size tables; Catalyst broadcasts them by file size), then
 orders meet their customer - an orders-sized shuffle on the customer key.
 Lineitem, the largest input, is then shuffled once per remaining key (order,
-part, supplier); at 100 TB none of orders, part or supplier fits a broadcast,
-so no hint is forced: Catalyst / AQE choose a broadcast only when the
-measured size is under ``spark.sql.autoBroadcastJoinThreshold``. Every input
-is pruned to the columns used before any join.
+part, and supplier where it is too large for a broadcast, by a count); the
+signed price is made before, so that a row is four numbers in the first
+shuffle. Every input is pruned to the columns used before any join.
 """
 
 from __future__ import annotations
@@ -19,6 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.functions.sizes import small
+
+#: Suppliers (key and name) that are broadcast, some 100 bytes each in memory.
+BROADCAST_SUPPLIERS = 500_000
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -32,10 +36,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bind_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build the 8-column transaction table from the driver tables."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"
-    )
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    signed = F.when(F.col("l_returnflag") == "R", price).otherwise(-price)
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", signed.cast("double").alias("amount"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -46,22 +50,20 @@ def bind_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey).select(
         "c_custkey", F.col("c_mktsegment").alias("profile"), F.col("r_name").alias("bank")
     )
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    signed = F.when(F.col("l_returnflag") == "R", price).otherwise(-price)
 
     # Orders meet their customer first (an orders-sized shuffle), so the
-    # lineitem-sized side is shuffled once per remaining key: order, part,
-    # supplier. The name columns join last so they ride through few shuffles.
-    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_orderdate", "profile", "bank")
+    # lineitem-sized side is shuffled once per remaining key: order, part.
+    # The name columns join last so they ride through few shuffles.
+    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "date", "profile", "bank")
     return (
         li.join(order_cust, li.l_orderkey == order_cust.o_orderkey)
         .join(part, F.col("l_partkey") == part.p_partkey)
-        .join(supplier, F.col("l_suppkey") == supplier.s_suppkey)
+        .join(small(supplier, BROADCAST_SUPPLIERS), F.col("l_suppkey") == supplier.s_suppkey)
         .select(
-            F.col("o_orderdate").cast("date").alias("date"),
+            "date",
             F.col("s_name").alias("merchant"),
             F.col("p_name").alias("description"),
-            signed.cast("double").alias("amount"),
+            "amount",
             F.col("p_type").alias("category"),
             "profile",
             "bank",
