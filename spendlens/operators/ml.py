@@ -184,15 +184,13 @@ def indexed(vocab: DataFrame) -> DataFrame:
     return rows.join(small(before), "_part").select(*names, (F.col("_id") - F.col("_first") + F.col("_before")).alias("index"))
 
 
-def _weighted(texts: DataFrame, text_col: str, vocab: DataFrame, keep: list[str]) -> DataFrame:
-    """(text, items, squares): each text's terms in ``vocab`` with tf * idf, and the sum of squares."""
+def _term_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(text, term, tf)."""
     counted = F.transform(
         F.array_distinct("terms"),
         lambda x: F.struct(x.alias("term"), F.size(F.filter("terms", lambda y: y == x)).alias("tf")),
     )
-    tf = texts.select(text_col, F.explode(counted).alias("p")).select(text_col, "p.term", "p.tf")
-    w = tf.join(vocab, "term").select(text_col, F.struct(*keep, (F.col("tf") * F.col("idf")).alias("raw")).alias("tr"))
-    return w.groupBy(text_col).agg(F.collect_list("tr").alias("items"), F.sum(F.col("tr.raw") * F.col("tr.raw")).alias("squares"))
+    return texts.select(text_col, F.explode(counted).alias("p")).select(text_col, "p.term", "p.tf")
 
 
 def tfidf_items(docs: DataFrame, vocab: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("term",), frequent: float = FREQUENT) -> DataFrame:
@@ -204,30 +202,19 @@ def tfidf_items(docs: DataFrame, vocab: DataFrame, text_col: str = "text", keep:
     hot, are shuffled by term and then by text.
     """
     texts = with_terms(_distinct_texts(docs, text_col).select(text_col), text_col)
-    keep = list(keep)
+    tf = _term_counts(texts, text_col)
+    weighted = lambda rows: rows.select(text_col, F.struct(*keep, (F.col("tf") * F.col("idf")).alias("raw")).alias("tr"))
     if is_small(vocab):
-        items = _weighted(texts, text_col, F.broadcast(vocab), keep)
+        rows = weighted(tf.join(F.broadcast(vocab), "term"))
     else:
         most = vocab.agg(F.max("df")).first()[0]
         common = small(vocab.where(F.col("df") >= frequent * most))
-        rare = vocab.where(F.col("df") < frequent * most)
-        lists = [_weighted(texts, text_col, common, keep), _weighted(_without(texts, common), text_col, rare, keep)]
-        a, b = (x.select(text_col, F.col("items").alias(f"i{k}"), F.col("squares").alias(f"s{k}")) for k, x in enumerate(lists))
-        none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
-        kind = a.schema["i0"].dataType
-        items = a.join(b, text_col, "full").select(
-            text_col, F.concat(none("i0", kind), none("i1", kind)).alias("items"), (F.coalesce("s0", F.lit(0.0)) + F.coalesce("s1", F.lit(0.0))).alias("squares")
-        )
+        rare = tf.join(common.select("term"), "term", "left_anti").join(vocab.where(F.col("df") < frequent * most), "term")
+        rows = weighted(tf.join(common, "term")).unionByName(weighted(rare))
+    items = rows.groupBy(text_col).agg(F.collect_list("tr").alias("items"), F.sum(F.col("tr.raw") * F.col("tr.raw")).alias("squares"))
     return items.select(text_col, "items", F.sqrt("squares").alias("norm"))
 
 
-def _without(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """``texts`` with only the terms that aren't common. The others leave before the shuffle by term."""
-    names = [c for c in texts.columns if c != "terms"]
-    rows = texts.select(*names, F.explode("terms").alias("term")).join(common.select("term"), "term", "left_anti")
-    return rows.groupBy(*names).agg(F.collect_list("term").alias("terms"))
-
-
 def tfidf_transform(docs: DataFrame, vocab: DataFrame, text_col: str = "text", frequent: float = FREQUENT) -> DataFrame:
     """(text, term, weight) for each distinct text: l2-normalised tf * idf."""
     items = tfidf_items(docs, vocab, text_col, frequent=frequent)
