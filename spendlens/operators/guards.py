@@ -32,8 +32,12 @@ def value_domains(transactions: DataFrame) -> DataFrame:
     # One scan for all columns; equal values meet in the partial aggregate, before the shuffle.
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("canonical")) for c in GUARDED]))
     out = transactions.select(each.alias("v")).select("v.*").where(F.col("canonical").isNotNull())
+    # The spellings are counted first, by hashing: a maximum of texts sorts the rows that it is taken of. The count is asked
+    # for so that Catalyst doesn't merge the two steps.
+    out = out.groupBy("field", "canonical").agg(F.count(F.lit(1)).alias("n"))
     # One canonical spelling per lower-case value: the last in sorted order wins.
-    return out.groupBy("field", F.lower("canonical").alias("lookup")).agg(F.max("canonical").alias("canonical"))
+    out = out.groupBy("field", F.lower("canonical").alias("lookup")).agg(F.max("canonical").alias("canonical"), F.sum("n").alias("n"))
+    return out.where("n > 0").drop("n")
 
 
 def guard_filters(proposed: DataFrame, tags: DataFrame, domains: DataFrame, selected_profile: str | None = None) -> DataFrame:
