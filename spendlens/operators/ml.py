@@ -64,8 +64,9 @@ class Split:
     many of its ``copies`` belong there (``taken``), beside the label's rows ``n`` and test rows ``t``. A row's part is a
     comparison with its label's boundary, so the rows themselves are never shuffled or stored."""
 
-    def __init__(self, label: str, by_label: bool, bounds: DataFrame):
-        self.label, self.by_label, self.bounds = label, by_label, bounds
+    def __init__(self, label: str, by_label: bool, bounds: DataFrame, fitted: DataFrame | None = None, near: DataFrame | None = None):
+        """``near``: the rows of ``fitted`` around the boundaries, each different one with its number of copies ``cnt``."""
+        self.label, self.by_label, self.bounds, self.fitted, self.near = label, by_label, bounds, fitted, near
         facts = bounds.agg(F.coalesce(F.sum(F.col("n") - F.col("t")), F.lit(0)), F.count_if(F.col("taken") < F.col("copies"))).first()
         self.n_train, self.shared = int(facts[0]), int(facts[1])
 
@@ -80,7 +81,10 @@ class Split:
         if not self.shared:
             return out
         # The copies of a boundary key belong to both parts: each different row with its number of copies, numbered.
-        same = rows.where(shared).groupBy(*keyed.columns, "_g", "_taken").agg(F.count(F.lit(1)).alias("_c"))
+        if self.near is not None and df.sameSemantics(self.fitted):  # stored when the boundary was looked for
+            same = self.near.join(small(own), "_g").where(shared).select(*keyed.columns, "_g", "_taken", F.col("cnt").alias("_c"))
+        else:
+            same = rows.where(shared).groupBy(*keyed.columns, "_g", "_taken").agg(F.count(F.lit(1)).alias("_c"))
         before = Window.partitionBy("_g").orderBy(*keyed.columns).rowsBetween(Window.unboundedPreceding, -1)
         same = same.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
         same = same.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / BLOCK))))
@@ -104,8 +108,8 @@ def _boundary(counts: DataFrame, part: str, carry: list[str]) -> DataFrame:
 
 def split_bounds(df: DataFrame, label: str = "category", test_fraction: float = 0.2) -> Split:
     """The boundary of each label, found without moving rows: one pass counts rows by HEX hex digits of their key (partial
-    aggregates; at most 16 ** HEX rows a label), a second one stores the keys of the part that holds the boundary, about one
-    in 16 ** HEX of a label, equal keys counted together. There the next digits are counted, and what is left then is ranked."""
+    aggregates; at most 16 ** HEX rows a label), a second one stores the rows of the part that holds the boundary, about one
+    in 16 ** HEX of a label, equal rows counted together. There the next digits are counted, and what is left then is ranked."""
     from spendlens.sources.table import written
 
     keyed = row_keys(df)
@@ -119,15 +123,19 @@ def split_bounds(df: DataFrame, label: str = "category", test_fraction: float =
     counts = counts.withColumn("n", F.sum("cnt").over(sizes)).withColumn("t", F.ceil(F.col("n") * F.lit(Decimal(str(test_fraction)))).cast("bigint"))
     facts = ["n", "t"]
     at = _boundary(counts.withColumn("before", F.lit(0).cast("bigint")), "p0", facts)
-    keyed = keyed.select(_group(label, by_label).alias("_g"), "row_key", digits(0).alias("p0"))
-    own = keyed.join(small(at.select("_g", "p0", "before", *facts)), ["_g", "p0"]).groupBy("_g", "row_key", "before", *facts).agg(F.count(F.lit(1)).alias("cnt"))
-    own = written(own.withColumn("p1", digits(1)), "split-keys")
+    # Of a plain table the rows of the part are stored whole, for the copies of a boundary row.
+    whole = KEY_COLUMNS if sorted(df.columns) == sorted(KEY_COLUMNS) else []
+    keyed = keyed.select(_group(label, by_label).alias("_g"), "row_key", digits(0).alias("p0"), *whole)
+    own = keyed.join(small(at.select("_g", "p0", "before", *facts)), ["_g", "p0"]).groupBy("_g", "row_key", "before", *facts, *whole).agg(F.count(F.lit(1)).alias("cnt"))
+    near = own = written(own.withColumn("p1", digits(1)), "split-keys")
+    if whole:
+        own = near.groupBy("_g", "row_key", "before", *facts, "p1").agg(F.sum("cnt").alias("cnt"))
     inner = own.groupBy("_g", "p1", "before", *facts).agg(F.sum("cnt").alias("cnt"))
     at = written(_boundary(inner, "p1", facts), "split-parts")
     last = own.drop("before", *facts).join(small(at.select("_g", "p1", "before", *facts)), ["_g", "p1"])
     at = _boundary(last, "row_key", facts)
     bounds = at.select("_g", F.col("row_key").alias("key"), (F.col("t") - F.col("before")).alias("taken"), F.col("cnt").alias("copies"), *facts)
-    return Split(label, by_label, written(bounds, "split-bounds"))
+    return Split(label, by_label, written(bounds, "split-bounds"), df, near if whole else None)
 
 
 def stratified_split(df: DataFrame, label: str = "category", test_fraction: float = 0.2) -> DataFrame:

@@ -227,3 +227,18 @@ def test_forest_beats_majority_class(spark):
     assert acc >= max(counts.values()) / len(rows)
     out = ml.predict(model, t.limit(5))
     assert out.columns[-1] == "predicted_category" and out.count() == 5
+
+
+def test_copies_at_the_boundary_are_kept_from_the_search(spark):
+    """The rows around the boundary are stored when it is looked for, so their copies cost no second pass; the same parts."""
+    df = spark.range(600).selectExpr("date'2024-01-01' as date", "cast(id % 3 as string) as merchant", "'v' as description", "cast(-1 as double) as amount",
+                                     "if(id % 5 = 0, null, 'X') as category", "'v' as profile", "'v' as bank", "'v' as currency")
+    split = ml.split_bounds(df)
+    assert split.shared == 2
+    got = split.apply(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    other = ml.Split(split.label, split.by_label, split.bounds).apply(df)
+    assert got.columns == other.columns and got.exceptAll(other).isEmpty() and other.exceptAll(got).isEmpty() and got.count() == 600
+    assert {(r.category, r.n) for r in got.where("split = 'test'").groupBy("category").agg(F.count("*").alias("n")).collect()} == {(None, 24), ("X", 96)}
+    more = df.union(df)  # of other rows than it was fitted on, none is left out
+    assert split.apply(more).count() == 1200
