@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime as dt
+import io
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
-from spendlens.operators import forest
+from spendlens.operators import forest, ml
+from spendlens.plans import catalog_ml
+from spendlens.schema import TRANSACTIONS
 
 SIZE, LABELS = 40, 3
 
 
+def _plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def _batch(n: int, often: int):
     """Rows that hold some of SIZE places; the first ``often`` places are held by most rows."""
     rng = np.random.default_rng(n + often)
@@ -61,3 +75,38 @@ def test_nodes_without_rows_at_their_places_are_leaves(spark):
     rows = spark.createDataFrame([(i, i % 2, [], []) for i in range(40)], "id long, label int, i array<int>, v array<double>")
     grown = forest.grow(rows, 30, 30, [1.0, 1.0], 3, 4, 1)
     assert [nodes.tolist() for nodes, _ in grown.leaves] == [[1]] * 3 and all(abs(s.sum() - 1) < 1e-9 for _, s in grown.leaves)
+
+
+def test_a_large_vocabulary_moves_no_rows(spark):
+    """250,000 terms, more than are joined by a broadcast: each task looks up its own, the texts are shuffled once to find the different ones."""
+    n = 250_000
+    vocab = spark.range(n).selectExpr("concat('w', lpad(id, 7, '0')) AS term", "2L AS df", "1.0D + id / 1000000 AS idf", "id AS index")
+    docs = spark.createDataFrame([("w0000003 w0249999 w0000003",), ("unknown W0000001",), ("w0000003 w0249999 w0000003",), ("none",), ("",), (None,)], "text string")
+    vectors = ml.tfidf_vectors(docs, vocab)
+    assert "Join" not in _plan(vectors) and _plan(vectors).count("Exchange (") <= 2  # named in the tree and in the list
+    a, b = 2 * 1.000003, 1.249999
+    norm = (a * a + b * b) ** 0.5
+    got = {r.text: (r.indices, r["values"]) for r in vectors.collect()}
+    assert set(got) == {"w0000003 w0249999 w0000003", "unknown W0000001"} and got["unknown W0000001"] == ([1], [1.0])
+    assert got["w0000003 w0249999 w0000003"][0] == [3, 249999] and got["w0000003 w0249999 w0000003"][1] == pytest.approx([a / norm, b / norm])
+    terms = {(r.text, r.term): r.weight for r in ml.tfidf_transform(docs, vocab.drop("index")).collect()}
+    assert terms == pytest.approx({("w0000003 w0249999 w0000003", "w0000003"): a / norm, ("w0000003 w0249999 w0000003", "w0249999"): b / norm, ("unknown W0000001", "w0000001"): 1.0})
+    rows = spark.createDataFrame([(dt.date(2024, 1, 5), "w0000007", "x", -1.0, "c", "p", "b", "CAD")], TRANSACTIONS)
+    model = ml.Model(vocab, PipelineModel(stages=[]), forest.Forest(n, {}), n, [], vocab)
+    made = model.features(rows)
+    assert "Exchange" not in _plan(made) and made.first()._tfidf.indices.tolist() == [7] and made.first()._tfidf.size == n
+
+
+def test_words_of_two_texts_make_no_pair(spark):
+    vocab = spark.createDataFrame([("aa bb", 2, 1.0), ("bb cc", 2, 1.0)], "term string, df long, idf double")
+    docs = spark.createDataFrame([("aa bb",), ("cc",), ("cc bb cc",)], "text string").coalesce(1)
+    assert {(r.text, r.term) for r in ml.tfidf_transform(docs, vocab).collect()} == {("aa bb", "aa bb"), ("cc bb cc", "bb cc")}
+
+
+def test_ml_train_grows_the_whole_forest(spark, monkeypatch):
+    """As many trees as the reference, and no flatter ones than the stored model has."""
+    asked = {}
+    monkeypatch.setattr(ml, "train_model", lambda rows, **how: asked.update(how) or (type("M", (), {"report": rows}), rows))
+    monkeypatch.setattr(catalog_ml, "txn", lambda spark, sf_dir: spark.range(1).select(F.col("id")))
+    catalog_ml.q_ml_train(spark, "nowhere")
+    assert asked["num_trees"] == 250 and asked["max_depth"] == catalog_ml.MAX_DEPTH
